@@ -68,7 +68,7 @@ def documents(orders: DataFrame, customer: DataFrame, item: DataFrame, product:
                           F.col("email").alias("customer_email"))
     lists = _lists(item, product, payment, ledger, part_rows)
     return (
-        orders.withColumnRenamed("id", "order_id")
+        orders.select(F.col("id").alias("order_id"), "customer_id", "status", "created_at")
         .join(who, "customer_id", "left")
         .join(cancelled_at(ledger), "order_id", "left")
         .join(lists, "order_id", "left")

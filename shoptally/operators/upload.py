@@ -14,8 +14,11 @@ COLUMNS = K.UPLOAD_PRODUCT_COLUMNS + K.UPLOAD_LEDGER_COLUMNS
 RULES = ("type", "duplicate serial", "mixed serials", "quantity", "type without quantity")
 
 
+LINE = "line"  # position of a row in its sheet, given by the reader
+
+
 def check_columns(sheet: DataFrame) -> None:
-    if set(sheet.columns) != set(COLUMNS):
+    if set(sheet.columns) - {LINE} != set(COLUMNS):
         raise ValueError(f"the sheet needs exactly these columns: {', '.join(COLUMNS)}")
 
 
@@ -59,7 +62,7 @@ def guard(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~refused(rows)), violations(rows)
 
 
-def consolidate(rows: DataFrame, order: str = "line") -> DataFrame:
+def consolidate(rows: DataFrame, order: str = LINE) -> DataFrame:
     """One row per (id, ean): first known cat, subcat and name in ``order``, highest price."""
     firsts = [
         F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)

@@ -38,5 +38,8 @@ def to_lists(rows: DataFrame, keys: list[str], order: str, lists: list[str]) ->
     the group (a cart, or a part from ``functions.parts``)."""
     packed = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(order, *lists))).alias("r"))
-    return packed.select(*keys, *[
-        F.transform("r", lambda s, c=c: s[c]).alias(c) for c in lists])
+    return packed.select(*keys, *[_member(c) for c in lists])
+
+
+def _member(name: str) -> Column:
+    return F.transform("r", lambda s: s[name]).alias(name)
