@@ -4,6 +4,6 @@ from shoptally.plans.registry import QUERIES, Query
 
 
 def all_queries() -> dict[str, Query]:
-    from shoptally.plans import dashboard, integrity, pos, stock, upload  # noqa: F401
+    from shoptally.plans import dashboard, integrity, pos, stock, streams, upload  # noqa: F401
 
     return QUERIES

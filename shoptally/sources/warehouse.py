@@ -76,8 +76,9 @@ def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return out.select(*[SALES[c].alias(c) for c in wanted])
 
 
-def ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Stock ledger: one movement per line, all eight types, serial rows of one piece."""
+def ledger(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    """Stock ledger: one movement per line, all eight types, serial rows of one piece. ``lines``
+    may be a stream of the line table."""
     flag, status, line = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
     kind = (
         F.when((flag == "A") & (status == "F"), "import_po")
@@ -90,7 +91,8 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("rtv")
     )
     serial = _serial()
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem") if lines is None else lines
+    return lines.select(
         _line_id().alias("id"),
         F.col("l_partkey").cast("string").alias("product_id"),
         serial.alias("serial"),
