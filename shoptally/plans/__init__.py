@@ -4,6 +4,8 @@ from shoptally.plans.registry import QUERIES, Query
 
 
 def all_queries() -> dict[str, Query]:
-    from shoptally.plans import dashboard, integrity, pos, stock, streams, upload  # noqa: F401
+    from shoptally.plans import (  # noqa: F401
+        cleaning, dashboard, ingest, integrity, pos, scalars, stock, streams, upload,
+    )
 
     return QUERIES

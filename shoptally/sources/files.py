@@ -57,8 +57,14 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
+def _tab(path: Column) -> Column:
+    folder = F.nullif(F.regexp_extract(path, "/tab=([^/]+)/", 1), F.lit(""))
+    return F.coalesce(folder, file_name(path))
+
+
 def tabs(spark: SparkSession, folder: str, names: list[str], skip: int = 0) -> DataFrame:
-    """A workbook kept as one CSV per tab: all tabs in one frame with the ``tab`` they came from.
+    """A workbook kept as one CSV (``orders.csv``, or a folder ``tab=orders``) per tab: all tabs in
+    one frame with the ``tab`` they came from.
 
     ``skip`` (0 to 3) lines stand above the header of each tab.
     """
@@ -66,7 +72,7 @@ def tabs(spark: SparkSession, folder: str, names: list[str], skip: int = 0) -> D
         raise ValueError("a tab's header is in one of its first four lines")
     if skip == 0:
         rows = sheet(spark, folder, names)
-        return rows.select("*", file_name(F.col("_metadata.file_path")).alias("tab"))
+        return rows.select(*names, _tab(F.col("_metadata.file_path")).alias("tab"))
     # Line numbers are only needed at the top of each file: rows of the first block are counted
     # from the first row id the scan gave that file.
     lines = spark.read.text(folder).select(
@@ -77,7 +83,7 @@ def tabs(spark: SparkSession, folder: str, names: list[str], skip: int = 0) -> D
     below = (F.col("block") > 0) | (F.col("slot") - F.col("top") > skip)
     body = lines.join(top, "path").where(below & (F.trim("value") != ""))
     parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in names))
-    return body.select(parsed.alias("r"), file_name(F.col("path")).alias("tab")).select(
+    return body.select(parsed.alias("r"), _tab(F.col("path")).alias("tab")).select(
         "r.*", "tab")
 
 

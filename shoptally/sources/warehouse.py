@@ -244,3 +244,49 @@ def dirty_sales(spark: SparkSession, folder: str) -> DataFrame:
         *[paid.get(c, nothing).alias(c) for c in
           ("cash", "card", "payoo", "banking", "mkt_promo", "vnpay", "trade_in")],
     )
+
+
+def raw_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """The sales sheet as it arrives: 28 text columns under working titles, padded text, two date
+    forms, bad dates, prices and times, missing money, blank rows."""
+    rows = (
+        table(spark, folder, "lineitem")
+        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    )
+    line, level, key = F.col("l_linenumber"), F.col("o_orderpriority"), F.col("l_orderkey")
+    net, none = _net().cast("string"), F.lit(None).cast("string")
+    cells = [
+        F.when((line == 3) & (F.col("p_size") == 9), "n/a")
+        .when(line == 2, F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .otherwise(F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd"))),
+        key.cast("string"),
+        F.when(F.col("l_suppkey") % 53 != 0,
+               F.concat(F.lit("Staff_"), (F.col("l_suppkey") % 10).cast("string"), F.lit(" "))),
+        (F.lit(8930000000000) + F.col("l_partkey")).cast("string"),
+        F.col("p_type"),
+        F.when(line == 1, F.concat(F.lit("SN"), key.cast("string"))),
+        F.col("l_partkey").cast("string"),
+        F.concat(F.lit(" "), "p_name", F.lit(" ")),
+        F.when((line == 4) & (F.col("p_size") < 10), "abc").when(line != 5, F.col("l_extendedprice")
+                                                                 .cast(MONEY).cast("string")),
+        F.when(line == 6, "0").otherwise(F.col("l_quantity").cast("bigint").cast("string")),
+        F.col("l_discount").cast("decimal(4,2)").cast("string"),
+        none,
+        F.when((line != 4) & (line != 2), net),
+        F.when(level == "1-URGENT", net),
+        F.when(level == "2-HIGH", net),
+        none, none, none, none, none,
+        F.when(F.col("p_size") < 40, F.concat(F.lit("c"), F.col("o_custkey").cast("string"),
+                                              F.lit("@shop.example"))),
+        F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")),
+        F.concat(F.lit("09"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")),
+        F.when(line == 7, "25:99").otherwise("08:30:00"),
+        (F.lit(50) + F.lit(3) * F.dayofmonth("o_orderdate")).cast("string"),
+        F.when(F.col("p_size") % 3 == 0, "yes").otherwise("No"),
+        F.when(F.col("p_size") <= 45, F.col("p_brand")),
+        F.when(line == 1, "Gift wrap"),
+    ]
+    blank = (F.col("l_returnflag") == "N") & (line == 7)
+    titles = [f"Title {i}" for i in range(1, len(cells))] + [" Extra Note "]
+    return rows.select(*[F.when(~blank, c).alias(t) for c, t in zip(cells, titles)])
