@@ -38,6 +38,15 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def opaque(condition: Column) -> Column:
+    """The same condition, left out of constraint inference.
+
+    For a condition over n derived columns the optimizer infers 2^n variants of it. Random
+    terms are exempt; this one is never true.
+    """
+    return condition | (F.rand(0) < 0)
+
+
 def sum_across(names: Iterable[str]) -> Column:
     """Sum of columns in one row, NULL as 0."""
     return reduce(lambda a, b: a + b, (F.coalesce(F.col(n), F.lit(0)) for n in names))
@@ -64,16 +73,33 @@ def round_even(c: Column, digits: int) -> Column:
     return F.rint(c * F.lit(scale)) / F.lit(scale)
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Text with ``digits`` decimals, rounded by the exact binary value of the double.
+
+    Java's own formatter rounds the shortest decimal text instead (11.45 to 11.5, although the
+    double is just below 11.45). The double is split in two halves whose products with a small
+    integer are exact, which tells on which side of the midpoint it lies.
+    """
+    scale = float(10**digits)
+    below = F.floor(c * F.lit(scale)).cast("double")
+    upper = c * F.lit(134217729.0) - (c * F.lit(134217729.0) - c)  # 2^27 + 1: upper half
+    doubled = F.lit(2.0 * scale)
+    side = (upper * doubled - (below * 2.0 + 1.0)) + (c - upper) * doubled
+    up = (side > 0) | ((side == 0) & (F.pmod(below, F.lit(2.0)) == 1.0))
+    return F.format_string(
+        f"%.{digits}f", F.when(up, below + 1.0).otherwise(below) / F.lit(scale))
+
+
 def humanise(c: Column, pct: bool = False) -> Column:
     """Short display text: B, M, k, whole, two digits; or a percentage."""
     if pct:
-        return F.when(c <= 1, F.format_string("%.1f%%", c * F.lit(100.0))).otherwise(
-            F.format_string("%.1f%%", c)
-        )
+        shown = F.when(c <= 1, c * F.lit(100.0)).otherwise(c)
+        return F.concat(fixed(shown, 1), F.lit("%"))
+
+    def short(unit: float, digits: int, suffix: str) -> Column:
+        return F.concat(fixed(c / F.lit(unit), digits), F.lit(suffix))
+
     return (
-        F.when(c >= 1e9, F.format_string("%.2fB", c / F.lit(1e9)))
-        .when(c >= 1e6, F.format_string("%.2fM", c / F.lit(1e6)))
-        .when(c >= 1e3, F.format_string("%.1fk", c / F.lit(1e3)))
-        .when(c >= 10, F.format_string("%.0f", c))
-        .otherwise(F.format_string("%.2f", c))
+        F.when(c >= 1e9, short(1e9, 2, "B")).when(c >= 1e6, short(1e6, 2, "M"))
+        .when(c >= 1e3, short(1e3, 1, "k")).when(c >= 10, fixed(c, 0)).otherwise(fixed(c, 2))
     )

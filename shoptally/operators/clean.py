@@ -69,8 +69,14 @@ def validate(df: DataFrame, ordered: bool = True) -> DataFrame:
     The check for gaps is a scalar subquery, so nothing runs before the caller's action.
     """
     gap = _has_gap(df)
-    fixed = _repaired(df.where(~gap | _keep()))
-    fixed = fixed.where(~gap | (F.col("revenue").isNotNull() & F.col("price").isNotNull()))
+
+    def unless_clean(condition: Column) -> Column:
+        # CASE, not OR: the optimizer would expand the money formulas into normal form
+        return F.when(gap, condition).otherwise(F.lit(True))
+
+    fixed = _repaired(df.where(unless_clean(_keep())))
+    whole = F.col("revenue").isNotNull() & F.col("price").isNotNull()
+    fixed = fixed.where(unless_clean(whole))
     return fixed.orderBy("date", "invoice") if ordered else fixed
 
 

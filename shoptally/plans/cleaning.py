@@ -242,7 +242,7 @@ PIPELINE = {
     "final": "SELECT * FROM repaired WHERE revenue IS NOT NULL AND price IS NOT NULL",
 }
 PIPELINE_SQL = V.sql("", f"""
-SELECT date, invoice, staff, sku, qty, price, revenue, {V.week_label('date')} AS week,
+SELECT date, invoice, staff, sku, qty, price, revenue, CASE WHEN date IS NOT NULL THEN {V.week_label('date')} END AS week,
        strftime(date, '%Y-%m') AS month FROM final""", **PIPELINE)
 PIPELINE_OUT = ["date", "invoice", "staff", "sku", "qty", "price", "revenue", "week", "month"]
 

@@ -34,26 +34,30 @@ def _serial() -> Column:
     )
 
 
-SALES = {
-    "date": F.to_date("o_orderdate"),
-    "invoice": F.col("l_orderkey"),
-    "store_id": F.col("n_name"),
-    "staff": F.concat(F.lit("Staff_"), (F.col("l_suppkey") % 10).cast("string")),
-    "sku": F.col("l_partkey").cast("string"),
-    "product_name": F.col("p_name"),
-    "cat": F.col("p_type"),
-    "sub_cat": F.when(F.col("p_size") <= 45, F.col("p_brand")),
-    "lot_number": F.when(
-        F.col("l_linenumber") == 1,
-        F.concat(F.lit("SN"), F.col("l_orderkey").cast("string"), F.lit("-"),
-                 F.col("l_partkey").cast("string")),
-    ),
-    "qty": F.col("l_quantity").cast("bigint"),
-    "revenue": _net(),
-    "mkt_promo": (F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast("decimal(4,2)"))
-    .cast("decimal(18,4)"),
-    "date_traffic": (F.lit(50) + F.lit(3) * F.dayofmonth(F.to_date("o_orderdate"))).cast("bigint"),
-}
+def _sales_columns() -> dict[str, Column]:
+    day = F.to_date("o_orderdate")
+    return {
+        "date": day,
+        "invoice": F.col("l_orderkey"),
+        "store_id": F.col("n_name"),
+        "staff": F.concat(F.lit("Staff_"), (F.col("l_suppkey") % 10).cast("string")),
+        "sku": F.col("l_partkey").cast("string"),
+        "product_name": F.col("p_name"),
+        "cat": F.col("p_type"),
+        "sub_cat": F.when(F.col("p_size") <= 45, F.col("p_brand")),
+        "lot_number": F.when(
+            F.col("l_linenumber") == 1,
+            F.concat(F.lit("SN"), F.col("l_orderkey").cast("string"), F.lit("-"),
+                     F.col("l_partkey").cast("string")),
+        ),
+        "qty": F.col("l_quantity").cast("bigint"),
+        "revenue": _net(),
+        "mkt_promo": (F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast("decimal(4,2)"))
+        .cast("decimal(18,4)"),
+        "date_traffic": (F.lit(50) + F.lit(3) * F.dayofmonth(day)).cast("bigint"),
+    }
+
+
 _ORDER = {"date", "date_traffic"}
 _PART = {"product_name", "cat", "sub_cat"}
 _STORE = {"store_id"}
@@ -61,7 +65,8 @@ _STORE = {"store_id"}
 
 def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The flat sales fact, one row per invoice line, with the ``columns`` asked for."""
-    wanted = columns or tuple(SALES)
+    made = _sales_columns()
+    wanted = columns or tuple(made)
     out = table(spark, folder, "lineitem")
     if _ORDER & set(wanted):
         orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
@@ -73,7 +78,7 @@ def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         store = table(spark, folder, "supplier").join(
             nation, F.col("s_nationkey") == F.col("n_nationkey"))
         out = out.join(store, F.col("l_suppkey") == F.col("s_suppkey"))
-    return out.select(*[SALES[c].alias(c) for c in wanted])
+    return out.select(*[made[c].alias(c) for c in wanted])
 
 
 def ledger(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:

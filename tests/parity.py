@@ -59,8 +59,8 @@ def compare(spark, con, folder: str, query) -> tuple[str, int, float]:
     if ours[0] != theirs[0]:
         return f"COLUMNS {ours[0]} / {theirs[0]}", len(rows), took
     if ours[1] != theirs[1]:
-        only_ours = [r for r in ours[1] if r not in set(theirs[1])][:3]
-        only_theirs = [r for r in theirs[1] if r not in set(ours[1])][:3]
+        a, b = set(ours[1]), set(theirs[1])
+        only_ours, only_theirs = sorted(a - b)[:3], sorted(b - a)[:3]
         return (f"VALUES {ours[0]} rows {len(ours[1])}/{len(theirs[1])}\n    spark {only_ours}\n"
                 f"    sql   {only_theirs}"), len(rows), took
     return ("same" if rows else "same but NO ROWS"), len(rows), took
