@@ -20,6 +20,8 @@ def build(app: str = "shoptally", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a hot join key even when the split costs one more exchange
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # the JVM compiles no method above 8000 bytes: wide projections run faster split up
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():
