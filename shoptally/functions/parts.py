@@ -13,18 +13,25 @@ from pyspark.sql import functions as F
 PART_ROWS = 10_000
 
 
-def id_parts(df: DataFrame, keys: list[str], id_col: str, limit: int = PART_ROWS) -> DataFrame:
+def id_parts(df: DataFrame, keys: list[str], id_col: str, limit: int = PART_ROWS,
+             kind: str | None = None) -> DataFrame:
     """Adds ``part``: stretches of ``limit`` consecutive ids in groups above ``limit`` rows.
 
     Ids are unique per group, so a part holds at most ``limit`` rows, and parts in order are the
-    group in order. Only oversized groups reach the join's right side.
+    group in order. With ``kind``, each of the few kinds of row is a list of its own. Only
+    oversized groups reach the join's right side, and the join leaves the rows distributed by
+    ``keys``, so grouping them by keys and part moves nothing again.
     """
-    big = (
-        df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(id_col).alias("_lo"))
-        .where(F.col("_n") > limit).drop("_n")
+    what = F.lit("") if kind is None else F.col(kind)
+    starts = (
+        df.groupBy(*keys, what.alias("_kind"))
+        .agg(F.count("*").alias("_n"), F.min(id_col).alias("_lo")).where(F.col("_n") > limit)
+        .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_kind", "_lo"))).alias("_los"))
     )
-    part = F.expr(f"coalesce(({id_col} - _lo) div {limit}, 0L)")
-    return df.join(big, keys, "left").withColumn("part", part).drop("_lo")
+    offset = F.col(id_col) - F.try_element_at("_los", what)
+    part = F.coalesce(F.expr(f"_offset div {limit}"), F.lit(0)).cast("bigint")
+    return df.join(starts, keys, "left").withColumn("_offset", offset).withColumn(
+        "part", part).drop("_los", "_offset")
 
 
 def hash_parts(df: DataFrame, keys: list[str], member: str, limit: int = PART_ROWS) -> DataFrame:
@@ -37,8 +44,7 @@ def hash_parts(df: DataFrame, keys: list[str], member: str, limit: int = PART_RO
     return df.join(big, keys, "left").withColumn("part", part).drop("_n")
 
 
-def ordered(rows: Column, field: str) -> Column:
-    """One field of an array of structs sorted by their first field; NULL fields stay, and no
-    rows give NULL."""
-    sorted_rows = F.array_sort(rows)
-    return F.when(F.size(rows) > 0, F.transform(sorted_rows, lambda r: r[field]))
+def in_order(rows: str) -> Column:
+    """An array of structs sorted by their first field; an empty one is NULL. Fields are then
+    lists of their own (``col("rows.field")``) with NULLs in place."""
+    return F.when(F.size(rows) > 0, F.sort_array(rows)).alias(rows)

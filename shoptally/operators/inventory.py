@@ -45,7 +45,7 @@ def serials(ledger: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     return (
         hash_parts(held, ["product_id"], "serial", part_rows)
         .groupBy("product_id", "part")
-        .agg(F.array_sort(F.collect_list("serial")).alias("serial_list"))
+        .agg(F.sort_array(F.collect_list("serial")).alias("serial_list"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoptally import constants as K
 from shoptally.functions.columns import total
-from shoptally.functions.parts import PART_ROWS, id_parts, ordered
+from shoptally.functions.parts import PART_ROWS, id_parts, in_order
 from shoptally.operators.kinds import to_day
 
 ITEM_FIELDS = ("product_id", "product_name", "quantity", "price", "discount")
@@ -40,7 +40,7 @@ def _lists(item: DataFrame, product: DataFrame, payment: DataFrame, ledger: Data
     paid = _entries(payment, "payment", {"method": F.col("method"), "amount": F.col("amount")})
     sold = _entries(ledger.where(F.col("type") == "sell"), "serial", {"serial": F.col("serial")})
     rows = items.unionByName(paid, True).unionByName(sold, True)
-    parts = id_parts(rows, ["order_id", "kind"], "id", part_rows)
+    parts = id_parts(rows, ["order_id"], "id", part_rows, kind="kind")
 
     def gather(kind: str, *fields: str) -> Column:
         return F.collect_list(F.when(F.col("kind") == kind, F.struct("id", *fields)))
@@ -50,14 +50,11 @@ def _lists(item: DataFrame, product: DataFrame, payment: DataFrame, ledger: Data
         gather("payment", "method", "amount").alias("payments"),
         gather("serial", "serial").alias("serials"),
     )
-    return grouped.select(
-        "order_id",
-        "part",
-        *[ordered(F.col("items"), f).alias(f) for f in ITEM_FIELDS],
-        ordered(F.col("serials"), "serial").alias("serial"),
-        ordered(F.col("payments"), "method").alias("method"),
-        ordered(F.col("payments"), "amount").alias("amount"),
-    )
+    lists = grouped.select(
+        "order_id", "part", in_order("items"), in_order("payments"), in_order("serials"))
+    return lists.select(
+        "order_id", "part", *[F.col(f"items.{f}").alias(f) for f in ITEM_FIELDS],
+        "serials.serial", "payments.method", "payments.amount")
 
 
 def documents(orders: DataFrame, customer: DataFrame, item: DataFrame, product: DataFrame,
@@ -87,8 +84,8 @@ def payment_lists(payment: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     rows = id_parts(payment, ["order_id"], "id", part_rows)
     lists = rows.groupBy("order_id", "part").agg(
         F.collect_list(F.struct("id", "amount", "method")).alias("payments"))
-    return lists.select("order_id", "part", ordered(F.col("payments"), "amount").alias("amount"),
-                        ordered(F.col("payments"), "method").alias("method"))
+    sorted_lists = lists.select("order_id", "part", in_order("payments"))
+    return sorted_lists.select("order_id", "part", "payments.amount", "payments.method")
 
 
 def sales_lines(item: DataFrame, orders: DataFrame, product: DataFrame, customer: DataFrame,

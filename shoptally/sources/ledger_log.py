@@ -37,9 +37,5 @@ def to_lists(rows: DataFrame, keys: list[str], order: str, lists: list[str]) ->
     """Rows to parallel list columns per key, in ``order``, NULLs in place. The keys must bound
     the group (a cart, or a part from ``functions.parts``)."""
     packed = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(order, *lists))).alias("r"))
-    return packed.select(*keys, *[_member(c) for c in lists])
-
-
-def _member(name: str) -> Column:
-    return F.transform("r", lambda s: s[name]).alias(name)
+        F.sort_array(F.collect_list(F.struct(order, *lists))).alias("r"))
+    return packed.select(*keys, *[f"r.{c}" for c in lists])
