@@ -10,6 +10,7 @@ from shoptally.functions.columns import total
 from shoptally.functions.numbering import numbered
 from shoptally.functions.rules import sellable_quantity
 from shoptally.operators.inventory import serial_balance
+from shoptally.session import use_checkpoints
 
 
 def scan(codes: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -142,7 +143,8 @@ def check_out(carts: DataFrame, lines: DataFrame, paid: DataFrame, ledger: DataF
     ``carts`` holds cart_id, customer_id, staff_id, discount; new orders are numbered from
     ``first_id`` by cart id.
     """
-    judged = judge(lines, ledger)
+    use_checkpoints(lines.sparkSession)
+    judged = judge(lines, ledger).checkpoint()  # read again for the items and the refusals
     result = verdicts(judged)
     through = carts.join(result.where("accepted").select("cart_id"), "cart_id", "left_semi")
     orders = numbered(through, ["cart_id"], "order_id", first_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoptally.operators import copies, upload, upsert
+from shoptally.operators import apply_upload, copies, upload, upsert
 from shoptally.plans import views as V
 from shoptally.plans.pos import goods
 from shoptally.plans.registry import query
@@ -284,3 +284,33 @@ def upload_new_prices(spark, d):
 def upload_repeated_serials(spark, d):
     rows = upload.usable_rows(sheet(spark, d)).select("line", "serial")
     return copies.mark_all_copies(rows, "serial", "dup").where("dup").drop("dup")
+
+
+CLEAN_VIEWS = {
+    **{k: v for k, v in SHEET_VIEWS.items() if k in ("sheet", "usable")}, "loose": LOOSE,
+    "passed": """
+SELECT * FROM (SELECT id, ean, arg_min(cat, line) AS cat, arg_min(name, line) AS name, max(price) AS price
+               FROM loose GROUP BY id, ean) WHERE price > 0""",
+    "prices": "SELECT id AS product_id, price FROM passed",
+    "goods": GOODS,
+    "kept": "SELECT r.product_id FROM price r JOIN prices n ON n.product_id = r.product_id "
+            "AND n.price = r.price WHERE r.is_active",
+}
+
+
+@query("L18", V.sql("product price", """
+SELECT (SELECT count(*) FROM passed p LEFT JOIN goods g ON g.id = p.id
+        WHERE p.price IS DISTINCT FROM g.price) > 0 AS needed,
+       CASE WHEN (SELECT count(*) FROM passed WHERE id NOT IN (SELECT id FROM product)) = (SELECT count(*) FROM passed)
+             AND (SELECT count(*) FROM prices WHERE product_id NOT IN (SELECT product_id FROM kept))
+                 = (SELECT count(*) FROM prices) THEN 'success' ELSE 'partial' END AS status,
+       (SELECT count(*) FROM loose WHERE type IS NOT NULL) AS moves, CAST(0 AS BIGINT) AS applied""",
+                    **CLEAN_VIEWS))
+def upload_applied_in_order(spark, d):
+    """Known products with new prices: the product step is partial, so no movement follows."""
+    rows = upload.usable_rows(sheet(spark, d)).where(
+        F.col("serial").isNull() & (F.col("quantity") > 0)
+        & F.coalesce(F.col("type") != "gift", F.lit(True)))
+    return apply_upload.apply(
+        rows, W.product(spark, d), W.price(spark, d), W.history(spark, d),
+        goods(spark, d).select("id", "price")).outcome

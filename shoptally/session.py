@@ -31,21 +31,20 @@ def build(app: str = "shoptally", master: str | None = None, **conf: str) -> Spa
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for ``purpose`` under the cluster's checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="shoptally-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+    use_checkpoints(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable; keeps the folder the cluster names."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root:
-            spark.sparkContext.setCheckpointDir(root)
-        else:
-            shared_folder(spark, "checkpoint")
+    """Make ``DataFrame.checkpoint()`` usable. The folder the cluster names is kept; only a local
+    session that names none gets a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="shoptally-")
+    context.setCheckpointDir(root)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shoptally.functions.columns import distinct_with_null, fixed, total
 from shoptally.functions.rules import category_rank, discount_amount, signed_quantity
 from shoptally.operators import (
-    carts, clean, copies, inventory, invoices, kinds, ledger, metrics, periods, upload, upsert,
+    apply_upload, carts, clean, copies, inventory, invoices, kinds, ledger, metrics, periods, upload, upsert,
 )
 
 ROW = "product_id string, serial string, type string, quantity bigint"
@@ -307,6 +307,31 @@ def test_sheet_columns_are_a_closed_set(spark):
         upload.usable_rows(spark.createDataFrame([("a",)], "id string"))
 
 
+SHEET_ROW = ("line int, ean bigint, id string, cat string, subcat string, name string, price int, "
+             "serial string, quantity bigint, type string, transaction_id string")
+
+
+def test_movements_follow_only_a_finished_product_step(spark):
+    def run(rows, known):
+        product = spark.createDataFrame([(k, i) for i, k in enumerate(known)], "id string, ean bigint")
+        price = spark.createDataFrame([(i, k, 5, True) for i, k in enumerate(known)],
+                                      "id int, product_id string, price int, is_active boolean")
+        shelf = spark.createDataFrame([(k, 5) for k in known], "id string, price int")
+        past = spark.createDataFrame([], ROW)
+        sheet = spark.createDataFrame(rows, SHEET_ROW)
+        return apply_upload.apply(sheet, product, price, past, shelf).outcome.first().asDict()
+
+    def line(key, money):
+        return (1, ord(key), key, "c", None, "n", money, None, 2, "import_po", "t")
+
+    assert run([line("a", 5)], ["z"]) == {
+        "needed": True, "status": "success", "moves": 1, "applied": 1}
+    assert run([line("a", 5)], ["a"]) == {
+        "needed": False, "status": "not needed", "moves": 1, "applied": 1}
+    assert run([line("a", 6)], ["a"]) == {
+        "needed": True, "status": "partial", "moves": 1, "applied": 0}
+
+
 def test_category_rank(spark):
     names = ["All cats", "iPhone", "iPad", "Mac", "Watch", "Accessory", "Zeta", "9x", "", None]
     df = spark.createDataFrame([(n,) for n in names], "n string")
