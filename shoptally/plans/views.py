@@ -8,7 +8,8 @@ SERIAL = (
     "CASE WHEN l_partkey % 5 = 0 AND NOT (l_partkey % 3 = 0 AND l_linenumber = 7) "
     "THEN concat('SN', CAST(l_partkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) END"
 )
-LINE_ID = "(CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 10000000 + l_suppkey % 10000000)"
+LINE_ID = ("(CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 10000000 "
+           "+ l_suppkey % 100000 * 100 + CAST(l_quantity AS BIGINT))")
 
 VIEWS = {
     "sales": f"""

@@ -111,11 +111,12 @@ def ledger(spark: SparkSession, folder: str, lines: DataFrame | None = None) ->
 
 
 def _line_id() -> Column:
-    """Line id, unique within its order: sorts by line, product, supplier."""
+    """Line id, unique within its order: sorts by line, product, supplier, quantity."""
     return (
         F.col("l_linenumber").cast("bigint") * F.lit(10**18)
         + F.col("l_partkey") * F.lit(10**7)
-        + F.col("l_suppkey") % F.lit(10**7)
+        + F.col("l_suppkey") % F.lit(10**5) * F.lit(100)
+        + F.col("l_quantity").cast("bigint")
     )
 
 
