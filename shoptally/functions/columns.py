@@ -47,6 +47,13 @@ def opaque(condition: Column) -> Column:
     return condition | (F.rand(0) < 0)
 
 
+def join_key(key: str, *spread_by: str) -> Column:
+    """``key`` as text for the left side of an outer join. NULL keys match nothing, yet all would
+    be sent to one task: they become values of their own, spread by the given columns."""
+    aside = F.concat(F.lit("\u0000"), F.xxhash64(*spread_by).cast("string"))
+    return F.coalesce(F.col(key).cast("string"), aside)
+
+
 def sum_across(names: Iterable[str]) -> Column:
     """Sum of columns in one row, NULL as 0."""
     return reduce(lambda a, b: a + b, (F.coalesce(F.col(n), F.lit(0)) for n in names))

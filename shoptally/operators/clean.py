@@ -127,7 +127,7 @@ def add_calendar(df: DataFrame, *labels: str) -> DataFrame:
     return df.withColumns({name: made[name] for name in labels or made})
 
 
-def pipeline(raw: DataFrame, sample: int | None = None) -> DataFrame:
+def clean_sheet(raw: DataFrame, sample: int | None = None) -> DataFrame:
     """Raw text sheet to typed, repaired, labelled sales."""
     return (
         raw.transform(rename_positional)

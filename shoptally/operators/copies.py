@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoptally.functions.columns import join_key
+
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """Non-null values of ``key`` that occur more than once."""
@@ -17,9 +19,10 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 def mark_all_copies(df: DataFrame, key: str, flag: str) -> DataFrame:
     """``flag`` is true on every row whose key occurs more than once; a NULL key never is."""
-    found = repeated_keys(df, key).withColumn("_dup", F.lit(True))
-    return df.join(found, key, "left").withColumn(
-        flag, F.coalesce("_dup", F.lit(False))).drop("_dup")
+    found = repeated_keys(df, key).select(
+        F.col(key).cast("string").alias("_key"), F.lit(True).alias("_dup"))
+    return df.join(found, join_key(key, *df.columns) == F.col("_key"), "left").withColumn(
+        flag, F.coalesce("_dup", F.lit(False))).drop("_key", "_dup")
 
 
 def mark_later_copies(df: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:

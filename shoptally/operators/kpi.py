@@ -22,9 +22,10 @@ def daily(df: DataFrame) -> DataFrame:
 
 
 def totals(df: DataFrame) -> DataFrame:
-    """One row with the eight cards of a slice."""
+    """One row with the number of days and the eight cards of a slice."""
     sums = daily(df).agg(
-        *[total(c).alias(c) for c in ("revenue", "qty", "invoices", "traffic", "lots")]
+        *[total(c).alias(c) for c in ("revenue", "qty", "invoices", "traffic", "lots")],
+        F.count("*").alias("n_days"),
     )
     c = F.col
     values = {
@@ -37,25 +38,25 @@ def totals(df: DataFrame) -> DataFrame:
         "Unit": c("qty").cast("double"),
         "Device": c("lots").cast("double"),
     }
-    return sums.select(*[v.alias(k) for k, v in values.items()])
+    return sums.select("n_days", *[v.alias(k) for k, v in values.items()])
 
 
 def _long(one_row: DataFrame, value: str) -> DataFrame:
     cards = [F.struct(F.lit(k).alias("metric"), F.col(k).alias(value)) for k in CARDS]
-    return one_row.select(F.explode(F.array(*cards)).alias("c")).select("c.*")
+    return one_row.select(F.col("n_days").alias(f"{value}_days"), F.explode(F.array(*cards)).alias(
+        "c")).select(f"{value}_days", "c.*")
 
 
 def cards(cur: DataFrame, prev: DataFrame) -> DataFrame:
     """(metric, curr, prev, delta_pct, shown): delta is 0 where the previous value is 0 or
     missing, and NULL if there is no previous data at all."""
-    empty = prev.agg((F.count("*") == 0).alias("none")).scalar()
     both = _long(totals(cur), "curr").join(_long(totals(prev), "prev"), "metric")
     change = (F.col("curr") / F.nullif("prev", F.lit(0.0)) - 1) * F.lit(100.0)
     return both.select(
         "metric",
         "curr",
         "prev",
-        F.when(~empty, F.coalesce(round_even(change, 1), F.lit(0.0))).alias("delta_pct"),
+        F.when(F.col("prev_days") > 0, F.coalesce(round_even(change, 1), F.lit(0.0))).alias("delta_pct"),
         F.when(F.col("metric") == "Conversion", humanise(F.col("curr"), pct=True))
         .otherwise(humanise(F.col("curr"))).alias("shown"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoptally import constants as K
+from shoptally.functions.columns import join_key
 from shoptally.functions.rules import signed_quantity
 from shoptally.operators.inventory import serial_balance, serial_modes
 
@@ -50,13 +51,13 @@ def judge(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     by_row = held.select(F.col("product_id").alias("p"), F.col("serial").alias("s"), "stock")
     loose = held.groupBy("product_id").agg(
         F.bool_or(F.col("serial").isNull()).alias("had_loose"))
-    by_serial = held.where(F.col("serial").isNotNull()).groupBy("serial").agg(
+    by_serial = held.where(F.col("serial").isNotNull()).groupBy(F.col("serial").alias("sn")).agg(
         F.sum("stock").alias("serial_stock"))
     seen = (
         rows.join(by_row, (F.col("product_id") == F.col("p")) & F.col("serial").eqNullSafe(
             F.col("s")), "left").drop("p", "s")
         .join(loose, "product_id", "left")
-        .join(by_serial, "serial", "left")
+        .join(by_serial, join_key("serial", *batch.columns) == F.col("sn"), "left").drop("sn")
     )
     is_loose = F.col("serial").isNull()
     zero = F.lit(0)

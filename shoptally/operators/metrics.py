@@ -34,6 +34,7 @@ class Metric:
     group: str = "store_id"
 
 
+# --- fixed values: the metric catalogue (columns, daily aggregates, formula, digits, unit) ---
 STORE = {
     "average_ticket_value": Metric({"revenue": "sum", "invoice": "n_unique"}, ratio, 0, "VNĐ"),
     "units_per_ticket": Metric({"qty": "sum", "invoice": "n_unique"}, ratio, 2, "decimal"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoptally.functions.columns import any_of, tidy_strings
+from shoptally.functions.columns import any_of, join_key, tidy_strings
 from shoptally.functions.rules import valid_email
 from shoptally.operators.copies import mark_all_copies
 
@@ -100,10 +100,11 @@ def new_customers(batch: DataFrame, customer: DataFrame) -> DataFrame:
 def blocked_customers(fresh: DataFrame, customer: DataFrame) -> DataFrame:
     """New rows the table's own rules refuse: a malformed e-mail, or one another customer has.
     One such row keeps the whole batch out."""
-    taken = customer.where(F.col("email").isNotNull()).select("email").distinct().withColumn(
-        "_taken", F.lit(True))
-    return fresh.join(taken, "email", "left").where(
-        F.col("_taken") | ~F.coalesce(valid_email(F.col("email")), F.lit(True))).drop("_taken")
+    taken = customer.where(F.col("email").isNotNull()).select(
+        F.col("email").alias("_taken")).distinct()
+    return fresh.join(taken, join_key("email", "id") == F.col("_taken"), "left").where(
+        F.col("_taken").isNotNull() | ~F.coalesce(valid_email(F.col("email")), F.lit(True))
+    ).drop("_taken")
 
 
 def customers(batch: DataFrame, customer: DataFrame) -> tuple[DataFrame, DataFrame]:

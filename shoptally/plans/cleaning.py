@@ -233,7 +233,7 @@ def scatter_points(spark, d):
     return points.withColumn("value", F.array_join(F.col("value").cast("array<string>"), "|"))
 
 
-PIPELINE = {
+CLEANED = {
     **RAW_VIEWS,
     "dirty": "SELECT * FROM typed",
     "kept": "SELECT * FROM dirty WHERE invoice IS NOT NULL AND ean IS NOT NULL AND qty > 0 AND staff IS NOT NULL",
@@ -241,16 +241,16 @@ PIPELINE = {
     "repaired": f"SELECT * REPLACE ({PRICE_BY_REVENUE} AS price) FROM paid",
     "final": "SELECT * FROM repaired WHERE revenue IS NOT NULL AND price IS NOT NULL",
 }
-PIPELINE_SQL = V.sql("", f"""
+CLEANED_SQL = V.sql("", f"""
 SELECT date, invoice, staff, sku, qty, price, revenue, CASE WHEN date IS NOT NULL THEN {V.week_label('date')} END AS week,
-       strftime(date, '%Y-%m') AS month FROM final""", **PIPELINE)
-PIPELINE_OUT = ["date", "invoice", "staff", "sku", "qty", "price", "revenue", "week", "month"]
+       strftime(date, '%Y-%m') AS month FROM final""", **CLEANED)
+CLEANED_OUT = ["date", "invoice", "staff", "sku", "qty", "price", "revenue", "week", "month"]
 
 
-@query("S1 S2 C1 C2 C3 C4 C5 C6 C7 C8 C10", PIPELINE_SQL)
-def sheet_pipeline_from_csv(spark, d):
-    """The sheet written as CSV, read back as text, and taken through the whole pipeline."""
+@query("S1 S2 C1 C2 C3 C4 C5 C6 C7 C8 C10", CLEANED_SQL)
+def sheet_cleaned_from_csv(spark, d):
+    """The sheet written as CSV, read back as text, and cleaned from end to end."""
     folder = shared_folder(spark, "sheet")
     sheet = W.raw_sheet(spark, d)
     sheet.write.option("header", True).csv(folder)
-    return clean.pipeline(files.sheet(spark, folder, sheet.columns)).select(*PIPELINE_OUT)
+    return clean.clean_sheet(files.sheet(spark, folder, sheet.columns)).select(*CLEANED_OUT)
