@@ -18,12 +18,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
     "kpi_cards", "kpi_daily",
-    "metric_average_ticket_value", "metric_devices_per_transaction",
+    "metric_average_ticket_value",
     "metric_staff_attachment_rate", "metric_wide_by_staff", "trend_revenue_traffic_weekly",
     "tree_revenue", "drill_by_date_and_invoice",
     "inventory_list", "stock_by_product_and_serial", "serials_in_stock", "ledger_batch_judged",
     "checkout_verdicts", "cart_consolidated", "payment_reconciliation", "invoice_documents",
-    "sales_lines", "invoice_list", "sheet_typed", "sales_validated", "sales_completeness",
+    "sales_lines", "invoice_list", "sales_validated", "sales_completeness",
     "product_batch_report", "upload_products_consolidated", "integrity_audit",
 ]
 

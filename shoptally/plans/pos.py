@@ -508,7 +508,9 @@ def orders_of_repeat_customers(spark, d):
 
 
 @query("W4", V.sql("item", "SELECT order_id, id, serial, row_number() OVER (PARTITION BY serial "
-                   "ORDER BY order_id, id) > 1 AS later FROM item"))
+                   "ORDER BY order_id, id, price, discount) > 1 AS later FROM item"))
 def later_copies_of_a_serial(spark, d):
-    rows = W.item(spark, d).select("order_id", "id", "serial")
-    return copies.mark_later_copies(rows, "serial", ["order_id", "id"], "later")
+    rows = W.item(spark, d).select("order_id", "id", "serial", "price", "discount")
+    marked = copies.mark_later_copies(
+        rows, "serial", ["order_id", "id", "price", "discount"], "later")
+    return marked.drop("price", "discount")
