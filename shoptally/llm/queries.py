@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoptally.llm import exact_dedup
+from shoptally.llm import exact_dedup, licences, packing, sharding, top_k, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Run]:
-    return {"op9_exact_dedup": exact_dedup.op9}
+    return {
+        "op1_licence_scan": licences.op1,
+        "op6_packing": packing.op6,
+        "op7_warc": warc.op7,
+        "op8_sharding": sharding.op8,
+        "op9_exact_dedup": exact_dedup.op9,
+        "op10_exact_top_k": top_k.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {
+        "op1_licence_scan": licences.SQL,
+        "op7_warc": warc.SQL,
+        "op9_exact_dedup": exact_dedup.SQL,
+        "op10_exact_top_k": top_k.SQL,
+    }
