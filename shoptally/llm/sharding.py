@@ -23,18 +23,15 @@ from pyspark.sql import functions as F
 from shoptally.llm.common import columns_apart, salted, table, written
 
 SHARDS = 16
-ROUNDS = 4
-#: a shard may take this much over its even share while rows still move
-SLACK = 0.05
+ROUNDS = 6
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
-              slack: float = SLACK) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, capacity: float, rounds: int = ROUNDS) -> DataFrame:
     """``nodes`` (``node``, ``shard``) after ``rounds`` rounds over ``links`` (``a``, ``b``: each
-    link in one direction, ``node`` values, no loops). Both frames should be tables already."""
+    link in one direction, ``node`` values, no loops). Both frames should be tables already. No
+    shard takes more than about ``capacity`` nodes: lots decide who moves within a quota."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = {r[0]: r[1] for r in nodes.groupBy("shard").count().collect()}  # one row per shard
-    share = sum(sizes.values()) / shards
     now = nodes
     for turn in range(rounds):
         votes = (
@@ -60,7 +57,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
                  .groupBy("shard", "wish").count().collect()}  # at most shards**2 rows
         if not flows:
             break
-        taken = quotas(sizes, flows, share * (1 + slack))
+        taken = quotas(sizes, flows, capacity)
         part = F.lit(0.0)
         for (source, target), fraction in taken.items():
             part = F.when((F.col("shard") == source) & (F.col("wish") == target), fraction).otherwise(part)
@@ -91,6 +88,18 @@ def quotas(sizes: dict[int, float], flows: dict[tuple[int, int], int],
     return taken
 
 
+def filling(rooms: list[float]) -> Column:
+    """A shard for a row without links: by lot, in proportion to the room that linked rows leave."""
+    rooms = [max(0.0, r) for r in rooms]
+    total = sum(rooms) or 1.0
+    lot = F.pmod(F.xxhash64(F.lit("fill"), "node"), F.lit(1 << 30)) / (1 << 30)
+    chosen, bound = F.lit(len(rooms) - 1), 1.0
+    for shard in range(len(rooms) - 1, 0, -1):
+        bound -= rooms[shard] / total
+        chosen = F.when(lot < bound, F.lit(shard - 1)).otherwise(chosen)
+    return chosen.cast("int")
+
+
 def even(rows: DataFrame, order: list[Column], shards: int) -> DataFrame:
     """Adds ``shard`` and ``slot``: the rows in ``order`` cut into stretches whose lengths differ by
     one at most. Positions come from counts per range partition, not from one global window."""
@@ -145,12 +154,15 @@ def shards_of_copies(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS
     linked, links = text_links(rows)
     start = linked.join(rows.select("node"), "node", "left_semi").select(
         "node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
-    moved = propagate(written(start, "shard-start"), links, shards, rounds)
+    share = rows.count() / shards
+    moved = written(propagate(written(start, "shard-start"), links, share, rounds), "shard-moved")
     homes = moved.join(linked, "node").select("node", F.col("shard").alias("home"), "hub")
+    held = {r[0]: r[1] for r in moved.groupBy("shard").count().collect()}  # one row per shard
     placed = rows.join(homes, "node", "left").withColumn(
-        "home", F.coalesce("home", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")))
+        "home", F.coalesce("home", filling([share - held.get(s, 0) for s in range(shards)])))
     # rows without links stand at both ends of a shard, where the cuts fall
-    zone = F.when(F.col("hub").isNotNull(), 1).when(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2)) == 0, 0).otherwise(2)
+    side = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2)) * 2
+    zone = F.when(F.col("hub").isNotNull(), F.lit(1).cast("long")).otherwise(side)
     placed = placed.select("node", "doc_id", "size", "text_crc32", "home", zone.alias("zone"),
                            F.coalesce("hub", "node").alias("hub"))
     order = [F.col(c) for c in ("home", "zone", "hub", "node")]
