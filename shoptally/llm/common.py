@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,89 @@ def byte_slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         size += len(text)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+class Vocabulary(dict):
+    """Numbers the chunks of text a Python worker meets, and keeps what was computed for each.
+
+    ``compute`` gets the new chunks of a batch and returns one array per kind of value, one row per
+    chunk. Beyond ``limit`` chunks the table starts anew, so its memory is bounded.
+    """
+
+    def __init__(self, compute, limit: int = 400_000):
+        super().__init__()
+        self.compute, self.limit = compute, limit
+        self.fresh: list[str] = []
+        self.values: list[np.ndarray] = []
+        self.used = 0
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return number
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all chunks of ``texts`` in a row, and how many each text has."""
+        if len(self) > self.limit:
+            self.clear()
+            self.values, self.used = [], 0
+        parts = [chunks(t) for t in texts]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        found = np.fromiter(
+            map(self.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        if self.fresh:
+            self.grow([np.asarray(v) for v in self.compute(self.fresh)], len(self.fresh))
+            self.fresh = []
+        return found, sizes
+
+    def grow(self, more: list[np.ndarray], count: int) -> None:
+        if not self.values:
+            self.values = [np.zeros((1024, *m.shape[1:]), m.dtype) for m in more]
+        while self.used + count > len(self.values[0]):
+            self.values = [np.concatenate([v, np.zeros_like(v)]) for v in self.values]
+        for value, new in zip(self.values, more, strict=True):
+            value[self.used:self.used + count] = new
+        self.used += count
+
+
+def summed(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of ``rows`` (float64), empty stretches being 0."""
+    total = np.concatenate([np.zeros((1, *rows.shape[1:])), np.cumsum(rows, axis=0, dtype=np.float64)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+_TABLES: dict[str, tuple[str, Vocabulary]] = {}
+
+
+def worker_table(kind: str, token: str, make) -> Vocabulary:
+    """The vocabulary of a Python worker for one ``kind`` of work and one model (``token``); that of
+    an earlier model is let go."""
+    if kind not in _TABLES or _TABLES[kind][0] != token:
+        _TABLES[kind] = (token, make())
+    return _TABLES[kind][1]
+
+
+_LETTER = None
+
+
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    global _LETTER
+    if _LETTER is None:
+        _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _LETTER
+
+
+def letter_symbols(chunk_list: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks as a row of symbols, words apart by single zeros, and the chunk of each symbol. A symbol
+    is the lower-case letter's code point, those beyond ``3 / 4`` of the range folded into the rest."""
+    points = np.frombuffer("\n".join([c.lower() for c in chunk_list]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.append(points, np.uint32(10))
+    of = np.cumsum(points == 10) - (points == 10)
+    plain = 3 << (bits - 2)
+    wide = plain + ((points * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits + 2))
+    symbols = np.where(letters()[points], np.where(points < plain, points, wide), 0).astype(np.int64)
+    before = np.concatenate([[0], symbols[:-1]])
+    kept = (symbols != 0) | (before != 0)
+    return symbols[kept], of[kept]

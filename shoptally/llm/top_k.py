@@ -31,8 +31,10 @@ from pyspark.sql import Window
 from shoptally.llm.common import SALTS, salted, table, tasks, written
 
 #: vectors per block; a block of 64 components is 1 MB
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 2048
+#: pairs scored at a time
+_PAIRS = 1 << 15
 #: segments per resolution, coarse to fine
 LEVELS = (4, 16)
 #: sums below this are exact in doubles
@@ -93,7 +95,8 @@ def _best(q_ids, q, c_ids, c, k: int) -> pd.DataFrame:
         # scores of 2**52 and more lose digits as doubles: the bar is lowered by as much
         alive &= bound + slack >= (floor - 1e-9 * np.abs(np.nan_to_num(floor, neginf=0)))[:, None]
     rows, cols = np.nonzero(alive)
-    exact = scores(q[rows], c[cols])
+    exact = np.concatenate([np.zeros(0, np.int64), *[
+        scores(q[rows[i:i + _PAIRS]], c[cols[i:i + _PAIRS]]) for i in range(0, len(rows), _PAIRS)]])
     order = np.lexsort((c_ids[cols], ~exact, rows))  # ~x falls as x rises, and never overflows
     rows, cols, exact = rows[order], cols[order], exact[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
