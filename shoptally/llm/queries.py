@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoptally.llm import exact_dedup, licences, packing, sharding, top_k, warc
+from shoptally.llm import exact_dedup, language, licences, packing, sharding, top_k, toxicity, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Run = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Run]:
     return {
         "op1_licence_scan": licences.op1,
+        "op2_language_id": language.op2,
+        "op3_toxicity": toxicity.op3,
         "op6_packing": packing.op6,
         "op7_warc": warc.op7,
         "op8_sharding": sharding.op8,

@@ -17,13 +17,16 @@ larger than a shard fills neighbouring shards. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoptally.llm.common import columns_apart, salted, table, written
 
 SHARDS = 16
-ROUNDS = 6
+ROUNDS = 5
 
 
 def propagate(nodes: DataFrame, links: DataFrame, capacity: float, rounds: int = ROUNDS) -> DataFrame:
@@ -58,9 +61,9 @@ def propagate(nodes: DataFrame, links: DataFrame, capacity: float, rounds: int =
         if not flows:
             break
         taken = quotas(sizes, flows, capacity)
-        part = F.lit(0.0)
-        for (source, target), fraction in taken.items():
-            part = F.when((F.col("shard") == source) & (F.col("wish") == target), fraction).otherwise(part)
+        wide = 1 + max(max(pair) for pair in taken)
+        part = picked([taken.get((a, b), 0.0) for a in range(wide) for b in range(wide)],
+                      F.col("shard") * wide + F.col("wish"))
         lot = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 30)) / (1 << 30)
         now = want.select("node", F.when(lot < part, F.col("wish")).otherwise(
             F.col("shard")).alias("shard"))
@@ -88,16 +91,20 @@ def quotas(sizes: dict[int, float], flows: dict[tuple[int, int], int],
     return taken
 
 
+def picked(values: list[float], at: Column) -> Column:
+    """The value at a place of a short list; 0 beyond it."""
+    array = F.from_json(F.lit(json.dumps(values)), "array<double>")
+    return F.coalesce(F.get(array, at.cast("int")), F.lit(0.0))
+
+
 def filling(rooms: list[float]) -> Column:
     """A shard for a row without links: by lot, in proportion to the room that linked rows leave."""
     rooms = [max(0.0, r) for r in rooms]
     total = sum(rooms) or 1.0
     lot = F.pmod(F.xxhash64(F.lit("fill"), "node"), F.lit(1 << 30)) / (1 << 30)
-    chosen, bound = F.lit(len(rooms) - 1), 1.0
-    for shard in range(len(rooms) - 1, 0, -1):
-        bound -= rooms[shard] / total
-        chosen = F.when(lot < bound, F.lit(shard - 1)).otherwise(chosen)
-    return chosen.cast("int")
+    bounds = [b / total for b in accumulate(rooms)][:-1]
+    passed = F.filter(F.from_json(F.lit(json.dumps(bounds)), "array<double>"), lambda b: lot >= b)
+    return F.size(passed)
 
 
 def even(rows: DataFrame, order: list[Column], shards: int) -> DataFrame:
