@@ -34,7 +34,7 @@ LENGTH = 2048
 #: id 1 ends every document
 END_ID = 1
 #: chunks whose ids one Python worker keeps
-CACHED = 400_000
+CACHED = 1_000_000
 _SLICE = 1 << 21
 
 
@@ -47,7 +47,10 @@ class ChunkIds(dict):
         self.normalizer, self.model = self.tokenizer.normalizer, self.tokenizer.model
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(steps[0]["pattern"]["Regex"])
+        # this library counts the information separators as white space, the tokenizer's does not
+        signs = r"[^\s\p{L}\p{N}]"
+        self.split = regex.compile(
+            steps[0]["pattern"]["Regex"].replace(signs, rf"(?:{signs}|[\x1c-\x1f])"))
         self.half, self.older = limit // 2, {}
         self.letters = byte_letters()
 
@@ -63,14 +66,14 @@ class ChunkIds(dict):
 
     def ids(self, chunk: str) -> bytes:
         if "<|" in chunk:  # may hold a special token
-            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        else:
-            found = []
-            for word in self.split.findall(self.normalizer.normalize_str(chunk)):
-                if not word.isascii():
-                    word = "".join([self.letters[b] for b in word.encode()])
-                found += [t.id for t in self.model.tokenize(word)]
-        return np.array(found, "<u4").tobytes()
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        text = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
+        words = [text] if text.isalpha() else self.split.findall(text)
+        if words != [chunk]:
+            return b"".join([self[w] for w in words])
+        if not text.isascii():
+            text = "".join([self.letters[b] for b in text.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
