@@ -71,7 +71,7 @@ class ChunkIds(dict):
         words = [text] if text.isalpha() else self.split.findall(text)
         if words != [chunk]:
             return b"".join([self[w] for w in words])
-        if not text.isascii():
+        if not (text.isascii() and text.isprintable()):
             text = "".join([self.letters[b] for b in text.encode()])
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
 
