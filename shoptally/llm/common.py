@@ -10,6 +10,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shoptally.session import shared_folder
 
@@ -49,6 +50,11 @@ def columns_apart(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def with_fields(rows: DataFrame, more: str) -> StructType:
+    """The fields of ``rows`` but its last, the text, and ``more``."""
+    return StructType([*rows.schema.fields[:-1], *StructType.fromDDL(more).fields])
+
+
 def fold(cast_of: Column, modulus: int) -> Column:
     """The fold a contract names: crc32 of an id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(cast_of.cast("string")), F.lit(modulus)).cast("int")

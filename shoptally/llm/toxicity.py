@@ -35,6 +35,7 @@ from shoptally.llm.common import (
     fold,
     letter_symbols,
     table,
+    with_fields,
     worker_table,
 )
 from shoptally.llm.language import grams
@@ -412,8 +413,7 @@ def score(docs: DataFrame, net: Network | None, carried: list[Column], body: Col
     """The columns ``carried`` with ``score`` and ``predicted``."""
     rows = docs.select(*carried, F.coalesce(body, F.lit("")).alias("_body"))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # tables of fixed size
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(shared), own + ", score double, predicted int")
+    return rows.mapInArrow(_score(shared), with_fields(rows, "score double, predicted int"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
