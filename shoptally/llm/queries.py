@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoptally.llm import exact_dedup, language, licences, near_dedup, packing, sharding, top_k, toxicity, warc
+from shoptally.llm import exact_dedup, language, licences, near_dedup, packing, pieces, sharding, top_k, toxicity, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Run]:
         "op2_language_id": language.op2,
         "op3_toxicity": toxicity.op3,
         "op4_near_dedup": near_dedup.op4,
+        "op5_piece_sampling": pieces.op5,
         "op6_packing": packing.op6,
         "op7_warc": warc.op7,
         "op8_sharding": sharding.op8,
