@@ -25,6 +25,11 @@ HEADLINE = [
     "checkout_verdicts", "cart_consolidated", "payment_reconciliation", "invoice_documents",
     "sales_lines", "invoice_list", "sales_validated", "sales_completeness",
     "product_batch_report", "upload_products_consolidated", "integrity_audit",
+    "sheet_typed", "metric_devices_per_transaction", "metric_conversion_rate_daily",
+    "period_last_months_head_tail", "filter_choices", "trend_promo_invoice_monthly",
+    "upload_violations", "sales_payment_lists", "sheet_cleaned_from_csv", "checkout_items",
+    "ledger_batch_outcome", "upload_summary", "upload_applied_in_order",
+    "stream_stock_balance", "stream_ledger_booked",
 ]
 
 

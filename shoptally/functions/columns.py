@@ -38,15 +38,6 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def opaque(condition: Column) -> Column:
-    """The same condition, left out of constraint inference.
-
-    For a condition over n derived columns the optimizer infers 2^n variants of it. Random
-    terms are exempt; this one is never true.
-    """
-    return condition | (F.rand(0) < 0)
-
-
 def join_key(key: str, *spread_by: str) -> Column:
     """``key`` as text for the left side of an outer join. NULL keys match nothing, yet all would
     be sent to one task: they become values of their own, spread by the given columns."""

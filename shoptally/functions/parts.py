@@ -1,8 +1,8 @@
 """Bounded parts of a group, for results that list a group's members in one array.
 
-One invoice or product may hold a large share of all rows, and an array lives in one task. A
-group of up to ``limit`` members is part 0; a larger one is spread over numbered parts, so
-every array stays bounded and no member is dropped.
+One invoice or product may hold a large share of all rows, and an array lives in one task. Every
+member gets its position within the group, 0, 1, 2, ..., and every array holds ``limit`` positions:
+part 0 the first ones, part 1 the next, at any size of the group. No member is dropped.
 """
 
 from __future__ import annotations
@@ -10,38 +10,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoptally.functions.numbering import numbered
+
 PART_ROWS = 10_000
 
 
-def id_parts(df: DataFrame, keys: list[str], id_col: str, limit: int = PART_ROWS,
-             kind: str | None = None) -> DataFrame:
-    """Adds ``part``: stretches of ``limit`` consecutive ids in groups above ``limit`` rows.
+def with_positions(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds ``pos``, dense within each group in ``order`` (unique within the group).
 
-    Ids are unique per group, so a part holds at most ``limit`` rows, and parts in order are the
-    group in order. With ``kind``, each of the few kinds of row is a list of its own. Only
-    oversized groups reach the join's right side, and the join leaves the rows distributed by
-    ``keys``, so grouping them by keys and part moves nothing again.
+    All rows are numbered over range partitions, so a hot group is spread over many tasks; the
+    group's lowest number is an aggregate. A row without a key has no position.
     """
-    what = F.lit("") if kind is None else F.col(kind)
-    starts = (
-        df.groupBy(*keys, what.alias("_kind"))
-        .agg(F.count("*").alias("_n"), F.min(id_col).alias("_lo")).where(F.col("_n") > limit)
-        .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_kind", "_lo"))).alias("_los"))
-    )
-    offset = F.col(id_col) - F.try_element_at("_los", what)
-    part = F.coalesce(F.expr(f"_offset div {limit}"), F.lit(0)).cast("bigint")
-    return df.join(starts, keys, "left").withColumn("_offset", offset).withColumn(
-        "part", part).drop("_los", "_offset")
-
-
-def hash_parts(df: DataFrame, keys: list[str], member: str, limit: int = PART_ROWS) -> DataFrame:
-    """Adds ``part`` for groups whose distinct members have no order of their own."""
-    big = (
-        df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    )
-    n_parts = F.ceil(F.col("_n") / F.lit(limit))
-    part = F.coalesce(F.pmod(F.xxhash64(member), n_parts), F.lit(0)).cast("bigint")
-    return df.join(big, keys, "left").withColumn("part", part).drop("_n")
+    placed = numbered(df, [*keys, order], "_number", 0)
+    first = placed.groupBy(*keys).agg(F.min("_number").alias("_first"))
+    return placed.join(first, keys, "left").withColumn(
+        "pos", F.col("_number") - F.col("_first")).drop("_number", "_first")
+
+
+def with_parts(df: DataFrame, keys: list[str], order: str, limit: int = PART_ROWS) -> DataFrame:
+    """Adds ``part``: ``limit`` consecutive positions of a group have one part number."""
+    part = F.coalesce(F.expr(f"pos div {limit}"), F.lit(0)).cast("bigint")
+    return with_positions(df, keys, order).withColumn("part", part).drop("pos")
 
 
 def in_order(rows: str) -> Column:

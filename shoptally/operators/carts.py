@@ -114,6 +114,14 @@ def check_payload(payload: DataFrame) -> DataFrame:
         .when(F.greatest(*sku) != F.least(*sku), "item lists differ in length"))
 
 
+def problems(checked: DataFrame) -> DataFrame:
+    """(cart_id, problem): the gravest problem among the parts of each cart's payload."""
+    rank = F.when(F.col("problem") == "empty value", 0).when(
+        F.col("problem") == "payment lists differ in length", 1).otherwise(2)
+    worst = F.min(F.when(F.col("problem").isNotNull(), F.struct(rank.alias("rank"), "problem")))
+    return checked.groupBy("cart_id").agg(worst.alias("worst")).select("cart_id", "worst.problem")
+
+
 def judge(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """Adds ``ok`` to cart lines: enough stock of (sku, serial). No history is not enough."""
     clean = lines.withColumn("serial", F.nullif("serial", F.lit("")))

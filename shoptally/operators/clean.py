@@ -21,9 +21,9 @@ def normalise_names(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.strip().replace(" ", "_").lower() for c in df.columns))
 
 
-def categorise(df: DataFrame, sample: int | None = None) -> DataFrame:
+def categorise(df: DataFrame) -> DataFrame:
     named = normalise_names(df)
-    return kinds.cast_by_kind(named, kinds.kinds(named, sample))
+    return kinds.cast_by_kind(named, kinds.kinds(named))
 
 
 def recover_money(target: str, by: str) -> Column:
@@ -127,11 +127,11 @@ def add_calendar(df: DataFrame, *labels: str) -> DataFrame:
     return df.withColumns({name: made[name] for name in labels or made})
 
 
-def clean_sheet(raw: DataFrame, sample: int | None = None) -> DataFrame:
+def clean_sheet(raw: DataFrame) -> DataFrame:
     """Raw text sheet to typed, repaired, labelled sales."""
     return (
         raw.transform(rename_positional)
-        .transform(categorise, sample)
+        .transform(categorise)
         .transform(validate)
         .transform(add_calendar)
     )

@@ -31,7 +31,10 @@ def mark_later_copies(df: DataFrame, key: str, order: list[str], flag: str) -> D
     NULL keys form one group, as any other value does.
     """
     place = F.struct(*order)
-    firsts = df.groupBy(key).agg(F.min(place).alias("_first"), F.lit(1).alias("_k"))
-    firsts = firsts.withColumnRenamed(key, "_key")
-    return df.join(firsts, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
-        flag, place != F.col("_first")).drop("_key", "_first", "_k")
+    firsts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("_key")).agg(
+        F.min(place).alias("_first"))
+    # most keys may be NULL: their first row is a one-row scalar, and they spread over all tasks
+    nothing = df.where(F.col(key).isNull()).agg(F.min(place).alias("_none")).scalar()
+    first = F.when(F.col(key).isNull(), nothing).otherwise(F.col("_first"))
+    return df.join(firsts, join_key(key, *df.columns) == F.col("_key"), "left").withColumn(
+        flag, place != first).drop("_key", "_first")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoptally.functions.columns import total
-from shoptally.functions.parts import PART_ROWS, hash_parts
+from shoptally.functions.parts import PART_ROWS, with_parts
 from shoptally.functions.rules import signed_quantity
 
 
@@ -40,10 +40,10 @@ def stock(product: DataFrame, price: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def serials(ledger: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(product_id, part, serial_list): serials in stock, sorted within each part."""
+    """(product_id, part, serial_list): serials in stock in order, ``part_rows`` to a row."""
     held = serial_balance(ledger.where(F.col("serial").isNotNull())).where(F.col("stock") > 0)
     return (
-        hash_parts(held, ["product_id"], "serial", part_rows)
+        with_parts(held, ["product_id"], "serial", part_rows)
         .groupBy("product_id", "part")
         .agg(F.sort_array(F.collect_list("serial")).alias("serial_list"))
     )

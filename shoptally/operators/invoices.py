@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoptally import constants as K
 from shoptally.functions.columns import total
-from shoptally.functions.parts import PART_ROWS, id_parts, in_order
+from shoptally.functions.parts import PART_ROWS, in_order, with_parts
 from shoptally.operators.kinds import to_day
 
 ITEM_FIELDS = ("product_id", "product_name", "quantity", "price", "discount")
@@ -27,7 +27,9 @@ def cancelled_at(ledger: DataFrame) -> DataFrame:
 
 
 def _entries(df: DataFrame, kind: str, fields: dict[str, Column]) -> DataFrame:
-    return df.select("order_id", F.lit(kind).alias("kind"), F.col("id").cast("bigint").alias("id"),
+    # ids of different tables in one column: as text of one length, in the order of the ids
+    return df.select("order_id", F.lit(kind).alias("kind"),
+                     F.lpad(F.col("id").cast("string"), 40, "0").alias("id"),
                      *[v.alias(k) for k, v in fields.items()])
 
 
@@ -40,7 +42,7 @@ def _lists(item: DataFrame, product: DataFrame, payment: DataFrame, ledger: Data
     paid = _entries(payment, "payment", {"method": F.col("method"), "amount": F.col("amount")})
     sold = _entries(ledger.where(F.col("type") == "sell"), "serial", {"serial": F.col("serial")})
     rows = items.unionByName(paid, True).unionByName(sold, True)
-    parts = id_parts(rows, ["order_id"], "id", part_rows, kind="kind")
+    parts = with_parts(rows, ["order_id", "kind"], "id", part_rows)
 
     def gather(kind: str, *fields: str) -> Column:
         return F.collect_list(F.when(F.col("kind") == kind, F.struct("id", *fields)))
@@ -59,8 +61,9 @@ def _lists(item: DataFrame, product: DataFrame, payment: DataFrame, ledger: Data
 
 def documents(orders: DataFrame, customer: DataFrame, item: DataFrame, product: DataFrame,
               payment: DataFrame, ledger: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """One row per order with its lists in id order; NULL serials keep their place. An order
-    with more than ``part_rows`` entries of a kind continues in further ``part`` rows."""
+    """One row per order with its lists in id order; NULL serials keep their place. A row holds
+    ``part_rows`` entries of a kind, further ones follow in further ``part`` rows, so items and
+    serials of one part are at the same positions."""
     who = customer.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"),
                           F.col("email").alias("customer_email"))
     lists = _lists(item, product, payment, ledger, part_rows)
@@ -81,30 +84,28 @@ def documents(orders: DataFrame, customer: DataFrame, item: DataFrame, product:
 
 
 def payment_lists(payment: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    rows = id_parts(payment, ["order_id"], "id", part_rows)
+    rows = with_parts(payment, ["order_id"], "id", part_rows)
     lists = rows.groupBy("order_id", "part").agg(
         F.collect_list(F.struct("id", "amount", "method")).alias("payments"))
     sorted_lists = lists.select("order_id", "part", in_order("payments"))
     return sorted_lists.select("order_id", "part", "payments.amount", "payments.method")
 
 
-def sales_lines(item: DataFrame, orders: DataFrame, product: DataFrame, customer: DataFrame,
-                payment: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Item lines with their order, product, customer and the order's payment lists. Orders
-    without payments keep their lines, with NULL lists."""
+def sales_lines(item: DataFrame, orders: DataFrame, product: DataFrame, customer: DataFrame
+                ) -> DataFrame:
+    """Item lines with their order, product and customer, each line once. What was paid for the
+    orders is ``payment_lists``, a frame of its own: an order may have several parts of it."""
     o = orders.select(F.col("id").alias("order_id"), "customer_id", "staff_id",
                       F.col("discount").alias("order_disc"), "status", "created_at")
     p = product.select(F.col("id").alias("product_id"), "cat", "subcat",
                        F.col("name").alias("product_name"))
     c = customer.select(F.col("id").alias("customer_id"), F.col("name"), F.col("email"))
-    # attach the lists to the orders first, so that the long item side is joined by order once
-    paid = o.join(payment_lists(payment, part_rows), "order_id", "left").join(c, "customer_id")
     return (
-        item.withColumnRenamed("discount", "item_discount").join(paid, "order_id")
+        item.withColumnRenamed("discount", "item_discount").join(o.join(c, "customer_id"), "order_id")
         .join(p, "product_id")
         .select("created_at", F.col("order_id").alias("invoice"), "staff_id", "order_disc",
                 "status", "product_id", "serial", "cat", "subcat", "product_name", "quantity",
-                "price", "item_discount", "part", "amount", "method",
+                "price", "item_discount",
                 F.col("customer_id").alias("phone"), "name", "email")
     )
 
@@ -132,23 +133,36 @@ def invoice_list(orders: DataFrame, item: DataFrame, payment: DataFrame) -> Data
         .join(pieces, "order_id", "left").join(money, "order_id", "left")
         .select(F.col("order_id").alias("invoice"),
                 F.coalesce("quantity", F.lit(0)).alias("quantity"),
-                F.coalesce("amount", F.lit(0)).alias("amount"), "created_at", "status")
+                F.coalesce("amount", F.lit(0)).alias("amount"),
+                local_time(F.col("created_at")).alias("created_at"), "status")
     )
 
 
 def search(orders: DataFrame, keyword: str) -> DataFrame:
-    """Orders created on the day the keyword names (day first), else ids that end with it."""
+    """Orders created on the day of the store the keyword names (day first), else ids that end with
+    it. The day becomes a range of UTC times, which a scan can push down."""
     day = to_day(F.lit(keyword))
-    by_day = F.to_date("created_at") == day
+
+    def midnight(d: Column) -> Column:
+        return F.convert_timezone(F.lit(K.STORE_TIMEZONE), F.lit("UTC"), d.cast("timestamp_ntz"))
+
+    by_day = (F.col("created_at") >= midnight(day)) & (F.col("created_at") < midnight(F.date_add(day, 1)))
     return orders.where(
         F.when(day.isNotNull(), by_day).otherwise(F.col("id").cast("string").endswith(keyword)))
 
 
 def page(df: DataFrame, key: str, number: int, size: int = 5) -> DataFrame:
-    """The ``number``-th page, newest id first."""
+    """The ``number``-th page, newest id first; for pages near the start."""
     return df.orderBy(F.col(key).desc()).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, key: str, last: int | None, size: int = 5) -> DataFrame:
+    """The page that follows the id ``last`` (None: the first page), newest first. However far down,
+    a task holds ``size`` rows."""
+    rest = df if last is None else df.where(F.col(key) < last)
+    return rest.orderBy(F.col(key).desc()).limit(size)
+
+
 def entry_totals(item: DataFrame) -> DataFrame:
     """Order subtotal, discount and balance in one row over all lines."""
     gross = F.col("price") * F.col("quantity")

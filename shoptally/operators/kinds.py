@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoptally import constants as K
-from shoptally.functions.columns import any_of, columns_of, opaque
+from shoptally.functions.columns import columns_of
 
 VALUE_KINDS = ("phone", "date", "boolean", "numeric", "category")
 
@@ -23,26 +23,18 @@ def kind_by_name(name: str) -> str | None:
     return None
 
 
-def value_profile(df: DataFrame, names: list[str], sample: int | None = None) -> DataFrame:
+def value_profile(df: DataFrame, names: list[str]) -> DataFrame:
     """Detector ratios per column over its non-null values: one row per column.
 
     The values are first grouped by (column, value), so every detector runs once per distinct
     value, distinct counts are plain counts, and no group is larger than one value's copies.
-    ``sample`` looks at the first ``sample`` non-null values of each column only.
     """
-    if sample is None:
-        pairs = df.select(
-            F.explode(F.array(*[
-                F.struct(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("v"))
-                for n in names
-            ])).alias("pair")
-        ).select("pair.*").where(F.col("v").isNotNull())
-    else:
-        pairs = None
-        for n in names:
-            head = df.select(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("v"))
-            head = head.where(F.col("v").isNotNull()).limit(sample)
-            pairs = head if pairs is None else pairs.unionByName(head)
+    pairs = df.select(
+        F.explode(F.array(*[
+            F.struct(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("v"))
+            for n in names
+        ])).alias("pair")
+    ).select("pair.*").where(F.col("v").isNotNull())
     v, n = F.col("v"), F.col("n")
     values = pairs.groupBy("column_name", "v").agg(F.count("*").alias("n"))
 
@@ -54,7 +46,7 @@ def value_profile(df: DataFrame, names: list[str], sample: int | None = None) ->
         F.count("*").alias("n_distinct"),
         F.count_distinct(F.lower(F.trim(v))).alias("n_folded"),
         share(F.lower(F.trim(v)).isin(*K.BOOLEAN_WORDS)).alias("boolean_share"),
-        share(v.try_cast("timestamp").isNotNull()).alias("datetime_share"),
+        share(to_day(F.trim(v)).isNotNull()).alias("datetime_share"),
         share(v.rlike("[-/: ]")).alias("separator_share"),
         share(F.substr(v, F.lit(1), F.lit(1)).isin(*K.PHONE_FIRST_DIGITS)).alias("phone_share"),
         (F.sum(F.length(F.regexp_replace(v, r"[,\-\s]", "")) * n) / F.sum(n)).alias("phone_length"),
@@ -86,22 +78,24 @@ def kind_by_value(profile: DataFrame, numeric: tuple[str, ...] = ()) -> DataFram
     return profile.select("column_name", kind.alias("kind"))
 
 
-def kinds(df: DataFrame, sample: int | None = None) -> dict[str, str]:
+def kinds(df: DataFrame) -> dict[str, str]:
     """Kind of every column. At most one job, which returns one row per undecided column."""
     found = {c: kind_by_name(c) for c in df.columns}
     pending = [c for c, k in found.items() if k is None]
     if pending:
         numeric = tuple(c for c in columns_of(df, "numeric") if c in pending)
-        rows = kind_by_value(value_profile(df, pending, sample), numeric).collect()
+        rows = kind_by_value(value_profile(df, pending), numeric).collect()
         by_value = {r["column_name"]: r["kind"] for r in rows}
         found.update({c: by_value.get(c, "string") for c in pending})
     return found
 
 
 def to_day(text: Column) -> Column:
-    """Full dates only: year first or day first, with - or /; anything else is NULL."""
-    year_first = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"
-    day_first = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$"
+    """The day of a full date or date-time: year first or day first, with - or /; anything else is
+    NULL. The detector of dates asks the same function, so it finds no date the cast would lose."""
+    clock = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+    year_first = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + clock
+    day_first = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})" + clock
     iso = F.when(text.rlike(year_first), F.regexp_replace(text, year_first, "$1-$2-$3")).when(
         text.rlike(day_first), F.regexp_replace(text, day_first, "$3-$2-$1")
     )
@@ -109,8 +103,9 @@ def to_day(text: Column) -> Column:
 
 
 def to_clock(text: Column) -> Column:
-    """Time of day as ``HH:mm:ss`` text; anything else is NULL."""
-    return F.when(text.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), text)
+    """Time of day as ``HH:mm:ss`` text, seconds being optional; anything else is NULL."""
+    short = F.when(text.rlike(r"^([01]\d|2[0-3]):[0-5]\d$"), F.concat(text, F.lit(":00")))
+    return F.when(text.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), text).otherwise(short)
 
 
 _AS_TEXT = ("string", "phone", "category")
@@ -134,6 +129,7 @@ def cast_by_kind(df: DataFrame, kind_of: dict[str, str]) -> DataFrame:
         else:
             casts[name] = c.cast("string")
     typed = df.withColumns(casts)
-    # plain text first: nearly every row passes on it, before any cast is tried
+    # plain text first: nearly every row passes on it, before any cast is tried. One expression,
+    # and not an OR of many: the optimizer would infer every variant of it
     cheap_first = sorted(typed.columns, key=lambda c: kind_of[c] not in _AS_TEXT)
-    return typed.where(opaque(any_of(F.col(c).isNotNull() for c in cheap_first)))
+    return typed.where(F.coalesce(*[F.col(c).cast("string") for c in cheap_first]).isNotNull())

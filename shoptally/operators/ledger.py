@@ -13,6 +13,7 @@ from shoptally import constants as K
 from shoptally.functions.columns import join_key
 from shoptally.functions.rules import signed_quantity
 from shoptally.operators.inventory import serial_balance, serial_modes
+from shoptally.session import use_checkpoints
 
 
 def validity(batch: DataFrame) -> DataFrame:
@@ -96,9 +97,11 @@ def conflicts(judged: DataFrame) -> DataFrame:
 
 def admit(batch: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to append, conflicts). An invalid row, or a refused one, empties the first."""
-    checked = validity(batch)
-    judged = judge(batch, ledger)
-    return bookable(judged).where(no_problem(checked)), conflicts(judged)
+    use_checkpoints(batch.sparkSession)
+    # read by the gate, the bookings and the conflicts: judged once
+    judged = judge(validity(batch), ledger).checkpoint()
+    booked = bookable(judged).where(no_problem(judged)).select(*batch.columns)
+    return booked, conflicts(judged)
 
 
 def cancel(requested: DataFrame, orders: DataFrame, ledger: DataFrame

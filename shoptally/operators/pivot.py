@@ -8,23 +8,10 @@ from pyspark.sql import functions as F
 from shoptally.functions.calendar import axis_label
 from shoptally.operators.periods import period_spine
 
-MAX_GROUPS = 2_000
 
-
-def groups_in_order(long: DataFrame) -> list[str]:
-    """Group values by first period, then name. They become columns, so there may not be many."""
-    rows = (
-        long.groupBy("grp").agg(F.min("period").alias("first_seen"))
-        .orderBy("first_seen", "grp").limit(MAX_GROUPS + 1).collect()
-    )
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups cannot become columns; use the long form")
-    return [r["grp"] for r in rows]
-
-
-def wide(long: DataFrame, cur: DataFrame, view: str, groups: list[str] | None = None) -> DataFrame:
-    """Periods without a row for a group are 0. Give ``groups`` to skip the discovery job."""
-    groups = groups_in_order(long) if groups is None else groups
+def wide(long: DataFrame, cur: DataFrame, view: str, groups: list[str]) -> DataFrame:
+    """Periods without a row for a group are 0. ``groups`` become columns in the order given: a
+    chart's choice, or a short dimension table's keys. The long form serves many groups."""
     cells = long.groupBy("period").pivot("grp", groups).agg(F.first("value"))
     spine = period_spine(cur, view).withColumnRenamed("date", "period")
     filled = spine.join(cells, "period", "left").orderBy("period")

@@ -38,8 +38,10 @@ RAW_CELLS = [
     "CASE WHEN p_size % 3 = 0 THEN 'yes' ELSE 'No' END",
     "CASE WHEN p_size <= 45 THEN p_brand END",
     "CASE WHEN l_linenumber = 1 THEN 'Gift wrap' END",
+    "CASE WHEN l_linenumber = 2 THEN strftime(o_orderdate, '%d/%m/%Y 17:05') "
+    "ELSE strftime(o_orderdate, '%Y-%m-%d 08:30:00') END",
 ]
-RAW_NAMES = [*K.SALES_COLUMNS, "extra_note"]
+RAW_NAMES = [*K.SALES_COLUMNS, "extra_note", "seen_at"]
 RAW = ("SELECT " + ", ".join(
     f'CASE WHEN NOT (l_returnflag = \'N\' AND l_linenumber = 7) THEN {c} END AS "{n}"'
     for c, n in zip(RAW_CELLS, RAW_NAMES))
@@ -48,12 +50,18 @@ NUMBERS = {"price", "qty", "disc_percent", "disc_amount", "revenue", "cash", "ca
            "banking", "mkt_promo", "vnpay", "trade_in", "date_traffic"}
 
 
+def _day(c: str) -> str:
+    """The day of a date or date-time in either form."""
+    return (f"CASE WHEN regexp_full_match({c}, '\\d{{4}}-\\d{{2}}-\\d{{2}}( \\d{{2}}:\\d{{2}}:\\d{{2}})?') "
+            f"THEN TRY_CAST(substr({c}, 1, 10) AS DATE) "
+            f"WHEN regexp_full_match({c}, '\\d{{2}}/\\d{{2}}/\\d{{4}}( \\d{{2}}:\\d{{2}})?') "
+            f"THEN CAST(try_strptime(substr({c}, 1, 10), '%d/%m/%Y') AS DATE) END")
+
+
 def _typed(name: str) -> str:
     c = f'trim("{name}")'
-    if name == "date":
-        return (f"CASE WHEN regexp_full_match({c}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN TRY_CAST({c} AS DATE) "
-                f"WHEN regexp_full_match({c}, '\\d{{2}}/\\d{{2}}/\\d{{4}}') "
-                f"THEN CAST(try_strptime({c}, '%d/%m/%Y') AS DATE) END")
+    if name in ("date", "seen_at"):
+        return _day(c)
     if name == "time":
         return f"CASE WHEN regexp_full_match({c}, '([01]\\d|2[0-3]):[0-5]\\d:[0-5]\\d') THEN {c} END"
     if name in NUMBERS:
@@ -69,7 +77,8 @@ RAW_VIEWS = {
              + ' FROM raw WHERE invoice IS NOT NULL',
 }
 TYPED_OUT = ["date", "invoice", "staff", "product_name", "price", "qty", "disc_percent", "revenue",
-             "cash", "email", "id", "time", "date_traffic", "event_name", "sub_cat", "extra_note"]
+             "cash", "email", "id", "time", "date_traffic", "event_name", "sub_cat", "extra_note",
+             "seen_at"]
 
 
 @query("C1 C2", V.sql("", "SELECT date, invoice, product_name, sub_cat, extra_note FROM raw", raw=RAW))
@@ -86,6 +95,7 @@ KIND_OF = {
     "mkt_promo": "numeric", "vnpay": "numeric", "trade_in": "numeric", "email": "string",
     "name": "string", "id": "phone", "time": "time", "date_traffic": "numeric",
     "event_name": "boolean", "sub_cat": "category", "extra_note": "string",
+    "seen_at": "date",
 }
 
 
@@ -116,18 +126,20 @@ def _profile_sql(c: str) -> str:
     return (f"SELECT '{c}' AS column_name, count(*) AS n_values, count(DISTINCT {v}) AS n_distinct, "
             f"count(DISTINCT lower(trim({v}))) AS n_folded, "
             f"{share(f'''lower(trim({v})) IN ('true', 'false', 'yes', 'no', '1', '0')''')} AS boolean_share, "
+            f"{share(_day(f'trim({v})') + ' IS NOT NULL')} AS datetime_share, "
             f"{share(f'''regexp_matches({v}, '[-/: ]')''')} AS separator_share, "
             f"{share(f'''substr({v}, 1, 1) IN ('0', '3', '5', '7', '8', '9')''')} AS phone_share, "
             f"CAST(sum(length(regexp_replace({v}, '[,\\-\\s]', '', 'g'))) AS DOUBLE) / count(*) AS phone_length, "
             f"{share(f'TRY_CAST({v} AS DOUBLE) IS NOT NULL')} AS numeric_share FROM raw WHERE {v} IS NOT NULL")
 
 
-PENDING = ["staff", "lot_number", "product_name", "email", "date_traffic", "event_name", "sub_cat", "id"]
+PENDING = ["staff", "lot_number", "product_name", "email", "date_traffic", "event_name", "sub_cat", "id",
+           "seen_at"]
 
 
 @query("C4 C4a C4b C4c C4d C4e", V.sql("", " UNION ALL ".join(_profile_sql(c) for c in PENDING), raw=RAW))
 def sheet_value_profile(spark, d):
-    return kinds.value_profile(named_sheet(spark, d), PENDING).drop("datetime_share")
+    return kinds.value_profile(named_sheet(spark, d), PENDING)
 
 
 def typed_sheet(spark, d) -> DataFrame:

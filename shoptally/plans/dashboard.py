@@ -229,10 +229,10 @@ SPINE = {
     **metric_views("staff_attachment_rate", "1w"), daily_spine=SPINE["1d"],
     spine=f"SELECT DISTINCT {V.trunc('date', '1w')} AS period FROM daily_spine"))
 def metric_wide_by_staff(spark, d):
-    """Wide form; the groups are found in the data."""
+    """Wide form for the groups of the staff table."""
     m = metrics.CATALOGUE["staff_attachment_rate"]
     facts = sales(spark, d, "date", m.group, *m.daily)
-    return pivot.wide(metrics.by_group(facts, m, "1w"), facts, "1w")
+    return pivot.wide(metrics.by_group(facts, m, "1w"), facts, "1w", STAFF_GROUPS)
 
 
 @query("O8", V.sql("sales", "SELECT grp, min(period) AS first_seen FROM long GROUP BY grp",

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoptally.operators import ledger
 from shoptally.plans import views as V
 from shoptally.plans.registry import query
 from shoptally.plans.stock import JUDGED, STRICT
@@ -63,13 +64,38 @@ UNION ALL SELECT 'serial', serial FROM judged GROUP BY serial
 HAVING NOT bool_or(stock_ok AND serial_ok AND cap_ok)""", **JUDGED))
 def stream_ledger_admission(spark, d):
     """The open movements arrive as a stream; the batch is refused and its conflicts are listed."""
-    moves = W.ledger(spark, d, arriving(spark, d, "lineitem")).where(F.col("phase") == "O")
+    moves = W.ledger(spark, d, arriving(spark, d, "lineitem")).where(F.col("phase") == "O").drop(
+        "phase", "created_at", "order_id")
     folder = shared_folder(spark, "stream")
     admission.start(moves, W.history(spark, d), f"{folder}/log", f"{folder}/refused",
                     f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/refused").select("field", "value")
 
 
+@query("T3 L1 L2 L3 L4 L5", V.sql("history incoming", """
+SELECT id, product_id, serial, type, quantity, 0 AS number FROM judged WHERE stock_ok AND serial_ok AND cap_ok""",
+                                  **JUDGED))
+def stream_ledger_booked(spark, d):
+    """The booked log after three micro-batches: the rows that pass, all rows (refused as a whole),
+    and one row with an order id (refused)."""
+    folder = shared_folder(spark, "stream")
+    rows = W.incoming(spark, d)
+    passing = ledger.judge(rows, W.history(spark, d)).where("accepted").select(*rows.columns)
+    none = F.lit(None).cast("bigint")
+    batches = [passing.withColumn("order_id", none), rows.withColumn("order_id", none),
+               spark.createDataFrame([("x", "new", None, "import_po", 1, 99)],
+                                     "id string, product_id string, serial string, type string, "
+                                     "quantity bigint, order_id bigint")]
+    for number, batch in enumerate(batches):  # one file each: a micro-batch of its own
+        batch.coalesce(1).write.parquet(f"{folder}/in/{number}")
+    arrivals = (spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1)
+                .option("recursiveFileLookup", True).parquet(f"{folder}/in"))
+    admission.start(arrivals, W.history(spark, d), f"{folder}/log", f"{folder}/refused",
+                    f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/log").select(
+        "id", "product_id", "serial", "type", "quantity", F.col("number").cast("int").alias("number"))
+
+
 @query("S7", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def new_files_once(spark, d):
     """A folder watched twice: the second run finds nothing new, so every row is there once."""

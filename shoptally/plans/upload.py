@@ -139,7 +139,7 @@ def customer_batch_report(spark, d):
 # --- upload sheet -------------------------------------------------------------------------------------
 SHEET_VIEWS = {
     "sheet": f"""
-SELECT concat(lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), '-', lpad(CAST({V.LINE_ID} AS VARCHAR), 20, '0')) AS line,
+SELECT concat(lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), '-', {V.LINE_ID}) AS line,
        CASE WHEN p_size <> 2 THEN 8930000000000 + p_partkey END AS ean,
        CASE WHEN p_size = 1 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS id,
        p_type AS cat, CASE WHEN l_linenumber > 3 THEN p_brand END AS subcat,
@@ -179,7 +179,7 @@ def sheet(spark, d) -> DataFrame:
     )
     return rows.select(
         F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lit("-"),
-                 F.lpad(W._line_id().cast("string"), 20, "0")).alias("line"),
+                 W._line_id()).alias("line"),
         F.when(size != 2, F.lit(8930000000000) + F.col("p_partkey")).alias("ean"),
         F.when(size == 1, "").otherwise(F.col("p_partkey").cast("string")).alias("id"),
         F.col("p_type").alias("cat"),

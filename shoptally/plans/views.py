@@ -8,8 +8,9 @@ SERIAL = (
     "CASE WHEN l_partkey % 5 = 0 AND NOT (l_partkey % 3 = 0 AND l_linenumber = 7) "
     "THEN concat('SN', CAST(l_partkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) END"
 )
-LINE_ID = ("(CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 10000000 "
-           "+ l_suppkey % 100000 * 100 + CAST(l_quantity AS BIGINT))")
+LINE_ID = "concat(" + ", ".join(
+    f"lpad(CAST({c} AS VARCHAR), {n}, '0')" for c, n in [
+        ("l_linenumber", 6), ("l_partkey", 12), ("l_suppkey", 12), ("CAST(l_quantity AS BIGINT)", 8)]) + ")"
 
 VIEWS = {
     "sales": f"""
@@ -52,7 +53,7 @@ SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS customer_id,
        concat('Staff_', CAST(o_custkey % 10 AS VARCHAR)) AS staff_id,
        CAST(0 AS DECIMAL(18,2)) AS discount,
        CASE WHEN o_orderstatus = 'F' THEN 'cancelled' ELSE 'completed' END AS status,
-       o_orderdate AS created_at FROM orders""",
+       o_orderdate::TIMESTAMP + to_hours(o_orderkey % 24) AS created_at FROM orders""",
     "item": f"""
 SELECT {LINE_ID} AS id, l_orderkey AS order_id, CAST(l_partkey AS VARCHAR) AS product_id,
        {SERIAL} AS serial, CAST(l_quantity AS BIGINT) AS quantity,

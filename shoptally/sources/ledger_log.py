@@ -18,9 +18,30 @@ def stamp(rows: DataFrame, log: DataFrame) -> DataFrame:
     return rows.withColumn("batch_id", next_batch_id(log).cast("bigint"))
 
 
-def append(rows: DataFrame, folder: str, batch_id: int) -> None:
-    """Write one batch. The batch has its own folder, so a repeated attempt replaces it."""
-    rows.drop("batch_id").write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+def append(rows: DataFrame, folder: str, token: str) -> int:
+    """Write one batch under the next free id, which is returned. ``token`` names the batch: a batch
+    whose token is there already is not written again. Nothing is ever overwritten: of two writers
+    that take the same id at once, one fails and may try again."""
+    spark = rows.sparkSession
+    newest = K.FIRST_SEQUENCE_ID - 1
+    if exists(spark, folder):
+        seen = read(spark, folder)
+        row = seen.agg(F.max("batch_id").alias("newest"),
+                       F.max(F.when(F.col("token") == token, F.col("batch_id"))).alias("mine")).first()
+        if row["mine"] is not None:
+            return row["mine"]
+        newest = row["newest"] or newest
+    batch_id = newest + 1
+    rows.drop("batch_id", "token").withColumn("token", F.lit(token)).write.mode("errorifexists").parquet(
+        f"{folder}/batch_id={batch_id}")
+    return batch_id
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Is there a batch in ``folder``, on whatever file system it lies?"""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(path) and len(files.listStatus(path)) > 0
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

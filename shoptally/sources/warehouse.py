@@ -111,13 +111,10 @@ def ledger(spark: SparkSession, folder: str, lines: DataFrame | None = None) ->
 
 
 def _line_id() -> Column:
-    """Line id, unique within its order: sorts by line, product, supplier, quantity."""
-    return (
-        F.col("l_linenumber").cast("bigint") * F.lit(10**18)
-        + F.col("l_partkey") * F.lit(10**7)
-        + F.col("l_suppkey") % F.lit(10**5) * F.lit(100)
-        + F.col("l_quantity").cast("bigint")
-    )
+    """Line id, unique within its order: text that sorts by line, product, supplier, quantity. Every
+    number keeps all its digits."""
+    parts = [("l_linenumber", 6), ("l_partkey", 12), ("l_suppkey", 12), ("l_quantity", 8)]
+    return F.concat(*[F.lpad(F.col(c).cast("bigint").cast("string"), n, "0") for c, n in parts])
 
 
 def history(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,7 +163,9 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("Staff_"), (F.col("o_custkey") % 10).cast("string")).alias("staff_id"),
         F.lit(0).cast(MONEY).alias("discount"),
         F.when(F.col("o_orderstatus") == "F", "cancelled").otherwise("completed").alias("status"),
-        F.col("o_orderdate").alias("created_at"),
+        # at every hour, so that the UTC day and the store's day differ for some orders
+        (F.col("o_orderdate").cast("timestamp_ntz")
+         + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("created_at"),
     )
 
 
@@ -253,7 +252,7 @@ def dirty_sales(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_sheet(spark: SparkSession, folder: str) -> DataFrame:
-    """The sales sheet as it arrives: 28 text columns under working titles, padded text, two date
+    """The sales sheet as it arrives: 29 text columns under working titles, padded text, two date
     forms, bad dates, prices and times, missing money, blank rows."""
     rows = (
         table(spark, folder, "lineitem")
@@ -292,7 +291,10 @@ def raw_sheet(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("p_size") % 3 == 0, "yes").otherwise("No"),
         F.when(F.col("p_size") <= 45, F.col("p_brand")),
         F.when(line == 1, "Gift wrap"),
+        # date-times under a title that does not tell
+        F.when(line == 2, F.date_format("o_orderdate", "dd/MM/yyyy 17:05")).otherwise(
+            F.date_format("o_orderdate", "yyyy-MM-dd 08:30:00")),
     ]
     blank = (F.col("l_returnflag") == "N") & (line == 7)
-    titles = [f"Title {i}" for i in range(1, len(cells))] + [" Extra Note "]
+    titles = [f"Title {i}" for i in range(1, len(cells) - 1)] + [" Extra Note ", "Seen At"]
     return rows.select(*[F.when(~blank, c).alias(t) for c, t in zip(cells, titles)])

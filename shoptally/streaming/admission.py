@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
+from threading import Event
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoptally.operators import ledger
 from shoptally.session import use_checkpoints
+from shoptally.sources.ledger_log import exists
 
 ROW = ("product_id", "serial", "type", "quantity")
 
 
 def start(arrivals: DataFrame, booked: DataFrame, log: str, refused: str, checkpoint: str):
-    """Judge every micro-batch against ``booked`` plus what this stream booked before.
+    """Judge every micro-batch against ``booked`` plus all that the log holds.
 
-    One stream writes one log: that is what keeps two batches from taking the same stock. Output
-    folders carry the micro-batch number, so a repeated one replaces its own rows.
+    Rows are judged and booked with all their columns. One stream at a time writes a log: that is
+    what keeps two batches from taking the same stock. Output folders carry the stream's own id and
+    the number of the micro-batch: a repeated micro-batch replaces its own rows, and a stream with
+    a new checkpoint never touches what earlier ones booked.
     """
     spark = arrivals.sparkSession
     use_checkpoints(spark)
+    own, known = [], Event()
 
     def book(batch: DataFrame, number: int) -> None:
+        known.wait()
         past = booked.select(*ROW)
-        if number > 0:
-            earlier = spark.read.parquet(log).where(F.col("batch") < number)
-            past = past.unionByName(earlier.select(*ROW))
-        rows = batch.select(*ROW)
-        judged = ledger.judge(rows, past).checkpoint()
-        fine = ledger.no_problem(ledger.validity(rows))
-        ledger.bookable(judged).where(fine).select(*ROW).write.mode("overwrite").parquet(
-            f"{log}/batch={number}")
-        ledger.conflicts(judged).write.mode("overwrite").parquet(f"{refused}/batch={number}")
-
-    return (
+        if exists(spark, log):
+            mine = (F.col("stream") == own[0]) & (F.col("number") >= number)
+            past = past.unionByName(spark.read.parquet(log).where(~mine).select(*ROW))
+        judged = ledger.judge(ledger.validity(batch), past).checkpoint()
+        place = f"stream={own[0]}/number={number}"
+        fine = ledger.no_problem(judged)
+        ledger.bookable(judged).where(fine).select(*batch.columns).write.mode("overwrite").parquet(
+            f"{log}/{place}")
+        ledger.conflicts(judged).write.mode("overwrite").parquet(f"{refused}/{place}")
+
+    query = (
         arrivals.writeStream.foreachBatch(book).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+    own.append(str(query.id))
+    known.set()
+    return query

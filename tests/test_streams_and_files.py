@@ -35,10 +35,10 @@ def test_later_batches_see_what_earlier_ones_booked(spark, tmp_path):
     none = spark.createDataFrame([], ROW)
     admission.start(arrivals(spark, src), none, log, refused, str(tmp_path / "cp")).awaitTermination()
     booked = spark.read.parquet(log)
-    assert sorted((r["batch"], r["type"], r["quantity"]) for r in booked.collect()) == [
+    assert sorted((r["number"], r["type"], r["quantity"]) for r in booked.collect()) == [
         (0, "import_po", 5), (1, "transfer", 4), (3, "transfer", 1)]
     bad = spark.read.parquet(refused).collect()
-    assert [(r["batch"], r["field"], r["value"]) for r in bad if r["field"] == "product_id"] == [
+    assert [(r["number"], r["field"], r["value"]) for r in bad if r["field"] == "product_id"] == [
         (2, "product_id", "p")]
 
 
@@ -111,11 +111,37 @@ def test_unknown_formats_and_missing_files_are_left_out(spark, tmp_path):
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     folder = str(tmp_path / "log")
     rows = spark.createDataFrame([("p", None, "import_po", 5)], ROW)
-    ledger_log.append(rows, folder, 10_000_000)
-    ledger_log.append(rows, folder, 10_000_000)
+    assert ledger_log.append(rows, folder, "a") == ledger_log.append(rows, folder, "a") == 10_000_000
+    assert ledger_log.append(rows, folder, "b") == 10_000_001
     log = ledger_log.read(spark, folder)
-    assert log.count() == 1
-    assert ledger_log.stamp(rows, log).first()["batch_id"] == 10_000_001
+    assert log.count() == 2
+    assert ledger_log.stamp(rows, log).first()["batch_id"] == 10_000_002
+
+
+def test_a_new_checkpoint_keeps_what_was_booked(spark, tmp_path):
+    log, refused = str(tmp_path / "log"), str(tmp_path / "refused")
+    none = spark.createDataFrame([], ROW)
+    for run, rows in enumerate([[("p", None, "import_po", 5)], [("p", None, "transfer", 4)],
+                                [("p", None, "transfer", 4)]]):
+        src = str(tmp_path / f"in{run}")
+        land(spark, rows, src, 0)
+        admission.start(arrivals(spark, src), none, log, refused, str(tmp_path / f"cp{run}")).awaitTermination()
+    booked = spark.read.parquet(log)
+    assert sorted((r["type"], r["quantity"]) for r in booked.collect()) == [("import_po", 5), ("transfer", 4)]
+
+
+def test_a_row_with_an_order_id_refuses_its_batch(spark, tmp_path):
+    src, log = str(tmp_path / "in"), str(tmp_path / "log")
+    wide = ROW + ", order_id bigint, note string"
+    for number, order_id in enumerate((None, 99)):
+        spark.createDataFrame([("p", None, "import_po", 5, order_id, "n")], wide).coalesce(1).write.parquet(
+            f"{src}/{number}")
+    stream = (spark.readStream.schema(wide).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", True).parquet(src))
+    admission.start(stream, spark.createDataFrame([], ROW), log, str(tmp_path / "bad"),
+                    str(tmp_path / "cp")).awaitTermination()
+    booked = spark.read.parquet(log).collect()
+    assert [(r["order_id"], r["note"]) for r in booked] == [(None, "n")]
 
 
 def test_lists_and_rows_round_trip(spark):
