@@ -52,7 +52,7 @@ SENTENCES = {
                  "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
                  "in all copies",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                 "provided that the following conditions are met: 1",
+                 "provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions "
                   "and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
@@ -67,7 +67,7 @@ SENTENCES = {
     "gpl-details": "See the GNU General Public License for more details",
     "lgpl-notice": "Licensed under the GNU Lesser General Public License, version 3",
     "agpl-notice": "Licensed under the GNU Affero General Public License, version 3",
-    "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "ccby-notice": "Licensed under CC BY 4.0",
     "ccbysa-notice": "Licensed under CC BY-SA 4.0",
     "ccbync-notice": "Licensed under CC BY-NC 4.0",

@@ -36,6 +36,7 @@ END_ID = 1
 #: chunks whose ids one Python worker keeps
 CACHED = 1_000_000
 _SLICE = 1 << 21
+_LATIN = "\u024f"
 
 
 class ChunkIds(dict):
@@ -47,10 +48,8 @@ class ChunkIds(dict):
         self.normalizer, self.model = self.tokenizer.normalizer, self.tokenizer.model
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
-        # this library counts the information separators as white space, the tokenizer's does not
-        signs = r"[^\s\p{L}\p{N}]"
-        self.split = regex.compile(
-            steps[0]["pattern"]["Regex"].replace(signs, rf"(?:{signs}|[\x1c-\x1f])"))
+        self.split = regex.compile(steps[0]["pattern"]["Regex"])
+        self.steps = self.tokenizer.pre_tokenizer
         self.half, self.older = limit // 2, {}
         self.letters = byte_letters()
 
@@ -68,12 +67,18 @@ class ChunkIds(dict):
         if "<|" in chunk:  # may hold a special token
             return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         text = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
+        if not text.isprintable() or max(text) > _LATIN:
+            # what is a letter there depends on the library's edition of Unicode: ask the tokenizer
+            words = [w for w, _ in self.steps.pre_tokenize_str(text)]
+            return b"".join([self.word(w) for w in words])
         words = [text] if text.isalpha() else self.split.findall(text)
         if words != [chunk]:
             return b"".join([self[w] for w in words])
-        if not (text.isascii() and text.isprintable()):
-            text = "".join([self.letters[b] for b in text.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+        return self.word(text if text.isascii() else "".join([self.letters[b] for b in text.encode()]))
+
+    def word(self, letters: str) -> bytes:
+        """The ids of one word, given in the vocabulary's letters for bytes."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
