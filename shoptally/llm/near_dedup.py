@@ -56,6 +56,10 @@ IDF_SPAN = 0.1
 _PART = 256
 _SLICE = 1 << 21
 _BLOCK = 4096
+#: shingles sampled at a time
+_WIDTH = 512
+#: bits of the filter of rows that are compared at all; 8 MB
+FILTER_BITS = 26
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,20 +179,26 @@ class Sampler:
     def samples(self, kinds: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Per sample a 64-bit value: equal for two texts with probability of their similarity."""
         logs = np.log(weights).astype(np.float32)
-        out = np.empty(len(self.seeds), np.uint64)
-        low, s = np.uint64((1 << self.BITS) - 1), np.uint64(self.BITS)
-        for k, seed in enumerate(self.seeds):
-            h = kinds * seed
+        count = len(self.seeds)
+        lowest = np.full(count, np.inf, np.float32)
+        chosen, step = np.zeros(count, np.int64), np.zeros(count, np.float32)
+        every = np.arange(count)
+        for begin in range(0, len(kinds), _WIDTH):  # all samples of a stretch of shingles at once
+            h = self.seeds[:, None] * kinds[begin:begin + _WIDTH]
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(32)
-            r = self.r[(h & low).astype(np.int64)]
-            beta = self.beta[((h >> s) & low).astype(np.int64)]
-            t = np.floor(logs / r + beta)
-            log_a = self.log_c[(h >> np.uint64(48)).astype(np.int64)] - r * (t - beta) - r
-            best = log_a.argmin()
-            out[k] = kinds[best] ^ mixed(np.array([int(t[best]) & 0xFFFFFFFF], np.uint64))[0]
-        return out
+            parts = h.view(np.uint16).reshape(count, -1, 4)
+            r, beta = self.r[parts[:, :, 0]], self.beta[parts[:, :, 1]]
+            t = np.floor(logs[begin:begin + _WIDTH] / r + beta)
+            log_a = self.log_c[parts[:, :, 3]] - r * (t - beta + 1)
+            best = log_a.argmin(axis=1)
+            value = log_a[every, best]
+            better = value < lowest
+            lowest = np.where(better, value, lowest)
+            step = np.where(better, t[every, best], step)
+            chosen = np.where(better, begin + best, chosen)
+        return kinds[chosen] ^ mixed(step.astype(np.int64).astype(np.uint64))
 
 
 _SAMPLER: list[Sampler] = []
@@ -228,18 +238,36 @@ def _sign(shared):
     return run
 
 
-def _vectors(shared):
+def filter_bits(keys: DataFrame) -> np.ndarray:
+    """Words of a bit table in which the place of every ``k1`` of ``keys`` is set. Its size is fixed:
+    with very many keys it lets more rows through than needed, and never holds one back."""
+    place = F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = keys.select(F.shiftright(place, 6).cast("int").alias("word"),
+                        F.expr("shiftleft(1L, cast(k1 & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _vectors(shared, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
+        idf, words = shared.value, wanted.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            keys = batch.column(0).to_numpy()
+            place = keys & ((1 << FILTER_BITS) - 1)
+            rows = np.flatnonzero((words[place >> 6] >> (place & 63)) & 1)
+            if not len(rows):
+                continue
+            batch = batch.take(pa.array(rows))
+            texts = batch.column(2).to_pylist()
             for lo, hi in byte_slices(texts, _SLICE):
                 both = [weighted(found, idf) for found in shingles(texts[lo:hi])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo),
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
                      pa.array([k.tobytes() for k, _ in both], pa.binary()),
                      pa.array([w.astype(np.float32).tobytes() for _, w in both], pa.binary())],
-                    names=["node", "kinds", "weights"])
+                    names=["k1", "k2", "kinds", "weights"])
 
     return run
 
@@ -323,6 +351,7 @@ def signatures(docs: DataFrame, idf, text: str, doc_id: str) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float = THRESHOLD,
           rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Nodes standing for different texts, and verified links between them."""
+    spark = docs.sparkSession
     texts = written(signed.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(
         F.min("node").alias("node")), "near-texts")
     banded = signed.join(texts.select("node"), "node", "left_semi").select(
@@ -334,14 +363,15 @@ def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float =
                                           F.first("k2").alias("k2"))
     central = written(central, "near-central")
     body = columns_apart(docs, [text]).select(F.coalesce(F.col(text), F.lit("")).alias("body")).select(
-        "body", F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), "body").alias("k2"))
+        F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), "body").alias("k2"), "body")
+    wanted = spark.sparkContext.broadcast(filter_bits(central))  # of fixed size
+    found = body.mapInArrow(_vectors(idf, wanted), "k1 long, k2 long, kinds binary, weights binary")
     # different nodes may have one text only if the words differ, so (k1, k2) names one node
-    needed = body.join(central.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "body")
-    vectors = written(needed.mapInArrow(_vectors(idf), "node long, kinds binary, weights binary")
-                      .dropDuplicates(["node"]), "near-vectors")
+    vectors = written(found.join(central.select("node", "k1", "k2"), ["k1", "k2"]).select(
+        "node", "kinds", "weights").dropDuplicates(["node"]), "near-vectors")
     active = written(members.select("band", "value", "node").join(central.select("node", "met"), "node"),
                      "near-active").withColumn("root", F.col("node"))
-    found, known = None, None
+    found = known = None
     for turn in range(rounds):
         centre = active.groupBy("band", "value").agg(
             F.max(F.struct("met", (-F.col("node")).alias("minus"), "root")).alias("top")).select(
