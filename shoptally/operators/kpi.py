@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoptally.functions.columns import humanise, ratio, round_even, total
+from shoptally.operators import periods
+from shoptally.session import use_checkpoints
 
 CARDS = ("Revenue", "Transaction", "Conversion", "UPT", "ATV", "Traffic", "Unit", "Device")
 
@@ -21,9 +23,9 @@ def daily(df: DataFrame) -> DataFrame:
     )
 
 
-def totals(df: DataFrame) -> DataFrame:
-    """One row with the number of days and the eight cards of a slice."""
-    sums = daily(df).agg(
+def totals(days: DataFrame) -> DataFrame:
+    """One row with the number of days and the eight cards of a slice, from its daily figures."""
+    sums = days.agg(
         *[total(c).alias(c) for c in ("revenue", "qty", "invoices", "traffic", "lots")],
         F.count("*").alias("n_days"),
     )
@@ -48,6 +50,23 @@ def _long(one_row: DataFrame, value: str) -> DataFrame:
 
 
 def cards(cur: DataFrame, prev: DataFrame) -> DataFrame:
+    """Cards of two slices of the facts; see ``cards_of_days``."""
+    return cards_of_days(daily(cur), daily(prev))
+
+
+def period_cards(facts: DataFrame, mode: str, **period) -> DataFrame:
+    """Cards of a period of ``facts`` against the stretch before it, in two reads: one of the dates
+    alone, which sets the bounds, and one of the days between them."""
+    use_checkpoints(facts.sparkSession)
+    dates = facts.select("date").distinct().checkpoint()
+    bounds = periods.bounds(periods.current(dates, mode, **period)).checkpoint()
+    first, split, last = (bounds.select(c).scalar() for c in ("prev_start", "split", "current_end"))
+    day = F.col("date")
+    days = daily(facts.where((day >= first) & (day <= last))).checkpoint()
+    return cards_of_days(days.where(day >= split), days.where(day < split))
+
+
+def cards_of_days(cur: DataFrame, prev: DataFrame) -> DataFrame:
     """(metric, curr, prev, delta_pct, shown): delta is 0 where the previous value is 0 or
     missing, and NULL if there is no previous data at all."""
     both = _long(totals(cur), "curr").join(_long(totals(prev), "prev"), "metric")

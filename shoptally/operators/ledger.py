@@ -81,6 +81,14 @@ def bookable(judged: DataFrame) -> DataFrame:
     return judged.where(all_accepted(judged)).drop("stock_ok", "serial_ok", "cap_ok", "accepted")
 
 
+def outcome(judged: DataFrame) -> DataFrame:
+    """One row: rows submitted, accepted, and booked (all or none), from one pass."""
+    whole = F.coalesce(F.every("accepted"), F.lit(True))
+    return judged.agg(
+        F.count("*").alias("submitted"), F.count_if("accepted").alias("accepted"),
+        F.when(whole, F.count("*")).otherwise(0).cast("bigint").alias("booked"))
+
+
 def conflicts(judged: DataFrame) -> DataFrame:
     """(field, value): products and serials none of whose rows was accepted."""
     pairs = judged.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoptally.functions.columns import round_even, total
+from shoptally.session import use_checkpoints
 
 MISSING = "undefined"
 
@@ -25,7 +26,9 @@ def rollup(df: DataFrame, layers: list[str], values: list[str], sqrt: bool = Fal
     named = df.select(
         *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in layers], *values
     )
-    leaves = named.groupBy(*layers).agg(*[total(v).alias(v) for v in values])
+    use_checkpoints(df.sparkSession)
+    # the rollup and the grand total read the leaves; the facts are read once
+    leaves = named.groupBy(*layers).agg(*[total(v).alias(v) for v in values]).checkpoint()
     nodes = leaves.rollup(*layers).agg(
         *[total(v).alias(v) for v in values], F.grouping_id().alias("gid")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoptally import constants as K
 from shoptally.functions.columns import tidy_strings, total
 from shoptally.operators.copies import repeated_keys
+from shoptally.session import use_checkpoints
 
 COLUMNS = K.UPLOAD_PRODUCT_COLUMNS + K.UPLOAD_LEDGER_COLUMNS
 # batch rules in the order they are reported
@@ -109,16 +110,19 @@ def new_prices(products: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def summary(products: DataFrame, moves: DataFrame, inventory: DataFrame) -> DataFrame:
     """(figure, value): records, new products, new prices, ledger lines, pieces per type."""
+    use_checkpoints(products.sparkSession)
+    products = products.checkpoint()  # three counts read it
+    moves = moves.groupBy("type").agg(F.count("*").alias("lines"), total("quantity").alias("pieces")).checkpoint()
+
     def count(df: DataFrame, figure: str, value: Column | None = None) -> DataFrame:
         return df.agg((F.count("*") if value is None else value).alias("value")).select(
             F.lit(figure).alias("figure"), F.col("value").cast("bigint"))
 
-    types = moves.groupBy(F.col("type").alias("figure")).agg(
-        total("quantity").cast("bigint").alias("value"))
+    types = moves.select(F.col("type").alias("figure"), F.col("pieces").cast("bigint").alias("value"))
     return (
         count(products, "Records", F.count_distinct("id"))
         .unionByName(count(new_ids(products, inventory), "New Product"))
         .unionByName(count(new_prices(products, inventory), "New Price"))
-        .unionByName(count(moves, "Lines"))
+        .unionByName(count(moves, "Lines", total("lines")))
         .unionByName(types)
     )

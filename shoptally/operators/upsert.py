@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoptally.functions.columns import any_of, join_key, tidy_strings
 from shoptally.functions.rules import valid_email
 from shoptally.operators.copies import mark_all_copies
+from shoptally.session import use_checkpoints
 
 PRODUCT = ("id", "ean", "cat", "subcat", "name")
 
@@ -59,12 +60,12 @@ def added_prices(price: DataFrame, prices: DataFrame) -> DataFrame:
 def products(batch: DataFrame, product: DataFrame, price: DataFrame
              ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(products to insert, price history after retiring, prices to insert, one-row report)."""
-    checked = checked_products(batch)
+    use_checkpoints(batch.sparkSession)
+    checked = checked_products(batch).checkpoint()  # read by the inserts and by each count
     valid = checked.where(~F.col("invalid")).drop("invalid")
     prices = priced(valid)
-    fresh, retired, added = (
-        new_products(valid, product), retire_prices(price, prices), added_prices(price, prices))
-    return fresh, retired, added, product_report(checked, fresh, prices, added)
+    fresh, added = new_products(valid, product).checkpoint(), added_prices(price, prices).checkpoint()
+    return fresh, retire_prices(price, prices), added, product_report(checked, fresh, prices, added)
 
 
 def product_report(checked: DataFrame, fresh: DataFrame, prices: DataFrame, added: DataFrame
@@ -93,7 +94,11 @@ def checked_customers(batch: DataFrame) -> DataFrame:
 
 
 def new_customers(batch: DataFrame, customer: DataFrame) -> DataFrame:
-    unique = checked_customers(batch).where(~F.col("duplicate")).drop("duplicate")
+    return _unknown(checked_customers(batch), customer)
+
+
+def _unknown(checked: DataFrame, customer: DataFrame) -> DataFrame:
+    unique = checked.where(~F.col("duplicate")).drop("duplicate")
     return unique.join(customer.select("id"), "id", "left_anti")
 
 
@@ -109,8 +114,9 @@ def blocked_customers(fresh: DataFrame, customer: DataFrame) -> DataFrame:
 
 def customers(batch: DataFrame, customer: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to insert, one-row report). Codes: 00 nothing usable, 01 inserted, 02 all known."""
-    checked = checked_customers(batch)
-    fresh = new_customers(batch, customer)
+    use_checkpoints(batch.sparkSession)
+    checked = checked_customers(batch).checkpoint()  # read by the inserts and by each count
+    fresh = _unknown(checked, customer).checkpoint()
     stop = blocked_customers(fresh, customer).agg(F.count("*").alias("n")).scalar()
     n_fresh = fresh.agg(F.count("*").alias("n")).scalar()
     report = checked.agg(

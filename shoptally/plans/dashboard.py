@@ -138,9 +138,7 @@ FROM c JOIN p USING (metric)""", cur=MONTH_SO_FAR, prev=PREV, cc=_cards_sql("cur
 
 @query("A4 M17 M18 F1 F6 X9", KPI_SQL)
 def kpi_cards(spark, d):
-    facts = sales(spark, d, *KPI_COLUMNS)
-    cur = periods.current(facts, "month_so_far")
-    return kpi.cards(cur, periods.previous(facts, cur))
+    return kpi.period_cards(sales(spark, d, *KPI_COLUMNS), "month_so_far")
 
 
 @query("A4", V.sql("sales", """

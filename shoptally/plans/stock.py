@@ -182,10 +182,7 @@ SELECT count(*) AS submitted, count(*) FILTER (WHERE stock_ok AND serial_ok AND
        CASE WHEN bool_and(stock_ok AND serial_ok AND cap_ok) THEN count(*) ELSE 0 END AS booked
 FROM judged""", **JUDGED))
 def ledger_batch_outcome(spark, d):
-    judged = judged_batch(spark, d)
-    booked = ledger.bookable(judged).agg(F.count("*").alias("n")).scalar()
-    return judged.agg(F.count("*").alias("submitted"), F.count_if("accepted").alias("accepted")
-                      ).withColumn("booked", booked)
+    return ledger.outcome(judged_batch(spark, d))
 
 
 @query("L5 U3", V.sql("history incoming", """
