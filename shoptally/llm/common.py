@@ -137,13 +137,14 @@ def summed(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-_TABLES: dict[str, tuple[str, Vocabulary]] = {}
+_TABLES: dict[str, tuple] = {}
 
 
-def worker_table(kind: str, token: str, make) -> Vocabulary:
-    """The vocabulary of a Python worker for one ``kind`` of work and one model (``token``); that of
-    an earlier model is let go."""
+def worker_table(kind: str, token: str, make):
+    """The table of a Python worker for one ``kind`` of work and one model (``token``). A worker
+    serves stage after stage, so the table of another kind or an earlier model is let go."""
     if kind not in _TABLES or _TABLES[kind][0] != token:
+        _TABLES.clear()
         _TABLES[kind] = (token, make())
     return _TABLES[kind][1]
 

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shoptally.llm.common import byte_slices, chunks, columns_apart, table, written
+from shoptally.llm.common import byte_slices, chunks, columns_apart, table, worker_table, written
 
 LENGTH = 2048
 #: id 1 ends every document
 END_ID = 1
 #: chunks whose ids one Python worker keeps
-CACHED = 1_000_000
+CACHED = 800_000
 _SLICE = 1 << 21
 _LATIN = "\u024f"
 
@@ -94,14 +94,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-_ENCODERS: dict[str, ChunkIds] = {}
-
-
 def encoder(path: str) -> ChunkIds:
     """One encoder per Python worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkIds(path)
-    return _ENCODERS[path]
+    return worker_table("packing", path, lambda: ChunkIds(path))
 
 
 def _tokenise(path: str, end_id: int, id_type: pa.DataType):
