@@ -6,7 +6,7 @@ Rows of a batch are judged one by one against the stock before the batch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoptally import constants as K
@@ -39,9 +39,11 @@ def no_problem(checked: DataFrame) -> Column:
         F.coalesce(F.every(F.col("problem").isNull()), F.lit(True)).alias("ok")).scalar()
 
 
-def judge(batch: DataFrame, ledger: DataFrame) -> DataFrame:
+def judge(batch: DataFrame, ledger: DataFrame, cumulative: str | None = None) -> DataFrame:
     """Adds stock_ok, serial_ok, cap_ok and accepted to the batch rows.
 
+    Rows are judged one by one. With ``cumulative``, a column that orders the batch, stock is what
+    the rows before it in the batch leave; the rows of one (product, serial) then meet in one task.
     The ledger is cut to the batch's products and summed to one row per (product, serial)
     before any join with the batch.
     """
@@ -62,8 +64,12 @@ def judge(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     )
     is_loose = F.col("serial").isNull()
     zero = F.lit(0)
+    moved = F.col("signed")
+    if cumulative:
+        moved = F.sum("signed").over(Window.partitionBy("product_id", "serial").orderBy(
+            cumulative).rowsBetween(Window.unboundedPreceding, 0))
     return (
-        seen.withColumn("stock_ok", F.col("signed") + F.coalesce("stock", zero) >= 0)
+        seen.withColumn("stock_ok", moved + F.coalesce("stock", zero) >= 0)
         .withColumn("serial_ok", is_loose == F.coalesce(F.col("had_loose"), is_loose))
         .withColumn("cap_ok",
                     is_loose | (F.coalesce("serial_stock", zero) + F.col("signed") <= 1))

@@ -92,7 +92,7 @@ def filter_staff_and_category(spark, d):
         facts, {"staff": "Staff_3", "cat": "PROMO", "store_id": "All Store_Id"}))
 
 
-@query("F9 J16", V.sql("sales", """
+@query("F9", V.sql("sales", """
 SELECT 'staff' AS dim, staff AS choice FROM cur WHERE staff IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'cat', cat FROM cur WHERE cat IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'sub_cat', sub_cat FROM cur WHERE sub_cat IS NOT NULL GROUP BY ALL""",

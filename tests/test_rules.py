@@ -194,6 +194,14 @@ def judged(spark, batch, past):
     return {r["id"]: (r["stock_ok"], r["serial_ok"], r["cap_ok"]) for r in out.collect()}
 
 
+def test_cumulative_stock_counts_earlier_rows_of_the_batch(spark):
+    batch = spark.createDataFrame([(i, "p", None, "transfer", 3) for i in range(3)], "id bigint, " + ROW)
+    past = spark.createDataFrame([("p", None, "import_po", 6)], ROW)
+    for order, want in ((None, [True, True, True]), ("id", [True, True, False])):
+        got = ledger.judge(batch, past, order).orderBy("id").collect()
+        assert [r["stock_ok"] for r in got] == want
+
+
 def test_rows_are_judged_alone_against_the_stock_before(spark):
     past = [("p", None, "import_po", 5)]
     got = judged(spark, [("p", None, "transfer", 4), ("p", None, "transfer", 4),
