@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,6 +46,36 @@ def salted(many: DataFrame, one: DataFrame, keys: list[str], spread: Column,
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+#: bits of a filter of keys; 8 MB
+FILTER_BITS = 26
+
+
+def filter_words(keys: DataFrame, key: str) -> np.ndarray:
+    """Words of a bit table in which the place of every 64-bit ``key`` of ``keys`` is set. Its size
+    is fixed: with very many keys it lets more rows through than needed, and never holds one back."""
+    place = F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = keys.select(F.shiftright(place, 6).cast("int").alias("word"),
+                        F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & ((1 << FILTER_BITS) - 1)
+    return ((words[place >> 6] >> (place & 63)) & 1).astype(bool)
+
+
+def may_hold(shared, key: Column) -> Column:
+    """Whether ``key`` may be among the keys of a broadcast filter."""
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(shared.value, keys.to_numpy()))
+
+    return test(key)
+
+
 def columns_apart(df: DataFrame, names: list[str]) -> DataFrame:
     """Only ``names`` of ``df``: whatever else a table carries cannot clash with working columns."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -39,6 +39,8 @@ from shoptally.llm.common import (
     Vocabulary,
     byte_slices,
     columns_apart,
+    filter_words,
+    in_filter,
     salted,
     table,
     tasks,
@@ -58,8 +60,6 @@ _SLICE = 1 << 21
 _BLOCK = 4096
 #: shingles sampled at a time
 _WIDTH = 512
-#: bits of the filter of rows that are compared at all; 8 MB
-FILTER_BITS = 26
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -238,25 +238,11 @@ def _sign(shared):
     return run
 
 
-def filter_bits(keys: DataFrame) -> np.ndarray:
-    """Words of a bit table in which the place of every ``k1`` of ``keys`` is set. Its size is fixed:
-    with very many keys it lets more rows through than needed, and never holds one back."""
-    place = F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = keys.select(F.shiftright(place, 6).cast("int").alias("word"),
-                        F.expr("shiftleft(1L, cast(k1 & 63 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out
-
-
 def _vectors(shared, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, words = shared.value, wanted.value
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            place = keys & ((1 << FILTER_BITS) - 1)
-            rows = np.flatnonzero((words[place >> 6] >> (place & 63)) & 1)
+            rows = np.flatnonzero(in_filter(words, batch.column(0).to_numpy()))
             if not len(rows):
                 continue
             batch = batch.take(pa.array(rows))
@@ -364,7 +350,7 @@ def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float =
     central = written(central, "near-central")
     body = columns_apart(docs, [text]).select(F.coalesce(F.col(text), F.lit("")).alias("body")).select(
         F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), "body").alias("k2"), "body")
-    wanted = spark.sparkContext.broadcast(filter_bits(central))  # of fixed size
+    wanted = spark.sparkContext.broadcast(filter_words(central, "k1"))  # of fixed size
     found = body.mapInArrow(_vectors(idf, wanted), "k1 long, k2 long, kinds binary, weights binary")
     # different nodes may have one text only if the words differ, so (k1, k2) names one node
     vectors = written(found.join(central.select("node", "k1", "k2"), ["k1", "k2"]).select(

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoptally.llm.common import columns_apart, salted, table, tasks, written
+from shoptally.llm.common import columns_apart, filter_words, may_hold, salted, table, tasks, written
 from shoptally.session import shared_folder
 
 REVISIT_BYTES = 1000
@@ -273,10 +273,17 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         rows.where(F.col("size") >= least).groupBy(*keys)
         .agg(F.max("page_id").alias("answer"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
-    joined = salted(rows, repeated, keys, F.col("page_id"), "left")
+    repeated = written(repeated, "warc-repeated")
+    # only pages that may be repeated are moved for the join; the filter's size is fixed
+    shared = pages.sparkSession.sparkContext.broadcast(filter_words(repeated, "other"))
+    rows = rows.withColumn("maybe", may_hold(shared, F.col("other")))
     refers = F.when(F.col("answer").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("answer")),
                     F.col("answer"))
-    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    joined = salted(rows.where("maybe"), repeated, keys, F.col("page_id"), "left").select(
+        "page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    alone = rows.where("NOT maybe").select(
+        "page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"))
+    return alone.union(joined)
 
 
 def write(pages: DataFrame, folder: str, limit: int = ARCHIVE_BYTES,
