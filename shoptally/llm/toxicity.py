@@ -46,7 +46,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, LEARNED, EVIDENCE = 8, 5, 3
 WORD_BITS, GRAM_BITS = 14, 20
 FOLDS, PASSES = 4, 2
-_STEPS, _BATCH, _RATE, _DECAY, _SEED = 600, 96, 0.01, 1e-3, 11
+_STEPS, _BATCH, _RATE, _DECAY, _SEED = 400, 96, 0.01, 1e-3, 11
 _SLICE, _BLOCK = 1 << 21, 2048
 
 
