@@ -18,11 +18,13 @@ Without labels of both classes every score is 0. Extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,7 @@ WORD_BITS, GRAM_BITS = 14, 20
 FOLDS, PASSES = 4, 2
 _STEPS, _BATCH, _RATE, _DECAY, _SEED = 400, 96, 0.01, 1e-3, 11
 _SLICE, _BLOCK = 1 << 21, 2048
+_PART = 20_000
 
 
 def word_slots(chunk_list: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +75,16 @@ def gram_slots(chunk_list: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return slots.astype(np.int64), of
 
 
+def in_parts(make, chunk_list: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``make`` over many chunks, some at a time, so that its working memory stays small."""
+    slots, of = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for begin in range(0, len(chunk_list), _PART):
+        a, b = make(chunk_list[begin:begin + _PART])
+        slots.append(a.astype(np.int32))
+        of.append((b + begin).astype(np.int32))
+    return np.concatenate(slots), np.concatenate(of)
+
+
 def keyness(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
     """Signed root of the log-likelihood ratio of a feature in toxic texts against others, from
     counts of texts: a few texts give little evidence, however one-sided they are."""
@@ -116,8 +129,13 @@ class Network:
         return [self.gates(*self.evidence(fresh))]
 
     def gates(self, evidence: np.ndarray, first: np.ndarray) -> np.ndarray:
-        w, x = self.weights, np.concatenate([evidence, self.weights["E"][first]], axis=1)
-        return np.concatenate([x @ w["Wf"] + w["bf"], x @ w["Wb"] + w["bb"]], axis=1).astype(np.float32)
+        w = self.weights
+        out = np.empty((len(first), 6 * HIDDEN), np.float32)
+        for b in range(0, len(first), _PART):
+            x = np.concatenate([evidence[b:b + _PART], w["E"][first[b:b + _PART]]], axis=1)
+            out[b:b + _PART, :3 * HIDDEN] = x @ w["Wf"] + w["bf"]
+            out[b:b + _PART, 3 * HIDDEN:] = x @ w["Wb"] + w["bb"]
+        return out
 
 
 def run_direction(gates: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: bool):
@@ -261,11 +279,12 @@ def train(texts: list[str], labels: np.ndarray, weights: tuple[float, float] = (
     parts = [chunks(t) for t in texts]
     sizes = np.array([len(p) for p in parts], np.int64)
     distinct: dict[str, int] = {}
-    numbers = np.array([distinct.setdefault(c, len(distinct)) for p in parts for c in p], np.int64)
+    numbers = np.fromiter((distinct.setdefault(c, len(distinct)) for p in parts for c in p),
+                          np.int32, int(sizes.sum()))
     fresh, parts = list(distinct), None
     text_of = np.repeat(np.arange(len(texts)), sizes)
     group = part * 2 + labels
-    in_texts = [text_counts(numbers, sizes, group, 2 * FOLDS, *make(fresh), len(fresh), size)
+    in_texts = [text_counts(numbers, sizes, group, 2 * FOLDS, *in_parts(make, fresh), len(fresh), size)
                 for make, size in ((word_slots, 1 << (WORD_BITS + 6)), (gram_slots, 1 << GRAM_BITS))]
     members = np.bincount(group, minlength=2 * FOLDS)
 
@@ -282,14 +301,19 @@ def train(texts: list[str], labels: np.ndarray, weights: tuple[float, float] = (
     found = []
     for number in range(FOLDS):
         net.word_odds, net.gram_odds = odds(number)
-        values, first = net.evidence(fresh)
-        found.append(values)
-    evidence, fold_of = np.stack(found), part[text_of]
+        both = [net.evidence(fresh[b:b + _PART]) for b in range(0, len(fresh), _PART)]
+        found.append(np.concatenate([values for values, _ in both]))
+        first = np.concatenate([slots for _, slots in both]).astype(np.int32)
+    evidence, fold_of = np.stack(found), part[text_of].astype(np.int8)
+    del found
     starts, of = window_starts(sizes)
     length = np.minimum(sizes[of], WINDOW)
-    at = starts[:, None] + np.minimum(np.arange(WINDOW), length[:, None] - 1)
+    at = (starts[:, None] + np.minimum(np.arange(WINDOW), length[:, None] - 1)).astype(np.int32)
     mask = np.arange(WINDOW) < length[:, None]
-    strength = np.where(mask, evidence[fold_of[at], numbers[at], :2].sum(axis=2), 0).max(axis=1)
+    strong = evidence[:, :, :2].sum(axis=2)
+    strength = np.concatenate([np.zeros(0), *[
+        np.where(mask[b:b + _PART], strong[fold_of[at[b:b + _PART]], numbers[at[b:b + _PART]]], 0).max(axis=1)
+        for b in range(0, len(at), _PART)]])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
     step = 0
     for _ in range(PASSES):
@@ -379,12 +403,24 @@ def fitted(docs: DataFrame, labels: DataFrame, training: Column, text: str = "te
     chosen = known.where(lot < share)
     body = columns_apart(docs, [doc_id, text]).select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).where(F.length("body") <= chars)
-    # the sample's ids are about 2 * rows, whatever the table's size
-    sample = body.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "body").toArrow()
-    sample = sample.to_pandas().sort_values(["y", "doc_id", "body"])
-    y = sample["y"].to_numpy()
-    stands = tuple(totals.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1))
-    return train(sample["body"].tolist(), y, stands)
+    # the sample's ids are about 2 * rows, whatever the table's size; one task trains on it
+    sample = body.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "body").repartition(1)
+    found = sample.mapInPandas(_trained(totals), "net binary").collect()
+    return pickle.loads(found[0]["net"]) if found else None
+
+
+def _trained(totals: dict[int, int]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        if not parts:
+            return
+        sample = pd.concat(parts).sort_values(["y", "doc_id", "body"])
+        y = sample["y"].to_numpy()
+        stands = tuple(totals.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1))
+        net = train(sample["body"].tolist(), y, stands)
+        yield pd.DataFrame({"net": [pickle.dumps(net)]})
+
+    return run
 
 
 def _score(shared):
