@@ -12,11 +12,13 @@ probability ``1 - (1 - s**ROWS)**BANDS``: 0.998 at 0.8. In a bucket every text i
 bucket's centre (the text that shares most buckets with most others); in further rounds, texts of a
 bucket that are not connected yet are compared with its next centre. So pairs grow in proportion to
 the rows, a bucket of thousands of copies costs one comparison per copy, and no group meets in one
-task. Every link is verified by the weighted Jaccard similarity of the whole texts' shingles, and
-classes are the connected components of the links.
+task. What is still not connected after ``ROUNDS`` centres is joined on rare shingles: two similar
+texts share one of the rarest shingles that make up the part of each beyond the threshold, so every
+remaining pair of a bucket is decided. Every link is verified by the weighted Jaccard similarity of
+the whole texts' shingles, and classes are the connected components of the links.
 
-A link is missed if its texts share no bucket (0.2 % at exactly 0.8), or if they only ever meet
-beside centres that neither is linked to, directly or through others, within ``ROUNDS`` rounds.
+A link is missed only if its texts share no bucket (0.2 % at exactly 0.8) and nothing else connects
+them.
 
 Defined cases: texts with the same words in the same order are one text. A text of one to four words
 is one shingle. NULL texts and texts without a word stand alone. Rows that repeat an id are rows of
@@ -51,11 +53,14 @@ from shoptally.llm.common import (
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 9, 3
+#: centres per bucket before the join on rare shingles decides the rest
 ROUNDS = 3
 CELLS = 20
 IDF_SPAN = 0.1
-#: comparisons with one centre in one task
+#: comparisons with one centre in one task, and texts of one shingle on a side of a block
 _PART = 256
+#: room for rounding in bounds that must not hold back a pair
+_SLACK = 1 - 1e-6
 _SLICE = 1 << 21
 _BLOCK = 4096
 #: shingles sampled at a time
@@ -325,6 +330,56 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
         _verify(threshold), "a long, b long")
 
 
+def _prefixes(shared, threshold: float):
+    """Per text its rarest shingles, as many as a similar text must share one of. Of two similar
+    texts, what is common weighs at least ``threshold`` times each. It lies at and behind their
+    first common shingle in any fixed order, so with that shingle at least as much of each is left."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        for batch in batches:
+            nodes, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lengths = [len(raw.as_buffer()) // 8 for raw in batch.column(2)]
+            held, sizes, totals, begin = [], [], [], 0
+            for i, (raw, heavy) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                kinds = np.frombuffer(raw.as_buffer(), np.uint64)
+                weights = np.frombuffer(heavy.as_buffer(), np.float32).astype(np.float64)
+                order = np.lexsort((kinds, -idf[(kinds >> np.uint64(64 - CELLS)).astype(np.int64)]))
+                left = np.cumsum(weights[order][::-1])[::-1]
+                held.append(kinds[order[left >= threshold * _SLACK * left[0]]])
+                sizes.append(len(held[-1]))
+                totals.append(left[0])
+                if i + 1 == len(lengths) or sum(sizes) > _SLICE:
+                    of = slice(begin, i + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(nodes[of], sizes)), pa.array(np.repeat(roots[of], sizes)),
+                         pa.array(np.repeat(totals, sizes)), pa.array(np.concatenate(held).view(np.int64))],
+                        names=["node", "root", "total", "shingle"])
+                    held, sizes, totals, begin = [], [], [], i + 1
+
+    return run
+
+
+def close_pairs(rest: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
+    """All pairs (``a`` < ``b``) of the texts ``rest`` (``node``, ``root``) with different roots that
+    can be similar: they share a shingle of their prefixes and neither is too long for the other. The
+    texts of a shingle are compared in blocks of ``_PART`` by ``_PART``, each block a key of its own."""
+    posted = written(rest.join(vectors, "node").select("node", "root", "kinds", "weights").mapInArrow(
+        _prefixes(idf, threshold), "node long, root long, total double, shingle long"), "near-prefixes")
+    shared = posted.groupBy("shingle").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), (1 + F.expr(f"count(*) div {_PART}")).alias("parts")
+    ).where("lo <> hi").select("shingle", "parts")
+    placed = written(salted(posted, shared, ["shingle"], F.col("node")).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts"))), "near-postings")
+    first = placed.select("shingle", F.col("part").alias("lo"), F.explode(F.expr("sequence(part, parts - 1)")).alias("hi"),
+                          F.struct("node", "root", "total").alias("x"))
+    second = placed.select("shingle", F.explode(F.expr("sequence(0L, part)")).alias("lo"), F.col("part").alias("hi"),
+                           F.struct("node", "root", "total").alias("y"))
+    fits = F.least("x.total", "y.total") >= threshold * _SLACK * F.greatest("x.total", "y.total")
+    return first.join(second, ["shingle", "lo", "hi"]).where(
+        fits & F.expr("x.root <> y.root AND (lo < hi OR x.node < y.node)")).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def signatures(docs: DataFrame, idf, text: str, doc_id: str) -> DataFrame:
     rows = columns_apart(docs, [doc_id, text]).select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body")).select(
@@ -358,7 +413,7 @@ def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float =
     active = written(members.select("band", "value", "node").join(central.select("node", "met"), "node"),
                      "near-active").withColumn("root", F.col("node"))
     found = known = None
-    for turn in range(rounds):
+    for _ in range(rounds):
         centre = active.groupBy("band", "value").agg(
             F.max(F.struct("met", (-F.col("node")).alias("minus"), "root")).alias("top")).select(
             "band", "value", (-F.col("top.minus")).alias("a"), F.col("top.root").alias("a_root"))
@@ -368,8 +423,6 @@ def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float =
         fresh = written(verified(pairs, vectors, threshold), "near-links")
         found = fresh if found is None else found.union(fresh)
         known = pairs if known is None else known.union(pairs)
-        if turn == rounds - 1:
-            break
         roots = written(components(found), "near-roots")
         active = met.where("node <> a").select("band", "value", "node", "met").join(
             roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -377,8 +430,12 @@ def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float =
             F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "value")
         active = written(salted(active, open_buckets, ["band", "value"], F.col("node")), "near-active")
         if not active.limit(1).count():
-            break
-    return texts, found
+            return texts, found
+    rest = written(active.select("node", "root").distinct(), "near-rest")
+    pairs = close_pairs(rest, vectors, idf, threshold).join(
+        known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    fresh = written(verified(written(pairs, "near-pairs"), vectors, threshold), "near-links")
+    return texts, found.union(fresh)
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from messy import LONG, TEXTS, empty, table
+from pyspark.sql import functions as F
 
 from shoptally.llm import exact_dedup as X
 from shoptally.llm import near_dedup as N
@@ -125,6 +126,31 @@ def test_near_classes_against_brute_force(spark):
     assert sorted((r["class_id"], r["class_size"]) for r in got) == brute_classes(rows)
 
 
+def test_a_bucket_of_many_classes_is_decided_exactly(spark):
+    """All texts share all buckets, as pages of one template do: more classes than centres are tried."""
+    rows = near_rows()
+    docs = table(spark, rows)
+    idf = spark.sparkContext.broadcast(N.frequencies(docs))
+    signed = N.signatures(docs, idf, "text", "doc_id").withColumn("bands", F.expr("sequence(1L, 9L)"))
+    ids = {r["node"]: r["doc_id"] for r in signed.collect()}
+    classes = {}
+    for r in N.components(N.links(docs, signed, idf, "text")[1]).collect():
+        classes.setdefault(r["root"], []).append(ids[r["node"]])
+    got = sorted((min(m), len(m)) for m in classes.values() for _ in m)
+    assert got == [c for c in brute_classes(rows) if c[1] > 1]
+
+
+def test_texts_of_one_shingle_meet_in_blocks(spark):
+    kinds = [np.arange(1, 11, dtype=np.uint64) << np.uint64(50) for _ in range(600)]
+    vectors = spark.createDataFrame(
+        [(n, bytearray(k.tobytes()), bytearray(np.ones(10, np.float32).tobytes())) for n, k in enumerate(kinds)],
+        "node bigint, kinds binary, weights binary")
+    idf = spark.sparkContext.broadcast(np.ones(1 << N.CELLS, np.float32))
+    rest = vectors.selectExpr("node", "node div 2 AS root")
+    got = {tuple(r) for r in N.close_pairs(rest, vectors, idf, 0.8).collect()}
+    assert got == {(a, b) for b in range(600) for a in range(b) if a // 2 != b // 2}
+
+
 def test_near_classes_of_awkward_rows(spark):
     got = N.classes(table(spark)).collect()
     assert len(got) == len(TEXTS)
