@@ -440,7 +440,8 @@ def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float =
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: ``node doc_id class_id class_size text_node`` and the row's text keys ``k1 k2``."""
+    """Per row: ``node doc_id class_id class_size text_node root`` and the row's text keys ``k1 k2``.
+    ``root`` names the class; two classes may have one ``class_id``, as ids may repeat."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(frequencies(docs, text))  # of fixed size
     signed = signatures(docs, idf, text, doc_id)
@@ -454,24 +455,25 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "root", F.coalesce("root", "text_node")), "near-rooted")
     sizes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return salted(rooted, sizes, ["root"], F.col("node")).select(
-        "node", "doc_id", "class_id", "class_size", "text_node", "k1", "k2")
+        "node", "doc_id", "class_id", "class_size", "text_node", "root", "k1", "k2", F.isnull("f1").alias("alone"))
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One whole row of ``docs`` per class: the one with the smallest ``doc_id``."""
-    kept = classes(docs, text, doc_id).where(F.expr("doc_id <=> class_id")).select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("doc_id").alias("_id"),
-        F.col("class_id").alias("_class"), F.col("node").alias("_node"), "text_node")
     # of rows that repeat the id, and of NULL ids, one per class stays
-    kept = kept.groupBy("_class", "_id", F.when(F.col("_id").isNull(), F.col("text_node")).alias("_of")).agg(
-        F.min(F.struct("_node", "_k1", "_k2")).alias("_first")).select(
-        "_id", F.col("_first._k1").alias("_k1"), F.col("_first._k2").alias("_k2"))
+    kept = classes(docs, text, doc_id).where(F.expr("doc_id <=> class_id")).groupBy("root").agg(
+        F.min(F.struct("node", "k1", "k2", "doc_id", "alone")).alias("_first")).select(
+        F.col("_first.doc_id").alias("_id"), F.col("_first.k1").alias("_k1"),
+        F.col("_first.k2").alias("_k2"), F.col("_first.alone").alias("_alone")).distinct()
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("_a", F.xxhash64(body)).withColumn("_b", F.xxhash64(F.lit(1), body))
     own = (rows["_a"] == kept["_k1"]) & (rows["_b"] == kept["_k2"]) & rows[doc_id].eqNullSafe(kept["_id"])
     names = [f"`{c}`" for c in docs.columns]
-    joined = rows.join(kept, own).select(*[rows[n] for n in names], rows["_a"], rows["_b"])
-    return joined.dropDuplicates(["_a", "_b", doc_id]).select(*names)
+    # rows without words are classes of their own and all stay
+    joined = rows.join(kept, own).select(
+        *[rows[n] for n in names], rows["_a"], rows["_b"],
+        F.when(kept["_alone"], F.monotonically_increasing_id()).alias("_own"))
+    return joined.dropDuplicates(["_a", "_b", doc_id, "_own"]).select(*names)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

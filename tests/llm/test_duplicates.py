@@ -164,6 +164,12 @@ def test_near_classes_of_awkward_rows(spark):
     assert N.classes(empty(spark)).count() == 0 and N.survivors(empty(spark)).count() == 0
 
 
+def test_near_survivors_of_texts_under_one_id(spark):
+    rows = [(1, "one text of some words here"), (1, "quite another text than the first"), (1, None), (1, None), (2, "")]
+    assert sorted((r["doc_id"], r["text"] or "") for r in N.survivors(table(spark, rows)).collect()) == sorted(
+        (i, t or "") for i, t in rows)
+
+
 @pytest.mark.parametrize("share", [0.5, 0.8])
 def test_samples_agree_as_often_as_weights_are_similar(share):
     rng = np.random.default_rng(2)
