@@ -4,39 +4,46 @@ Rows start in shards of equal size, dealt by a hash. In each round every linked
 shards of its neighbours (Spark joins over the links), and wants to move where most of them are.
 Moves from one shard to another are held to a quota: the room left in the target under its capacity,
 plus what leaves it in the same round. Half of the rows, chosen by a hash that changes with the
-round, may move in a round, so two neighbours do not swap places for ever. Rows without links give
-way at no cost: the final sizes are made even by one sort over (shard, links apart) and a cut of the
-global order into equal stretches, which moves rows without links at the borders first.
+round, may move in a round, so two neighbours do not swap places for ever. Rounds go on until no row
+wants to move or ``STILL`` rounds in a row leave the cut as it is. Then groups of copies are seated
+whole, the largest first, at the shard that holds most of the group if it has room, else where most
+room is; only a group larger than every room that is left is divided, over as few shards as can be.
+Rows without links fill the rooms exactly, so the cut of the global order into equal stretches falls
+between groups.
 
 The law of the query is ``rows``: counts of any two shards differ by one at most.
 
 Defined cases: a NULL text has size 1 and links to other NULL texts as the empty text does not:
 NULL and empty are different texts. Rows that repeat an id are rows of their own. A group of copies
-larger than a shard fills neighbouring shards. An empty table gives no rows.
+larger than a shard fills whole shards and a rest. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
-from itertools import accumulate
+from itertools import accumulate, count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoptally.functions.numbering import numbered
+from shoptally.functions.parts import with_positions
 from shoptally.llm.common import columns_apart, salted, table, written
 
 SHARDS = 16
-ROUNDS = 5
+#: rounds without a smaller cut after which propagation has settled; by lot half of the rows rest in each
+STILL = 4
 
 
-def propagate(nodes: DataFrame, links: DataFrame, capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """``nodes`` (``node``, ``shard``) after ``rounds`` rounds over ``links`` (``a``, ``b``: each
-    link in one direction, ``node`` values, no loops). Both frames should be tables already. No
-    shard takes more than about ``capacity`` nodes: lots decide who moves within a quota."""
+def propagate(nodes: DataFrame, links: DataFrame, capacity: float) -> DataFrame:
+    """``nodes`` (``node``, ``shard``) after propagation over ``links`` (``a``, ``b``: each
+    link in one direction, ``node`` values, no loops) has settled. Both frames should be tables already.
+    No shard takes more than about ``capacity`` nodes: lots decide who moves within a quota."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = {r[0]: r[1] for r in nodes.groupBy("shard").count().collect()}  # one row per shard
     now = nodes
-    for turn in range(rounds):
+    lowest, still = None, 0
+    for turn in count():
         votes = (
             salted(both.select(F.col("a").alias("of"), F.col("b").alias("node")),
                    now.select("node", "shard"), ["node"], F.col("of"))
@@ -51,15 +58,21 @@ def propagate(nodes: DataFrame, links: DataFrame, capacity: float, rounds: int =
             lambda e: F.struct(e["value"].alias("links"), (-e["key"]).alias("minus"))))
         wish = F.when(best["links"] > here, -best["minus"]).otherwise(F.col("shard"))
         coin = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2))
+        met = F.aggregate(F.map_values("votes"), F.lit(0).cast("long"), lambda total, n: total + n)
         want = written(
             now.join(votes, "node", "left")
-            .withColumn("wish", F.when(F.col("votes").isNotNull() & (coin == 0), wish)
-                        .otherwise(F.col("shard")))
-            .select("node", "shard", "wish"), "shard-wishes")
+            .withColumn("hope", F.when(F.col("votes").isNotNull(), wish).otherwise(F.col("shard")))
+            .withColumn("wish", F.when(coin == 0, F.col("hope")).otherwise(F.col("shard")))
+            .select("node", "shard", "hope", "wish", F.coalesce(met - here, F.lit(0)).alias("apart")), "shard-wishes")
+        cut, hopes = want.agg(F.sum("apart"), F.count_if(F.expr("hope <> shard"))).first()
+        still = 0 if lowest is None or (cut or 0) < lowest else still + 1
+        lowest = min(cut or 0, cut or 0 if lowest is None else lowest)
+        if not hopes or still >= STILL:
+            break
         flows = {(r[0], r[1]): r[2] for r in want.where("wish <> shard")
                  .groupBy("shard", "wish").count().collect()}  # at most shards**2 rows
         if not flows:
-            break
+            continue  # all who want to move rest by lot in this round
         taken = quotas(sizes, flows, capacity)
         wide = 1 + max(max(pair) for pair in taken)
         part = picked([taken.get((a, b), 0.0) for a in range(wide) for b in range(wide)],
@@ -97,14 +110,82 @@ def picked(values: list[float], at: Column) -> Column:
     return F.coalesce(F.get(array, at.cast("int")), F.lit(0.0))
 
 
-def filling(rooms: list[float]) -> Column:
-    """A shard for a row without links: by lot, in proportion to the room that linked rows leave."""
-    rooms = [max(0.0, r) for r in rooms]
-    total = sum(rooms) or 1.0
-    lot = F.pmod(F.xxhash64(F.lit("fill"), "node"), F.lit(1 << 30)) / (1 << 30)
-    bounds = [b / total for b in accumulate(rooms)][:-1]
-    passed = F.filter(F.from_json(F.lit(json.dumps(bounds)), "array<double>"), lambda b: lot >= b)
-    return F.size(passed)
+def seats(classes: list[tuple[int, int, int]], rooms: list[int]) -> tuple[dict, dict, list[int]]:
+    """Where groups go, the largest first. ``classes`` has (size, home, how many groups). Returns per
+    (size, home) the stretches [shard, groups] in which its whole groups are seated, then the
+    divided groups per (size, home) as lists of [shard, rows] (each uses up the room of a shard at
+    least, so there are fewer of them than shards), and the rooms left for rows without links."""
+    rooms, whole, divided = list(rooms), {}, {}
+    for size, home, groups in sorted(classes, key=lambda c: (-c[0], c[1])):
+        while groups:
+            best = max(range(len(rooms)), key=lambda s: (rooms[s], -s))
+            at = home if rooms[home] >= size else best
+            if rooms[at] >= size:
+                # the home takes what it can; beside it one at a time, so that rooms stay alike
+                n = min(groups, rooms[at] // size) if at == home else 1
+                taken = whole.setdefault((size, home), [])
+                if taken and taken[-1][0] == at:
+                    taken[-1][1] += n
+                else:
+                    taken.append([at, n])
+                rooms[at] -= n * size
+                groups -= n
+                continue
+            left, parts = size, []
+            while left:
+                fits = [s for s in range(len(rooms)) if rooms[s] >= left]
+                at = fits[0] if fits else max(range(len(rooms)), key=lambda s: (rooms[s], -s))
+                parts.append([at, min(left, rooms[at])])
+                rooms[at] -= parts[-1][1]
+                left -= parts[-1][1]
+            divided.setdefault((size, home), []).append(parts)
+            groups -= 1
+    return whole, divided, rooms
+
+
+def at_place(stretches: list[list[int]], place: Column) -> Column:
+    """The shard of a place in consecutive stretches of [shard, length]."""
+    ends = list(accumulate(n for _, n in stretches))
+    passed = F.filter(F.from_json(F.lit(json.dumps(ends)), "array<bigint>"), lambda e: place >= e)
+    return F.get(F.from_json(F.lit(json.dumps([s for s, _ in stretches])), "array<int>"), F.size(passed))
+
+
+def seated(rows: DataFrame, moved: DataFrame, total: int, shards: int) -> DataFrame:
+    """``node`` and ``home`` of all ``rows`` (``node``, ``hub``, NULL without links): every shard gets
+    its exact number. ``moved`` (``node``, ``shard``) is what propagation says."""
+    starts = [max(0, -((shards - 1 - s * total) // shards)) for s in range(shards + 1)]
+    rooms = [min(total, b) - min(total, a) for a, b in zip(starts, starts[1:], strict=False)]
+    held = moved.join(rows.where("hub IS NOT NULL"), "node").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    groups = written(held.groupBy("hub").agg(
+        F.sum("n").alias("size"), (-F.max(F.struct("n", (-F.col("shard")).alias("s")))["s"]).alias("home")),
+        "shard-groups")
+    # different sizes are few: their sum is at most the number of rows
+    classes = [tuple(r) for r in groups.groupBy("size", "home").count().collect()]
+    whole, divided, left = seats(classes, rooms)
+    # groups that leave, ranked in their class, and groups that are divided, ranked behind them
+    plan = [(size, home, [*whole.get((size, home), []), *[[-1 - i, 1] for i in range(len(parts))]])
+            for (size, home) in {*whole, *divided} for parts in [divided.get((size, home), [])]
+            if parts or [s for s, _ in whole.get((size, home), [])] != [home]]
+    spark = rows.sparkSession
+    away = spark.createDataFrame(plan, "size bigint, home int, stretches array<array<bigint>>").selectExpr(
+        "size", "home", "transform(stretches, x -> cast(x[0] AS int)) AS targets",
+        "transform(sequence(1, size(stretches)), i -> aggregate(slice(stretches, 1, i), 0L, (t, x) -> t + x[1])) AS ends")
+    ranked = with_positions(groups.join(away.select("size", "home"), ["size", "home"], "left_semi"),
+                            ["size", "home"], "hub")
+    target = ranked.join(away, ["size", "home"]).selectExpr(
+        "hub", "size", "home", "get(targets, size(filter(ends, e -> pos >= e))) AS target")
+    target = written(target, "shard-targets")
+    linked = rows.where("hub IS NOT NULL").join(
+        groups.join(target.select("hub", "target"), "hub", "left").select(
+            "hub", F.coalesce("target", "home").alias("home")), "hub").select("node", "hub", "home")
+    out = linked.where("home >= 0").select("node", "home")
+    few = target.where("target < 0").collect()  # fewer than shards
+    for row in few:
+        parts = divided[row["size"], row["home"]][-1 - row["target"]]
+        one = numbered(linked.where(F.col("hub") == row["hub"]).select("node"), ["node"], "pos", 0)
+        out = out.union(one.select("node", at_place(parts, F.col("pos")).alias("home")))
+    loose = numbered(rows.where("hub IS NULL").select("node"), ["node"], "pos", 0)
+    return out.union(loose.select("node", at_place([[s, n] for s, n in enumerate(left)], F.col("pos")).alias("home")))
 
 
 def even(rows: DataFrame, order: list[Column], shards: int) -> DataFrame:
@@ -146,7 +227,7 @@ def text_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return linked, links
 
 
-def shards_of_copies(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
+def shards_of_copies(docs: DataFrame, shards: int = SHARDS,
                      text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All rows in ``shards`` shards, equal texts together as far as even counts allow."""
     raw = columns_apart(docs, [doc_id, text]).select(
@@ -161,18 +242,13 @@ def shards_of_copies(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS
     linked, links = text_links(rows)
     start = linked.join(rows.select("node"), "node", "left_semi").select(
         "node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
-    share = rows.count() / shards
-    moved = written(propagate(written(start, "shard-start"), links, share, rounds), "shard-moved")
-    homes = moved.join(linked, "node").select("node", F.col("shard").alias("home"), "hub")
-    held = {r[0]: r[1] for r in moved.groupBy("shard").count().collect()}  # one row per shard
-    placed = rows.join(homes, "node", "left").withColumn(
-        "home", F.coalesce("home", filling([share - held.get(s, 0) for s in range(shards)])))
-    # rows without links stand at both ends of a shard, where the cuts fall
-    side = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2)) * 2
-    zone = F.when(F.col("hub").isNotNull(), F.lit(1).cast("long")).otherwise(side)
-    placed = placed.select("node", "doc_id", "size", "text_crc32", "home", zone.alias("zone"),
-                           F.coalesce("hub", "node").alias("hub"))
-    order = [F.col(c) for c in ("home", "zone", "hub", "node")]
+    total = rows.count()
+    moved = written(propagate(written(start, "shard-start"), links, total / shards), "shard-moved")
+    grouped = written(rows.join(linked, "node", "left").select("node", "hub"), "shard-grouped")
+    homes = seated(grouped, moved, total, shards)
+    placed = rows.join(homes, "node").join(grouped, "node").select(
+        "node", "doc_id", "size", "text_crc32", "home", F.coalesce("hub", "node").alias("hub"))
+    order = [F.col(c) for c in ("home", "hub", "node")]
     return even(placed, order, shards).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

@@ -97,6 +97,23 @@ def test_shards_are_even_and_keep_copies_together(spark):
     assert split <= 20  # of 60 groups; by chance nearly all would be
 
 
+def test_every_group_that_fits_a_shard_is_whole(spark):
+    texts = [f"text {i}" for i in range(500)] + [f"copy {i % 37}" for i in range(350)] + ["big"] * 50 + ["hot"] * 100
+    rows = S.shards_of_copies(table(spark, list(enumerate(texts)))).collect()
+    check_shards(rows, texts)
+    homes = {}
+    for r in rows:
+        homes.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert {t: len(h) for t, h in homes.items() if len(h) > 1} == {"hot": 2}
+
+
+def test_seats_divide_only_what_fits_nowhere():
+    whole, divided, left = S.seats([(2, 0, 7), (9, 1, 1), (30, 2, 1)], [12, 12, 12, 12, 12])
+    assert divided == {(30, 2): [[[0, 12], [1, 12], [2, 6]]]}
+    assert sum(n for _, n in whole[9, 1]) == 1 and sum(n for _, n in whole[2, 0]) == 7
+    assert sum(left) == 60 - 30 - 9 - 14 and min(left) >= 0
+
+
 def test_a_group_larger_than_a_shard_fills_neighbours(spark):
     texts = ["hot"] * 400 + [f"text {i}" for i in range(600)]
     rows = S.shards_of_copies(table(spark, list(enumerate(texts)))).collect()
