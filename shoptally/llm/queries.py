@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoptally.llm import exact_dedup, language, licences, near_dedup, packing, pieces, sharding, top_k, toxicity, warc
+from shoptally.llm import (
+    exact_dedup, filter_audit, hamming, language, licences, near_dedup, packing, pieces, sharding, spelling, top_k,
+    toxicity, warc)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,9 @@ def queries() -> dict[str, Run]:
         "op8_sharding": sharding.op8,
         "op9_exact_dedup": exact_dedup.op9,
         "op10_exact_top_k": top_k.op10,
+        "op11_filter_audit": filter_audit.op11,
+        "op12_spelling_variants": spelling.op12,
+        "op13_nearest_neighbours": hamming.op13,
     }
 
 
@@ -32,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
         "op10_exact_top_k": top_k.SQL,
+        "op11_filter_audit": filter_audit.SQL,
+        "op12_spelling_variants": spelling.SQL,
     }
