@@ -50,6 +50,9 @@ SHARES = 8
 INDEX_BLOCK = 1024
 QUERY_BLOCK = 128
 _PAIRS = 1 << 15
+#: neighbours a task keeps while it searches
+_HELD = 1 << 18
+_FOUND = ("query_id", "vec_id", "score")
 _SUB = BITS // SUBSTRINGS
 _MASK = (1 << _SUB) - 1
 
@@ -254,8 +257,21 @@ def within(q_codes: np.ndarray, c_codes: np.ndarray, sub: int, radius: int) -> t
     return rows[near], cols[near]
 
 
+def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((vec, score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    top = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
+    return query[top], vec[top], score[top]
+
+
 def _searched(model: Model, wider: int, k: int):
+    """Pairs of blocks to the best ``k`` per query; a task merges what it finds, ``_HELD`` rows at most."""
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, ...]:
+            return _best(*[np.concatenate(c) for c in zip(*held, strict=True)], k)
+
         for frame in frames:
             for r in frame.itertuples():
                 q_ids, c_ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
@@ -265,11 +281,16 @@ def _searched(model: Model, wider: int, k: int):
                 rows, cols = rows[other], cols[other]
                 score = _distances(np.frombuffer(r.q_vectors, np.float64).reshape(len(q_ids), -1),
                                    np.frombuffer(r.vectors, np.float64).reshape(len(c_ids), -1), rows, cols)
-                order = np.lexsort((c_ids[cols], score, q_ids[rows]))
-                rows, cols, score = rows[order], cols[order], score[order]
-                asked = q_ids[rows]
-                top = np.arange(len(asked)) - np.searchsorted(asked, asked, side="left") < k
-                yield pd.DataFrame({"query_id": asked[top], "vec_id": c_ids[cols[top]], "score": score[top]})
+                held.append(_best(q_ids[rows], c_ids[cols], score, k))
+                size += len(held[-1][0])
+                if size > _HELD:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > _HELD // 2:  # many queries: they go on as they are
+                        yield pd.DataFrame(dict(zip(_FOUND, held[0], strict=True)))
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(dict(zip(_FOUND, merged(), strict=True)))
 
     return search
 
