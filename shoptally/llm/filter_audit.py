@@ -1,12 +1,11 @@
 """How document filters act upon each other, in every order of application.
 
 The word counts of all documents form a sparse document-term matrix. A pass over the texts cuts them
-into shards of bounded size and numbers the words of each; the different words of all shards get
-dense numbers in sorted order (the dictionary), and every shard's columns are renamed by joining its
-own words, each once, with the dictionary. A shard is then one row in CSR form: row ends, column
-numbers, counts. Row sums and nonzero counts of the matrix decide the filters on words; character
-measures and a digest of each text come from the same pass, and the smallest id per digest decides
-the filter on copies.
+into shards of bounded size and numbers the words of each. The words of all shards, each once per
+shard, are dealt out by hash and get dense numbers (the dictionary); these go back to the shards, whose
+columns are renamed. A shard is then one row in CSR form: row ends, column numbers, counts. Row sums
+and nonzero counts of the matrix decide the filters on words; character measures and a digest of each
+text come from the same pass, and the smallest id per digest decides the filter on copies.
 
 What a filter order does to a part depends only on how many documents fail which set of filters, so
 documents are counted by part and set (at most 32 sets), and the orders are evaluated on the counts.
@@ -27,16 +26,18 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shoptally.functions.numbering import numbered
-from shoptally.llm.common import byte_slices, salted, table, written
+from shoptally.llm.common import salted, table, tasks, written
 
-#: characters of text in one shard; a longer text is a shard by itself
-SHARD_CHARS = 4 << 20
+#: characters of text in one shard, about; a text is never divided
+SHARD_CHARS = 12 << 20
+#: bytes of text a task turns into words at a time
+_SLICE = 1 << 20
 FILTERS = "ABCDE"
 MIN_WORDS = 50
 DISTINCT_PERCENT = 65
@@ -52,15 +53,14 @@ class _Numbers(dict):
         return number
 
 
-def compressed(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Word lists in CSR form: row ends (with a leading 0), columns, counts, and the column names."""
-    numbers = _Numbers()
+def compressed(rows: list[list[bytes]], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word lists in CSR form: nonzeros per row, columns by ``numbers``, counts."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     found = np.fromiter(map(numbers.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
     width = max(1, len(numbers))
     cells, counts = np.unique(np.repeat(np.arange(len(rows)), sizes) * width + found, return_counts=True)
-    ends = np.searchsorted(cells, np.arange(len(rows) + 1) * width)
-    return ends, (cells % width).astype(np.int32), counts.astype(np.int32), list(numbers)
+    filled = np.bincount(cells // width, minlength=len(rows))
+    return filled, (cells % width).astype(np.int32), counts.astype(np.int32)
 
 
 _UPPER = np.zeros(256, bool)
@@ -82,41 +82,86 @@ def measures(texts: list[str], raw: list[bytes]) -> pa.StructArray:
         names=["points", "upper", "marked", "digest"])
 
 
+class _Shard:
+    """The rows of one shard as they come."""
+
+    def __init__(self):
+        self.numbers, self.size = _Numbers(), 0
+        self.filled, self.columns, self.counts, self.docs = [], [], [], []
+
+    def add(self, kept: pa.Array, texts: list[str]) -> None:
+        raw = [t.encode() for t in texts]
+        for place, part in zip((self.filled, self.columns, self.counts),
+                               compressed([r.split() for r in raw], self.numbers), strict=True):
+            place.append(part)
+        self.docs.append(pa.StructArray.from_arrays(
+            [kept, *measures(texts, raw).flatten()], names=["kept", "points", "upper", "marked", "digest"]))
+        self.size += sum(map(len, texts))
+
+    def row(self, number: int) -> pa.RecordBatch:
+        docs = pa.concat_arrays(self.docs)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(self.filled), dtype=np.int64)])
+        columns, counts = np.concatenate(self.columns), np.concatenate(self.counts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
+             pa.array([ends.tobytes()], pa.binary()), pa.array([columns.tobytes()], pa.binary()),
+             pa.array([counts.tobytes()], pa.binary()), pa.array([list(self.numbers)], pa.list_(pa.binary()))],
+            names=["shard", "docs", "ends", "columns", "counts", "words"])
+
+
 def _cut(limit: int):
     """Batches of (``kept``, ``body``) as shards with columns of their own numbering."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 33
+        number, held = TaskContext.get().partitionId() << 33, _Shard()
         for batch in batches:
-            texts = batch.column("body").to_pylist()
-            for begin, end in byte_slices(texts, limit):
-                raw = [t.encode() for t in texts[begin:end]]
-                ends, columns, counts, words = compressed([r.split() for r in raw])
-                seen = measures(texts[begin:end], raw)
-                docs = pa.StructArray.from_arrays(
-                    [batch.column("kept").slice(begin, end - begin), *seen.flatten()],
-                    names=["kept", "points", "upper", "marked", "digest"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), docs),
-                     pa.array([ends.tobytes()], pa.binary()), pa.array([columns.tobytes()], pa.binary()),
-                     pa.array([counts.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary()))],
-                    names=["shard", "docs", "ends", "columns", "counts", "words"])
-                shard += 1
+            kept, body = batch.column("kept"), batch.column("body")
+            sizes = pc.binary_length(body).to_numpy(zero_copy_only=False)
+            for begin, end in slices(sizes, _SLICE):
+                held.add(kept.slice(begin, end - begin), body.slice(begin, end - begin).to_pylist())
+                if held.size >= limit:
+                    yield held.row(number)
+                    number, held = number + 1, _Shard()
+        if held.docs:
+            yield held.row(number)
 
     return cut
 
 
-def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local columns become the dictionary's."""
+def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of about ``limit`` bytes each; a longer row stands alone."""
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words come sorted: each different one gets the next number and is given out once."""
+    part, number, last = TaskContext.get().partitionId(), -1, None
     for batch in batches:
-        place = batch.schema.get_field_index("columns")
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            ids = row.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            local = np.frombuffer(row.column("columns")[0].as_buffer(), np.int32)
-            arrays = [row.column(n) for n in row.schema.names[:-1]]
-            arrays[place] = pa.array([ids[local].tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays(arrays, names=row.schema.names[:-1])
+        words = batch.column("word")
+        if not len(words):
+            continue
+        new = np.concatenate([[words[0].as_py() != last], pc.not_equal(words[1:], words[:-1]).to_numpy(
+            zero_copy_only=False).astype(bool)])
+        numbers = number + np.cumsum(new)
+        number, last = int(numbers[-1]), words[-1].as_py()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("shard"), batch.column("at"), pa.array(np.full(len(words), part, np.int32)),
+             pa.array(numbers, pa.int64()), pc.if_else(pa.array(new), words, pa.scalar(None, pa.binary()))],
+            names=["shard", "at", "part", "number", "word"])
+
+
+def _renamed(own: pa.Table, ids: pa.Table) -> pa.Table:
+    """A shard's columns become the dictionary's."""
+    for_at = np.zeros(ids.num_rows, np.int64)
+    for_at[ids.column("at").to_numpy()] = ids.column("id").to_numpy()
+    columns = [for_at[np.frombuffer(c.as_buffer(), np.int32)].tobytes() for c in own.column("columns")]
+    return own.set_column(own.schema.get_field_index("columns"), "columns", pa.array(columns, pa.binary()))
 
 
 def shards(docs: DataFrame, kept: list[Column], text: str = "text", limit: int = SHARD_CHARS) -> DataFrame:
@@ -129,56 +174,71 @@ def shards(docs: DataFrame, kept: list[Column], text: str = "text", limit: int =
         "digest: binary>>, ends binary, columns binary, counts binary, words array<binary>")), "audit-shards")
 
 
-def dictionary(parts: DataFrame) -> DataFrame:
-    """All different words of the shards and their dense numbers, ``word id``, in byte order."""
-    words = parts.select(F.explode("words").alias("word")).distinct()
-    return numbered(words, ["word"], "id", 0)
+def numbering(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The dictionary (``word id``, ids dense) and the ids of every shard's own words (``shard at id``).
+
+    Each shard hands in each of its words once, so no word is hot beyond the number of shards. Words
+    are dealt out by hash and numbered in order within a partition; the partitions' totals, one row
+    each, are summed up to the place where each begins.
+    """
+    spark = parts.sparkSession
+    own = parts.select("shard", F.posexplode("words").alias("at", "word"))
+    entries = written(
+        own.repartition(tasks(spark), "word").sortWithinPartitions("word").mapInArrow(
+            _numbered, "shard bigint, at int, part int, number bigint, word binary"), "audit-words")
+    totals = entries.groupBy("part").agg((F.max("number") + 1).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    placed = entries.join(F.broadcast(begins), "part").withColumn("id", F.col("begin") + F.col("number"))
+    return placed.where(F.col("word").isNotNull()).select("word", "id"), placed.select("shard", "at", "id")
+
+
+def _together(docs: DataFrame, kept: list[Column], text: str, limit: int):
+    parts = shards(docs, kept, text, limit)
+    names, ids = numbering(parts)
+    own = parts.drop("words")
+    return own, own.groupBy("shard").cogroup(ids.groupBy("shard")), names
 
 
 def matrix(docs: DataFrame, kept: list[Column], text: str = "text",
            limit: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
     """The document-term matrix, one CSR shard a row, and its dictionary.
 
-    Shards: ``shard docs ends columns counts``; ``ends`` (64-bit, with a leading 0) and ``columns``
-    (64-bit numbers of the dictionary) and ``counts`` (32-bit) are little-endian. A word reaches the
-    join once per shard that has it, so no word is hot beyond the number of shards.
+    Shards: ``shard docs ends columns counts``; ``ends`` (64-bit, with a leading 0), ``columns``
+    (64-bit, numbers of the dictionary) and ``counts`` (32-bit) are little-endian.
     """
-    parts = shards(docs, kept, text, limit)
-    names = dictionary(parts)
-    own = parts.select("shard", F.posexplode("words").alias("at", "word"))
-    ids = own.join(names, "word").groupBy("shard").agg(
-        F.sort_array(F.collect_list(F.struct("at", "id"))).alias("cells"))
-    whole = parts.drop("words").join(ids.select("shard", F.col("cells.id").alias("ids")), "shard", "left")
-    whole = whole.select("shard", "docs", "ends", "columns", "counts",
-                         F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
-    return whole.mapInArrow(_renamed, whole.drop("ids").schema), names
+    own, both, names = _together(docs, kept, text, limit)
+    return both.applyInArrow(_renamed, own.schema), names
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ends = np.frombuffer(batch.column("ends")[i].as_buffer(), np.int64)
-            counts = np.frombuffer(batch.column("counts")[i].as_buffer(), np.int32)
-            upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            docs = batch.column("docs").slice(i, 1).flatten()
-            yield pa.RecordBatch.from_arrays(
-                [*docs.flatten(), pa.array(upto[ends[1:]] - upto[ends[:-1]]), pa.array(np.diff(ends))],
-                names=["kept", "points", "upper", "marked", "digest", "words", "distinct"])
+def _sums(own: pa.Table, ids: pa.Table) -> pa.Table:
+    """Row sums and nonzero counts of one shard of the matrix."""
+    csr = _renamed(own, ids).combine_chunks().to_batches()[0]
+    ends, counts, columns = (
+        np.frombuffer(csr.column(c)[0].as_buffer(), kind)
+        for c, kind in (("ends", np.int64), ("counts", np.int32), ("columns", np.int64)))
+    if len(columns) != ends[-1]:
+        raise ValueError("a shard's columns and rows do not fit together")
+    upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    return pa.Table.from_arrays(
+        [*csr.column("docs").flatten().flatten(), pa.array(upto[ends[1:]] - upto[ends[:-1]]), pa.array(np.diff(ends))],
+        names=["kept", "points", "upper", "marked", "digest", "words", "distinct"])
 
 
-def row_statistics(csr: DataFrame) -> DataFrame:
-    """One row per document: ``kept``, its measures, ``words`` (row sum) and ``distinct`` (nonzeros)."""
-    kept = csr.schema["docs"].dataType.elementType["kept"].dataType
-    return csr.mapInArrow(_sums, StructType.fromDDL(
-        f"kept {kept.simpleString()}, {_MEASURES}, words bigint, distinct bigint"))
+def row_statistics(docs: DataFrame, kept: list[Column], text: str = "text", limit: int = SHARD_CHARS) -> DataFrame:
+    """One row per document: ``kept``, its measures, ``words`` (row sum of the matrix) and ``distinct``
+    (nonzeros), taken where a shard gets its columns, so the matrix itself is not moved again."""
+    own, both, _ = _together(docs, kept, text, limit)
+    fields = own.schema["docs"].dataType.elementType["kept"].dataType.simpleString()
+    return both.applyInArrow(_sums, StructType.fromDDL(f"kept {fields}, {_MEASURES}, words bigint, distinct bigint"))
 
 
 def failures(docs: DataFrame, part: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: ``part doc_id failed`` and its statistics; bit ``i`` of ``failed`` is
     set if filter ``FILTERS[i]`` would remove it."""
-    csr, _ = matrix(docs, [part.alias("part"), F.col(doc_id).alias("doc_id")], text)
+    seen = row_statistics(docs, [part.alias("part"), F.col(doc_id).alias("doc_id")], text)
     rows = written(
-        row_statistics(csr).select("kept.part", "kept.doc_id", "points", "upper", "marked", "digest",
+        seen.select("kept.part", "kept.doc_id", "points", "upper", "marked", "digest",
                                    "words", "distinct", F.monotonically_increasing_id().alias("row")),
         "audit-rows")
     # a text that occurs once has no copy: only repeated ones are joined back
