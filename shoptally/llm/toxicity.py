@@ -4,16 +4,20 @@ A step of the network is a chunk of text between white space. Its inputs are a l
 words and evidence from its characters: how much more often its word, and its five-character
 stretches, occur in toxic training texts than in others. The network reads windows of ``WINDOW``
 chunks in both directions, pools the states by attention and gives a logit; windows overlap by half,
-cover whole texts, and a text is as toxic as its most toxic window. A final scale, fitted on texts,
-turns the logit into a score.
+cover whole texts, and a text is as toxic as its most toxic window. A text of many windows has a
+higher maximum by chance alone, so the score is fitted on the logit and the number of windows, and on
+texts the network has not learned: two networks, each of one half of the sample, judge the other half.
+With few labels their logits tell little about unseen texts, and scores stay near the share of toxic
+labels instead of accusing clean texts.
 
-Learning uses a bounded sample: about ``SAMPLE_ROWS`` labelled rows per class of at most
-``SAMPLE_CHARS`` characters. In training, a text's evidence comes from the other folds of the sample,
-so the network learns what evidence is worth on unseen texts. Scoring covers every row and every whole text.
+Learning uses a bounded sample: about ``SAMPLE_ROWS`` labelled rows per class, whole texts. In
+training, a text's evidence comes from the other folds of the sample, so the network learns what
+evidence is worth on unseen texts. Scoring covers every row and every whole text, however long.
 
 Defined cases: a NULL text, or one without a chunk, scores 0. Rows that repeat an id are rows of
 their own; repeated labels count repeatedly in training. Labels that are NULL are not learned from.
-Without labels of both classes every score is 0. Extra columns are ignored.
+Without a few labels of both classes in either half every score is 0. Extra columns are ignored. Ties
+between windows do not matter (the maximum counts); a score of exactly 0.5 is predicted toxic.
 """
 
 from __future__ import annotations
@@ -43,12 +47,11 @@ from shoptally.llm.common import (
 from shoptally.llm.language import grams
 
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 10_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, LEARNED, EVIDENCE = 8, 5, 3
 WORD_BITS, GRAM_BITS = 14, 20
 FOLDS, PASSES = 4, 2
-_STEPS, _BATCH, _RATE, _DECAY, _SEED = 400, 96, 0.01, 1e-3, 11
+_STEPS, _BATCH, _RATE, _DECAY, _SEED = 600, 96, 0.01, 1e-3, 11
 _SLICE, _BLOCK = 1 << 21, 2048
 _PART = 20_000
 
@@ -105,8 +108,8 @@ class Network:
     weights: dict[str, np.ndarray]
     word_odds: np.ndarray
     gram_odds: np.ndarray
-    scale: float = 1.0
-    shift: float = 0.0
+    #: of the score: weights of the logit and of the logarithm of the number of windows, and a constant
+    scale: tuple[float, float, float] = (1.0, 0.0, 0.0)
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def evidence(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +127,13 @@ class Network:
         out[:, 2] = np.bincount(gof, weights=odds, minlength=n) / np.maximum(np.bincount(gof, minlength=n), 1)
         return out / 4, first
 
+    def scores(self, logits: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Scores of texts; 0 without a window."""
+        out, some = np.zeros(len(logits)), windows > 0
+        a, b, c = self.scale
+        out[some] = sigmoid(a * logits[some] + b * np.log(windows[some]) + c)
+        return out
+
     def compute(self, fresh: list[str]) -> list[np.ndarray]:
         """What a chunk adds to the gates of both directions."""
         return [self.gates(*self.evidence(fresh))]
@@ -244,10 +254,14 @@ def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
     }
 
 
+def window_counts(sizes: np.ndarray) -> np.ndarray:
+    return np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE)), 0)
+
+
 def window_starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of all texts (chunks per text): the starts of their windows, counted in chunks over all texts,
     and each window's text. Windows overlap by half; the last one of a text ends with it."""
-    counts = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE)), 0)
+    counts = window_counts(sizes)
     of = np.repeat(np.arange(len(sizes)), counts)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     begin = np.minimum(nth * STRIDE, np.maximum(sizes[of] - WINDOW, 0))
@@ -271,8 +285,36 @@ def text_counts(numbers: np.ndarray, sizes: np.ndarray, group: np.ndarray, group
 
 def train(texts: list[str], labels: np.ndarray, weights: tuple[float, float] = (1.0, 1.0),
           seed: int = _SEED) -> Network | None:
-    """A network from labelled texts; None without texts of both classes. ``weights`` is how many
+    """A network from labelled texts; None without enough texts of both classes. ``weights`` is how many
     labelled texts one text of the sample stands for, per class."""
+    half = (np.arange(len(texts)) // FOLDS) % 2
+    logits, windows = np.full(len(texts), -np.inf), np.zeros(len(texts))
+    for side in (0, 1):
+        learned, unseen = np.flatnonzero(half != side), np.flatnonzero(half == side)
+        net = learn([texts[i] for i in learned], labels[learned], seed)
+        if net is None:
+            return None
+        logits[unseen], windows[unseen] = judged(net, [texts[i] for i in unseen])
+    net = learn(texts, labels, seed)
+    some = np.isfinite(logits)
+    if net is not None:
+        net.scale = scaled(logits[some], np.log(windows[some]), labels[some], weights)
+    return net
+
+
+def judged(net: Network, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits and numbers of windows of texts."""
+    held = Vocabulary(net.compute, 150_000)
+    logits, windows = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for begin, end in byte_slices(texts, _SLICE):
+        numbers, sizes = held.numbers(texts[begin:end])
+        windows.append(window_counts(sizes))
+        logits.append(text_logits(net, held.values[0], numbers, sizes) if len(numbers) else np.full(end - begin, -np.inf))
+    return np.concatenate(logits), np.concatenate(windows)
+
+
+def learn(texts: list[str], labels: np.ndarray, seed: int = _SEED) -> Network | None:
+    """The network itself, its logits not yet turned into scores."""
     part = np.arange(len(texts)) % FOLDS
     if min((np.sum((labels == y) & (part != p)) for y in (0, 1) for p in range(FOLDS)), default=0) == 0:
         return None
@@ -316,7 +358,7 @@ def train(texts: list[str], labels: np.ndarray, weights: tuple[float, float] = (
         for b in range(0, len(at), _PART)]])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
     step = 0
-    for _ in range(PASSES):
+    for turn in range(PASSES):
         # of a toxic text its strongest window, of another its strongest and one more
         order = np.lexsort((-strength, of))
         best = order[np.unique(of[order], return_index=True)[1]]
@@ -337,34 +379,32 @@ def train(texts: list[str], labels: np.ndarray, weights: tuple[float, float] = (
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 net.weights[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+        if turn == PASSES - 1:
+            break
         strength = np.empty(len(of))
         for number in range(FOLDS):  # the network now says which windows are the strongest
             gates = net.gates(evidence[number], first)
             rows = np.flatnonzero(part[of] == number)
             strength[rows] = logits_of(net, gates, numbers, starts[rows], length[rows])
-    logits = np.full(len(texts), -np.inf)
-    np.maximum.at(logits, of, strength)
-    some = np.isfinite(logits)
-    net.scale, net.shift = scaled(logits[some], labels[some], weights)
     net.word_odds, net.gram_odds = odds(None)
     return net
 
 
-def scaled(logits: np.ndarray, labels: np.ndarray, weights: tuple[float, float]) -> tuple[float, float]:
-    """Logistic regression of the labels on the logits, the classes weighing as in the whole table,
-    with a small penalty so that separable classes have a finite scale."""
+def scaled(logits: np.ndarray, windows: np.ndarray, labels: np.ndarray,
+           weights: tuple[float, float]) -> tuple[float, float, float]:
+    """Logistic regression of the labels on logits and ``windows`` (logarithms), the classes weighing as
+    in the whole table. A penalty of one text's weight keeps separable or few texts from any extreme."""
     weight = np.where(labels == 1, weights[1], weights[0])
     weight = weight / weight.sum()
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * logits + b)
+    x = np.stack([logits, windows, np.ones(len(logits))], axis=1)
+    ridge = np.diag([1.0, 1.0, 1e-6]) / max(1, len(logits))
+    w = np.zeros(3)
+    for _ in range(100):
+        p = sigmoid(x @ w)
         s = weight * p * (1 - p)
-        g = np.array([(weight * (p - labels) * logits).sum() + 1e-3 * (a - 1), (weight * (p - labels)).sum()])
-        hess = np.array([[(s * logits * logits).sum() + 1e-3, (s * logits).sum()],
-                         [(s * logits).sum(), s.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-    return float(max(a, 0.05)), float(b)
+        step = np.linalg.solve(x.T @ (x * s[:, None]) + ridge + 1e-9 * np.eye(3), x.T @ (weight * (p - labels)) + ridge @ w)
+        w = w - np.clip(step, -1, 1)
+    return float(max(w[0], 0.0)), float(min(w[1], 0.0)), float(w[2])
 
 
 def logits_of(net: Network, gates: np.ndarray, numbers: np.ndarray, starts: np.ndarray,
@@ -391,8 +431,7 @@ def text_logits(net: Network, gates: np.ndarray, numbers: np.ndarray, sizes: np.
 
 
 def fitted(docs: DataFrame, labels: DataFrame, training: Column, text: str = "text",
-           doc_id: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS,
-           chars: int = SAMPLE_CHARS) -> Network | None:
+           doc_id: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Network | None:
     """Trains on about ``rows`` labelled rows per class; ``training`` is a condition on ``doc_id``."""
     known = columns_apart(labels, [doc_id, label]).select(
         F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(
@@ -402,7 +441,7 @@ def fitted(docs: DataFrame, labels: DataFrame, training: Column, text: str = "te
     lot = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30)) / (1 << 30)
     chosen = known.where(lot < share)
     body = columns_apart(docs, [doc_id, text]).select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).where(F.length("body") <= chars)
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).where(F.col("body").isNotNull())
     # the sample's ids are about 2 * rows, whatever the table's size; one task trains on it
     sample = body.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "body").repartition(1)
     found = sample.mapInPandas(_trained(totals), "net binary").collect()
@@ -434,9 +473,7 @@ def _score(shared):
                 if net is not None:
                     numbers, sizes = held.numbers(texts[lo:hi])
                     if len(numbers):
-                        logits = text_logits(net, held.values[0], numbers, sizes)
-                        some = np.isfinite(logits)
-                        score[some] = sigmoid(net.scale * logits[some] + net.shift)
+                        score = net.scores(text_logits(net, held.values[0], numbers, sizes), window_counts(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)],
                      pa.array(score), pa.array((score >= 0.5).astype(np.int32))],

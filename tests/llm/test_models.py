@@ -113,7 +113,7 @@ def test_toxic_words_are_found_in_unseen_texts():
 
     def scores(texts):
         numbers, sizes = held.numbers(texts)
-        return T.sigmoid(net.scale * T.text_logits(net, held.values[0], numbers, sizes) + net.shift)
+        return net.scores(T.text_logits(net, held.values[0], numbers, sizes), T.window_counts(sizes))
 
     got = scores([t for t, _ in test])
     assert np.mean((got >= 0.5) == np.array([y for _, y in test])) >= 0.95
