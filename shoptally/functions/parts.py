@@ -7,24 +7,22 @@ part 0 the first ones, part 1 the next, at any size of the group. No member is d
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoptally.functions.numbering import numbered
+from shoptally.functions.running import running
 
 PART_ROWS = 10_000
 
 
 def with_positions(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds ``pos``, dense within each group in ``order`` (unique within the group).
-
-    All rows are numbered over range partitions, so a hot group is spread over many tasks; the
-    group's lowest number is an aggregate. A row without a key has no position.
-    """
-    placed = numbered(df, [*keys, order], "_number", 0)
-    first = placed.groupBy(*keys).agg(F.min("_number").alias("_first"))
-    return placed.join(first, keys, "left").withColumn(
-        "pos", F.col("_number") - F.col("_first")).drop("_number", "_first")
+    """Adds ``pos``, dense within each group in ``order`` (unique within the group): a running count,
+    so a hot group is spread over many tasks. A row without a key has no position."""
+    counted = running(df, keys, [order], {"pos": F.lit(1)})
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return counted.withColumn("pos", F.when(known, F.col("pos") - 1))
 
 
 def with_parts(df: DataFrame, keys: list[str], order: str, limit: int = PART_ROWS) -> DataFrame:

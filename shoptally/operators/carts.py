@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from shoptally import constants as K
 from shoptally.functions.columns import total
 from shoptally.functions.numbering import numbered
 from shoptally.functions.rules import sellable_quantity
+from shoptally.functions.running import placed, summed
 from shoptally.operators.inventory import serial_balance
-from shoptally.session import use_checkpoints
+from shoptally.session import stored, use_checkpoints
 
 
 def scan(codes: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -143,23 +146,87 @@ def verdicts(judged: DataFrame) -> DataFrame:
         F.every("ok").alias("accepted"))
 
 
+def decide_in_order(lines: DataFrame, ledger: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(cart_id, accepted, round): carts one after the other by ``cart_id``, each against what the
+    accepted carts before it leave. Two carts that want the last piece do not both get it.
+
+    A cart's lines are judged each alone against the stock before the cart, as one statement would.
+    All open carts are judged at once between two bounds: what is left of a (product, serial) if no
+    open cart before takes its share, and if all of them do. A cart that passes by the lower bound
+    everywhere is accepted, one that fails by the upper bound anywhere is refused, and the rest goes
+    into the next round with tighter bounds. The first open cart of all its products meets equal
+    bounds, so every round decides some; products that nobody contests are decided in the first.
+    The claims before a cart are running sums, spread over tasks for a hot product.
+
+    A line with no stock history, or whose quantity is missing or not above 0, refuses its cart.
+    ``most_rounds`` stops early and leaves the open carts out.
+    """
+    clean = lines.withColumn("serial", F.nullif("serial", F.lit("")))
+    wants = clean.groupBy("cart_id", "sku", "serial").agg(
+        F.sum("quantity").alias("taken"), F.max("quantity").alias("most"),
+        F.every(F.coalesce(F.col("quantity") > 0, F.lit(False))).alias("fine"))
+    concerned = ledger.join(
+        clean.select(F.col("sku").alias("product_id")).distinct(), "product_id", "left_semi")
+    held = serial_balance(concerned).select(
+        F.col("product_id").alias("p"), F.col("serial").alias("s"), F.col("stock").alias("held"))
+    same = (F.col("sku") == F.col("p")) & F.col("serial").eqNullSafe(F.col("s"))
+    rows = placed(wants.join(held, same, "left").select(
+        "cart_id", "sku", "serial", "taken", "most", F.when(F.col("fine"), F.col("held")).alias("held"),
+        F.lit(None).cast("boolean").alias("accepted")), ["sku", "serial"], ["cart_id"])
+    is_open, decided = F.col("accepted").isNull(), []
+    while most_rounds is None or len(decided) < most_rounds:
+        claims = {"gone": F.when(F.col("accepted"), F.col("taken")), "claimed": F.when(is_open, F.col("taken"))}
+        seen = summed(rows, ["sku", "serial"], ["cart_id"], claims)
+        upper = F.col("held") - F.col("gone")
+        lower = upper - (F.col("claimed") - F.col("taken"))
+        verdict = seen.where(is_open).groupBy("cart_id").agg(
+            F.every(F.coalesce(lower >= F.col("most"), F.lit(False))).alias("passes"),
+            F.some(F.coalesce(upper < F.col("most"), F.lit(True))).alias("fails"),
+        ).where("passes OR fails").select("cart_id", F.col("passes").alias("fresh"))
+        after = stored(rows.join(verdict, "cart_id", "left"), "queue")
+        decided.append(after.where(F.col("fresh").isNotNull()).select(
+            "cart_id", F.col("fresh").alias("accepted"), F.lit(len(decided) + 1).alias("round")).distinct())
+        after = after.withColumn("accepted", F.coalesce("accepted", "fresh")).drop("fresh")
+        if after.where(is_open).isEmpty():
+            break
+        # what the next round needs: open carts, and what accepted ones took of the same pieces
+        still = after.where(is_open).select(F.col("sku").alias("p"), F.col("serial").alias("s")).distinct()
+        rows = after.where(is_open | F.col("accepted")).join(still, same, "left_semi")
+    return reduce(DataFrame.unionByName, decided)
+
+
 def check_out(carts: DataFrame, lines: DataFrame, paid: DataFrame, ledger: DataFrame,
               first_id: int = K.FIRST_SEQUENCE_ID
               ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(orders, items, payments, ledger rows, refused carts) of carts judged all-or-nothing.
+    """(orders, items, payments, ledger rows, refused carts) of carts judged all-or-nothing, each
+    cart alone against the stock before the batch.
 
     ``carts`` holds cart_id, customer_id, staff_id, discount; new orders are numbered from
     ``first_id`` by cart id.
     """
     use_checkpoints(lines.sparkSession)
     judged = judge(lines, ledger).checkpoint()  # read again for the items and the refusals
-    result = verdicts(judged)
+    return (*_fan_out(carts, judged.drop("ok"), paid, verdicts(judged), first_id),
+            verdicts(judged).where(~F.col("accepted")))
+
+
+def check_out_in_order(carts: DataFrame, lines: DataFrame, paid: DataFrame, ledger: DataFrame,
+                       first_id: int = K.FIRST_SEQUENCE_ID
+                       ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``check_out`` for carts that compete: later carts see what earlier ones took."""
+    result = decide_in_order(lines, ledger)
+    clean = lines.withColumn("serial", F.nullif("serial", F.lit("")))
+    return (*_fan_out(carts, clean, paid, result, first_id), result.where(~F.col("accepted")))
+
+
+def _fan_out(carts: DataFrame, lines: DataFrame, paid: DataFrame, result: DataFrame, first_id: int):
+    """(orders, items, payments, ledger rows) of the accepted carts."""
     through = carts.join(result.where("accepted").select("cart_id"), "cart_id", "left_semi")
     orders = numbered(through, ["cart_id"], "order_id", first_id)
     ids = orders.select("cart_id", "order_id")
-    items = judged.drop("ok").join(ids, "cart_id").select(
+    items = lines.join(ids, "cart_id").select(
         "order_id", F.col("sku").alias("product_id"), "serial", "quantity", "price", "discount")
     payment = paid.join(ids, "cart_id").select("order_id", "method", "amount")
     moves = items.select("product_id", F.lit("sell").alias("type"), "serial", "quantity",
                          "order_id")
-    return orders, items, payment, moves, result.where(~F.col("accepted"))
+    return orders, items, payment, moves

@@ -6,12 +6,13 @@ Rows of a batch are judged one by one against the stock before the batch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoptally import constants as K
 from shoptally.functions.columns import join_key
 from shoptally.functions.rules import signed_quantity
+from shoptally.functions.running import running
 from shoptally.operators.inventory import serial_balance, serial_modes
 from shoptally.session import use_checkpoints
 
@@ -42,15 +43,21 @@ def no_problem(checked: DataFrame) -> Column:
 def judge(batch: DataFrame, ledger: DataFrame, cumulative: str | None = None) -> DataFrame:
     """Adds stock_ok, serial_ok, cap_ok and accepted to the batch rows.
 
-    Rows are judged one by one. With ``cumulative``, a column that orders the batch, stock is what
-    the rows before it in the batch leave; the rows of one (product, serial) then meet in one task.
     The ledger is cut to the batch's products and summed to one row per (product, serial)
     before any join with the batch.
     """
+    concerned = ledger.join(batch.select("product_id").distinct(), "product_id", "left_semi")
+    return judge_held(batch, serial_balance(concerned), cumulative)
+
+
+def judge_held(batch: DataFrame, held: DataFrame, cumulative: str | None = None) -> DataFrame:
+    """``judge`` against known stock, one row per (product, serial) of the batch's products.
+
+    Rows are judged one by one. With ``cumulative``, a unique column that orders the batch, stock is
+    what the rows before it in the batch leave; a hot product's rows are spread over tasks.
+    """
     rows = batch.withColumn("serial", F.nullif("serial", F.lit(""))).withColumn(
         "signed", signed_quantity(F.col("type"), F.col("quantity")))
-    concerned = ledger.join(rows.select("product_id").distinct(), "product_id", "left_semi")
-    held = serial_balance(concerned)
     by_row = held.select(F.col("product_id").alias("p"), F.col("serial").alias("s"), "stock")
     loose = held.groupBy("product_id").agg(
         F.bool_or(F.col("serial").isNull()).alias("had_loose"))
@@ -66,15 +73,15 @@ def judge(batch: DataFrame, ledger: DataFrame, cumulative: str | None = None) ->
     zero = F.lit(0)
     moved = F.col("signed")
     if cumulative:
-        moved = F.sum("signed").over(Window.partitionBy("product_id", "serial").orderBy(
-            cumulative).rowsBetween(Window.unboundedPreceding, 0))
+        seen = running(seen, ["product_id", "serial"], [cumulative], {"moved": F.col("signed")})
+        moved = F.col("moved")
     return (
         seen.withColumn("stock_ok", moved + F.coalesce("stock", zero) >= 0)
         .withColumn("serial_ok", is_loose == F.coalesce(F.col("had_loose"), is_loose))
         .withColumn("cap_ok",
                     is_loose | (F.coalesce("serial_stock", zero) + F.col("signed") <= 1))
         .withColumn("accepted", F.col("stock_ok") & F.col("serial_ok") & F.col("cap_ok"))
-        .drop("stock", "had_loose", "serial_stock", "signed")
+        .drop("stock", "had_loose", "serial_stock", "signed", "moved")
     )
 
 

@@ -260,6 +260,72 @@ def checkout_ledger_rows(spark, d):
     return _checkout(spark, d)[3]
 
 
+# --- carts that compete: one after the other ----------------------------------------------------
+#: the queue is walked cart by cart. Carts that ask for more than there ever was take nothing, and only
+#: the (product, serial) pairs that run short among the others are kept as state
+QUEUE = CHECKOUT | {
+    "wants": "SELECT cart_id, sku, serial, sum(quantity)::BIGINT AS taken, max(quantity) AS most FROM cart_line GROUP BY ALL",
+    "stocked": "SELECT w.*, h.stock FROM wants w LEFT JOIN held h ON h.product_id = w.sku AND h.serial IS NOT DISTINCT FROM w.serial",
+    "hopeless": "SELECT DISTINCT cart_id FROM stocked WHERE coalesce(stock < most, TRUE)",
+    "supply": "SELECT * FROM stocked WHERE cart_id NOT IN (FROM hopeless)",
+    "scarce": "SELECT sku, serial, any_value(stock)::BIGINT AS stock, row_number() OVER (ORDER BY sku, serial) AS pos "
+              "FROM supply GROUP BY sku, serial HAVING sum(taken) > any_value(stock)",
+    "asked": "SELECT s.cart_id, c.pos, s.taken, s.most FROM supply s JOIN scarce c ON s.sku = c.sku "
+             "AND s.serial IS NOT DISTINCT FROM c.serial",
+    "takes": "SELECT n.cart_id, list(coalesce(a.taken, 0) ORDER BY c.pos) AS takes "
+             "FROM (SELECT DISTINCT cart_id FROM asked) n CROSS JOIN scarce c "
+             "LEFT JOIN asked a ON a.cart_id = n.cart_id AND a.pos = c.pos GROUP BY n.cart_id",
+    "queue": "SELECT cart_id, row_number() OVER (ORDER BY cart_id) AS i, any_value(takes) AS takes, "
+             "list({'pos': pos, 'most': most}) AS asks FROM asked JOIN takes USING (cart_id) GROUP BY cart_id",
+    "walk": """
+SELECT 0::BIGINT AS i, NULL::BIGINT AS cart_id, FALSE AS accepted, (SELECT list(stock ORDER BY pos) FROM scarce) AS state
+UNION ALL
+SELECT i, cart_id, accepted, CASE WHEN accepted THEN list_transform(list_zip(state, takes), lambda z: z[1] - z[2]) ELSE state END
+FROM (SELECT q.*, state, len(list_filter(asks, lambda a: state[a.pos] < a.most)) = 0 AS accepted
+      FROM walk w JOIN queue q ON q.i = w.i + 1)""",
+    "served": "SELECT c.cart_id, c.cart_id NOT IN (FROM hopeless) AND coalesce(w.accepted, TRUE) AS accepted "
+              "FROM (SELECT DISTINCT cart_id FROM cart_line) c LEFT JOIN walk w ON c.cart_id = w.cart_id",
+    "placed_in_order": "SELECT cart_id, CAST(o_custkey AS VARCHAR) AS customer_id, "
+                       f"{K.FIRST_SEQUENCE_ID} - 1 + row_number() OVER (ORDER BY cart_id) AS order_id "
+                       "FROM served JOIN orders ON cart_id = o_orderkey WHERE accepted",
+}
+
+
+def queue_sql(body: str) -> str:
+    text = V.sql("history", body, **QUEUE).replace("WITH", "WITH RECURSIVE", 1)
+    for name in ("cart_line", "supply", "scarce", "queue", "walk"):  # else computed again at every step
+        text = text.replace(f"{name} AS (", f"{name} AS MATERIALIZED (", 1)
+    return text
+
+
+def _checkout_in_order(spark, d):
+    paid = W.payment(spark, d).withColumnRenamed("order_id", "cart_id")
+    return carts.check_out_in_order(cart_heads(spark, d), open_lines(spark, d), paid, W.history(spark, d))
+
+
+@query("L6 L8", queue_sql("SELECT cart_id, accepted FROM served"))
+def checkout_in_order_verdicts(spark, d):
+    """Carts that compete for the same pieces, served by cart id."""
+    return carts.decide_in_order(open_lines(spark, d), W.history(spark, d)).select("cart_id", "accepted")
+
+
+@query("L6 S10", queue_sql("SELECT cart_id, customer_id, order_id FROM placed_in_order"))
+def checkout_in_order_orders(spark, d):
+    return _checkout_in_order(spark, d)[0].select("cart_id", "customer_id", "order_id")
+
+
+@query("L6 A8", queue_sql(f"""
+SELECT product_id, serial, CAST(sum(stock) AS BIGINT) AS stock FROM (
+  SELECT product_id, serial, stock FROM held
+  UNION ALL SELECT sku, serial, -quantity FROM cart_line JOIN placed_in_order USING (cart_id)) GROUP BY ALL"""))
+def stock_after_checkout_in_order(spark, d):
+    """What the accepted carts leave: no stock that was there falls below 0."""
+    moves = _checkout_in_order(spark, d)[3]
+    both = W.history(spark, d).select("product_id", "serial", "type", "quantity").unionByName(
+        moves.select("product_id", "serial", "type", "quantity"))
+    return stock_ops.serial_balance(both)
+
+
 #: members per part in the queries below: small, so that the tables have groups of several parts
 PER_PART = 3
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from shoptally.operators import ledger
 from shoptally.plans import views as V
 from shoptally.plans.registry import query
-from shoptally.plans.stock import JUDGED, STRICT
+from shoptally.plans.stock import JUDGED, SIGNED, STRICT
 from shoptally.session import shared_folder
+from shoptally.sources import balances
 from shoptally.sources import warehouse as W
 from shoptally.sources.files import new_files
 from shoptally.streaming import admission, events, stock, updates
@@ -79,6 +80,14 @@ def stream_ledger_booked(spark, d):
     """The booked log after three micro-batches: the rows that pass, all rows (refused as a whole),
     and one row with an order id (refused)."""
     folder = shared_folder(spark, "stream")
+    admission.start(_three_batches(spark, d, folder), W.history(spark, d), f"{folder}/log", f"{folder}/refused",
+                    f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/log").select(
+        "id", "product_id", "serial", "type", "quantity", F.col("number").cast("int").alias("number"))
+
+
+def _three_batches(spark, d, folder: str) -> DataFrame:
+    """The rows that pass, all rows, and one row with an order id, as a stream of three micro-batches."""
     rows = W.incoming(spark, d)
     passing = ledger.judge(rows, W.history(spark, d)).where("accepted").select(*rows.columns)
     none = F.lit(None).cast("bigint")
@@ -88,14 +97,61 @@ def stream_ledger_booked(spark, d):
                                      "quantity bigint, order_id bigint")]
     for number, batch in enumerate(batches):  # one file each: a micro-batch of its own
         batch.coalesce(1).write.parquet(f"{folder}/in/{number}")
-    arrivals = (spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1)
-                .option("recursiveFileLookup", True).parquet(f"{folder}/in"))
-    admission.start(arrivals, W.history(spark, d), f"{folder}/log", f"{folder}/refused",
-                    f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/log").select(
+    return (spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", True).parquet(f"{folder}/in"))
+
+
+def _booked_with_stock(spark, d) -> str:
+    folder = shared_folder(spark, "stream")
+    balances.create(W.history(spark, d), f"{folder}/stock", 16)
+    admission.start_with_stock(_three_batches(spark, d, folder), f"{folder}/stock", f"{folder}/log",
+                               f"{folder}/refused", f"{folder}/checkpoint", "till", 1).awaitTermination()
+    return folder
+
+
+@query("T3 L1 L2 L3 L4 L5", V.sql("history incoming", """
+SELECT id, product_id, serial, type, quantity, 0 AS number FROM judged WHERE stock_ok AND serial_ok AND cap_ok""",
+                                  **JUDGED))
+def stream_ledger_booked_with_stock(spark, d):
+    """The same three micro-batches, judged against the stock table: no batch reads the history."""
+    return spark.read.parquet(f"{_booked_with_stock(spark, d)}/log").select(
         "id", "product_id", "serial", "type", "quantity", F.col("number").cast("int").alias("number"))
 
 
+@query("T3 A8 L2", V.sql("history incoming", f"""
+SELECT product_id, serial, CAST(sum({SIGNED}) AS BIGINT) AS stock FROM (
+  SELECT product_id, serial, type, quantity FROM history
+  UNION ALL SELECT product_id, serial, type, quantity FROM judged WHERE stock_ok AND serial_ok AND cap_ok)
+WHERE product_id IS NOT NULL GROUP BY ALL""", **JUDGED))
+def stock_table_after_stream(spark, d):
+    """The stock table once the stream has ended, changes and compacted buckets together."""
+    return balances.whole(spark, f"{_booked_with_stock(spark, d)}/stock")
+
+
+@query("A8 L2 J11", V.sql("history incoming", f"""
+SELECT product_id, serial, CAST(sum({SIGNED}) AS BIGINT) AS stock FROM history
+WHERE product_id IN (SELECT product_id FROM incoming WHERE type = 'rtv') GROUP BY ALL"""))
+def stock_table_of_products(spark, d):
+    """Balances of the returned products, from the buckets of a stock table that hold them."""
+    folder = shared_folder(spark, "stock")
+    balances.create(W.history(spark, d), folder)
+    return balances.held(spark, folder, W.incoming(spark, d).where(F.col("type") == "rtv"))
+
+
+@query("L2", V.sql("history ledger", f"""
+SELECT u.id, u.product_id, u.serial, u.type, u.quantity,
+       sum({SIGNED}) OVER (PARTITION BY u.product_id, u.serial ORDER BY u.id) + coalesce(h.stock, 0) >= 0 AS stock_ok
+FROM (SELECT * REPLACE (concat(id, '-', CAST(order_id AS VARCHAR)) AS id) FROM ledger WHERE phase = 'O') u
+LEFT JOIN (SELECT product_id, serial, sum({SIGNED}) AS stock FROM history GROUP BY ALL) h
+ON h.product_id = u.product_id AND h.serial IS NOT DISTINCT FROM u.serial"""))
+def ledger_batch_judged_in_order(spark, d):
+    """Rows of a batch against what the rows before them leave."""
+    rows = W.ledger(spark, d).where(F.col("phase") == "O").withColumn(
+        "id", F.concat("id", F.lit("-"), F.col("order_id").cast("string"))).drop("order_id", "phase", "created_at")
+    judged = ledger.judge(rows, W.history(spark, d), "id")
+    return judged.select("id", "product_id", "serial", "type", "quantity", "stock_ok")
+
+
 @query("S7", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def new_files_once(spark, d):
     """A folder watched twice: the second run finds nothing new, so every row is there once."""

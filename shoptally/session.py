@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "shoptally", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,6 +36,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the cluster's shared folder: lineage ends here and nothing is computed
+    twice. The files outlive a lost executor; the cluster's clean-up of the folder removes them."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable. The folder the cluster names is kept; only a local
     session that names none gets a temporary one."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoptally.operators import ledger
 from shoptally.session import use_checkpoints
+from shoptally.sources import balances
 from shoptally.sources.ledger_log import exists
 
 ROW = ("product_id", "serial", "type", "quantity")
@@ -46,3 +47,34 @@ def start(arrivals: DataFrame, booked: DataFrame, log: str, refused: str, checkp
     own.append(str(query.id))
     known.set()
     return query
+
+
+def start_with_stock(arrivals: DataFrame, stock: str, log: str, refused: str, checkpoint: str, stream: str,
+                     changes: int = balances.CHANGES):
+    """Judge every micro-batch against the stock table in ``stock`` (``sources.balances``), of which it
+    reads the buckets of its own products: neither the history nor the log is summed again.
+
+    ``stream`` names this stream for good, also after its checkpoint moved. A micro-batch is written
+    to its own folder of the log first and then booked in the table; one that was booked already is
+    passed over, one that was cut off before is judged anew against the same stock.
+    """
+    spark = arrivals.sparkSession
+    use_checkpoints(spark)
+
+    def book(batch: DataFrame, number: int) -> None:
+        if balances.applied(spark, stock, stream) >= number:
+            return
+        rows = batch.checkpoint()
+        held = balances.held(spark, stock, rows)
+        judged = ledger.judge_held(ledger.validity(rows), held).checkpoint()
+        place = f"stream={stream}/number={number}"
+        passed = ledger.bookable(judged).where(ledger.no_problem(judged)).select(*batch.columns)
+        passed.write.mode("overwrite").parquet(f"{log}/{place}")
+        ledger.conflicts(judged).write.mode("overwrite").parquet(f"{refused}/{place}")
+        balances.add(spark.read.schema(batch.schema).parquet(f"{log}/{place}"), stock, stream, number)
+        balances.compact(spark, stock, changes)
+
+    return (
+        arrivals.writeStream.foreachBatch(book).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
