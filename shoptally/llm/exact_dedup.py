@@ -197,14 +197,13 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One whole row of ``docs`` per different text, with all its columns."""
     index, _ = build(docs, text, doc_id)
-    keep = index.select(F.col("key").alias("_key"), F.col("sha").alias("_sha"),
-                        F.col("keep_id").alias("_keep"))
-    body = normalised(F.col(text))
-    rows = docs.withColumn("_key", F.xxhash64(body)).withColumn("_sha", F.unhex(F.sha2(body, 256)))
-    same = rows[doc_id].eqNullSafe(keep["_keep"])
-    kept = rows.join(keep, (rows["_key"] == keep["_key"]) & (rows["_sha"] == keep["_sha"]) & same)
-    kept = kept.select(*[rows[f"`{c}`"] for c in docs.columns], rows["_key"], rows["_sha"])
-    return kept.dropDuplicates(["_key", "_sha", doc_id]).select(*[f"`{c}`" for c in docs.columns])
+    body = normalised(F.col(f"`{text}`"))
+    # the row goes along as one column, so none of its names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(body).alias("key"),
+                       F.unhex(F.sha2(body, 256)).alias("sha"), F.col(f"`{doc_id}`").alias("id"))
+    keep = index.select(F.col("key").alias("k"), F.col("sha").alias("s"), F.col("keep_id").alias("keep"))
+    kept = rows.join(keep, (F.col("key") == F.col("k")) & (F.col("sha") == F.col("s")) & F.col("id").eqNullSafe(F.col("keep")))
+    return kept.dropDuplicates(["key", "sha", "id"]).select("row.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

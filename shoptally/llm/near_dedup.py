@@ -465,15 +465,14 @@ def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
         F.min(F.struct("node", "k1", "k2", "doc_id", "alone")).alias("_first")).select(
         F.col("_first.doc_id").alias("_id"), F.col("_first.k1").alias("_k1"),
         F.col("_first.k2").alias("_k2"), F.col("_first.alone").alias("_alone")).distinct()
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_a", F.xxhash64(body)).withColumn("_b", F.xxhash64(F.lit(1), body))
-    own = (rows["_a"] == kept["_k1"]) & (rows["_b"] == kept["_k2"]) & rows[doc_id].eqNullSafe(kept["_id"])
-    names = [f"`{c}`" for c in docs.columns]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # the row goes along as one column, so none of its names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(body).alias("a"),
+                       F.xxhash64(F.lit(1), body).alias("b"), F.col(f"`{doc_id}`").alias("id"))
+    own = (F.col("a") == F.col("_k1")) & (F.col("b") == F.col("_k2")) & F.col("id").eqNullSafe(F.col("_id"))
     # rows without words are classes of their own and all stay
-    joined = rows.join(kept, own).select(
-        *[rows[n] for n in names], rows["_a"], rows["_b"],
-        F.when(kept["_alone"], F.monotonically_increasing_id()).alias("_own"))
-    return joined.dropDuplicates(["_a", "_b", doc_id, "_own"]).select(*names)
+    joined = rows.join(kept, own).withColumn("alone", F.when(F.col("_alone"), F.monotonically_increasing_id()))
+    return joined.dropDuplicates(["a", "b", "id", "alone"]).select("row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -195,3 +195,15 @@ def test_whole_texts_count():
     other = " ".join(LONG.split()[:-20_000] + [f"z{i}" for i in range(20_000)])
     a, b = (N.weighted(next(iter(N.shingles([t]))), np.ones(1 << N.CELLS, np.float32)) for t in (LONG, other))
     assert N.similarity(a, b) < 0.8
+
+
+@pytest.mark.parametrize("survivors", [X.survivors, N.survivors])
+def test_survivors_keep_columns_of_any_name(spark, survivors):
+    names = ["_key", "_sha", "_keep", "_a", "_b", "_own", "_id", "_k1", "_alone", "row", "key", "sha", "id", "k", "s", "a",
+             "b", "alone", "keep", "_first"]
+    rows = [(i, t, *[f"{n}-{i}" for n in names]) for i, t in
+            [(1, "one two three four five six"), (2, "one two three four five six"), (3, "quite another text of some words"), (4, "")]]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = survivors(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [r for r in rows if r[0] != 2]
