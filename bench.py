@@ -29,7 +29,7 @@ HEADLINE = [
     "period_last_months_head_tail", "filter_choices", "trend_promo_invoice_monthly",
     "upload_violations", "sales_payment_lists", "sheet_cleaned_from_csv", "checkout_items",
     "ledger_batch_outcome", "upload_summary", "upload_applied_in_order",
-    "stream_stock_balance", "stream_ledger_booked",
+    "stream_stock_balance", "stream_ledger_booked", "ledger_batch_judged_in_order",
 ]
 
 
