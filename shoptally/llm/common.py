@@ -106,16 +106,21 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of ``sizes`` that sum up to about ``limit`` each; a larger one stands alone."""
+    begin = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > limit:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def byte_slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """Index ranges of ``texts`` of about ``limit`` characters each; a longer text stands alone."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield begin, i
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+    return slices([len(t) for t in texts], limit)
 
 
 class Vocabulary(dict):

@@ -12,13 +12,15 @@ probability ``1 - (1 - s**ROWS)**BANDS``: 0.998 at 0.8. In a bucket every text i
 bucket's centre (the text that shares most buckets with most others); in further rounds, texts of a
 bucket that are not connected yet are compared with its next centre. So pairs grow in proportion to
 the rows, a bucket of thousands of copies costs one comparison per copy, and no group meets in one
-task. What is still not connected after ``ROUNDS`` centres is joined on rare shingles: two similar
-texts share one of the rarest shingles that make up the part of each beyond the threshold, so every
-remaining pair of a bucket is decided. Every link is verified by the weighted Jaccard similarity of
-the whole texts' shingles, and classes are the connected components of the links.
+task. What is still open after ``ROUNDS`` centres is mostly pages that are alike, but less than 0.8.
+Those that hold too few shingles of others to have a partner are decided by that. The others get
+``FINE_BANDS * FINE_ROWS`` further samples, and their finer buckets are compared with ever more
+centres until every pair of a bucket is decided. Every link is verified by the weighted Jaccard
+similarity of the whole texts' shingles, and classes are the connected components of the links.
 
-A link is missed only if its texts share no bucket (0.2 % at exactly 0.8) and nothing else connects
-them.
+A link is missed only if its texts share no bucket (0.4 % at exactly 0.8) and nothing else connects
+them. Texts that are all between 0.7 and 0.8 alike and of which none links with another are the one
+case where comparisons grow faster than rows: no sample tells 0.79 from 0.80.
 
 Defined cases: texts with the same words in the same order are one text. A text of one to four words
 is one shingle. NULL texts and texts without a word stand alone. Rows that repeat an id are rows of
@@ -31,7 +33,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -44,6 +45,7 @@ from shoptally.llm.common import (
     filter_words,
     in_filter,
     salted,
+    slices,
     table,
     tasks,
     worker_table,
@@ -53,11 +55,13 @@ from shoptally.llm.common import (
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 9, 3
-#: centres per bucket before the join on rare shingles decides the rest
+#: centres per bucket before what is left is banded anew
 ROUNDS = 3
+#: what is open then is banded anew: pairs at 0.8 meet with 0.998, those at 0.7 with 0.79, at 0.6 with 0.29
+FINE_BANDS, FINE_ROWS = 56, 10
 CELLS = 20
 IDF_SPAN = 0.1
-#: comparisons with one centre in one task, and texts of one shingle on a side of a block
+#: comparisons with one centre in one task
 _PART = 256
 #: room for rounding in bounds that must not hold back a pair
 _SLACK = 1 - 1e-6
@@ -206,13 +210,22 @@ class Sampler:
         return kinds[chosen] ^ mixed(step.astype(np.int64).astype(np.uint64))
 
 
-_SAMPLER: list[Sampler] = []
+_SAMPLERS: dict[tuple[int, int], Sampler] = {}
 
 
-def sampler() -> Sampler:
-    if not _SAMPLER:
-        _SAMPLER.append(Sampler())
-    return _SAMPLER[0]
+def sampler(samples: int = BANDS * ROWS, seed: int = 5) -> Sampler:
+    if (samples, seed) not in _SAMPLERS:
+        _SAMPLERS[samples, seed] = Sampler(samples, seed)
+    return _SAMPLERS[samples, seed]
+
+
+def band_keys(samples: np.ndarray, bands: int, rows: int) -> list[int]:
+    """One key per band of ``rows`` samples."""
+    taken = samples.reshape(bands, rows)
+    mix = np.zeros(bands, np.uint64)
+    for column in range(rows):
+        mix = mixed(mix * _P + taken[:, column])
+    return mix.view(np.int64).tolist()
 
 
 def _sign(shared):
@@ -228,11 +241,7 @@ def _sign(shared):
                         bands.append(None)
                         continue
                     keys.append(sequence_key(found))
-                    taken = draw.samples(*weighted(found, idf)).reshape(BANDS, ROWS)
-                    mix = np.zeros(BANDS, np.uint64)
-                    for column in range(ROWS):
-                        mix = mixed(mix * _P + taken[:, column])
-                    bands.append(mix.view(np.int64).tolist())
+                    bands.append(band_keys(draw.samples(*weighted(found, idf)), BANDS, ROWS))
                 f1, f2 = zip(*keys, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i).slice(lo, hi - lo) for i in range(3)],
@@ -272,16 +281,20 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _verify(threshold: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            last, centre, near = None, None, []
-            for row in frame.itertuples(index=False):
-                if row.a != last:
-                    last = row.a
-                    centre = np.frombuffer(row.a_kinds, np.uint64), np.frombuffer(row.a_weights, np.float32)
-                other = np.frombuffer(row.kinds, np.uint64), np.frombuffer(row.weights, np.float32)
-                near.append(similarity(centre, other) >= threshold)
-            yield frame.loc[near, ["a", "b"]]
+    """Rows sorted by (``a``, ``part``), the centre (``b`` NULL) before its partners."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = None
+        for batch in batches:
+            near = []
+            for i, b in enumerate(batch.column(2).to_pylist()):
+                vector = (np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64),
+                          np.frombuffer(batch.column(4)[i].as_buffer(), np.float32))
+                if b is None:
+                    centre = vector[0].copy(), vector[1].copy()  # outlives its batch
+                elif similarity(centre, vector) >= threshold:
+                    near.append(i)
+            found = batch.take(pa.array(near, pa.int64()))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(2)], names=["a", "b"])
 
     return run
 
@@ -318,66 +331,106 @@ def components(links: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """The pairs (``a`` centre, ``b``) whose vectors are similar. A centre's vector goes to one task
-    per ``_PART`` pairs."""
+    per ``_PART`` pairs, once, and the vectors of its partners follow it one at a time."""
     many = pairs.groupBy("a").agg((1 + F.expr(f"count(*) div {_PART}")).alias("parts"))
     centres = vectors.join(many, vectors["node"] == many["a"]).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.col("kinds").alias("a_kinds"), F.col("weights").alias("a_weights"))
+        F.lit(None).cast("long").alias("b"), "kinds", "weights")
     placed = salted(pairs, many, ["a"], F.col("b")).select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    full = placed.join(vectors, placed["b"] == vectors["node"]).drop("node").join(centres, ["a", "part"])
-    return full.select("a", "b", "kinds", "weights", "a_kinds", "a_weights").mapInPandas(
-        _verify(threshold), "a long, b long")
+        "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    partners = placed.join(vectors, placed["b"] == vectors["node"]).select("a", "part", "b", "kinds", "weights")
+    return centres.union(partners).repartition(tasks(pairs.sparkSession), "a", "part").sortWithinPartitions(
+        "a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify(threshold), "a long, b long")
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every shingle of every text with the text's root."""
+    for batch in batches:
+        kinds = [np.frombuffer(raw.as_buffer(), np.int64) for raw in batch.column(1)]
+        sizes = [8 * len(k) for k in kinds]
+        for lo, hi in slices(sizes, _SLICE):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column(0).to_numpy()[lo:hi], [len(k) for k in kinds[lo:hi]])),
+                 pa.array(np.concatenate(kinds[lo:hi]))], names=["root", "shingle"])
 
 
-def _prefixes(shared, threshold: float):
-    """Per text its rarest shingles, as many as a similar text must share one of. Of two similar
-    texts, what is common weighs at least ``threshold`` times each. It lies at and behind their
-    first common shingle in any fixed order, so with that shingle at least as much of each is left."""
+def _finer(shared, threshold: float):
+    """Per text that can have a partner: its weight, how much of it other roots share, finer bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
+        words, draw = shared.value, sampler(FINE_BANDS * FINE_ROWS, 6)
         for batch in batches:
-            nodes, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lengths = [len(raw.as_buffer()) // 8 for raw in batch.column(2)]
-            held, sizes, totals, begin = [], [], [], 0
+            rows, total, common, bands = [], [], [], []
             for i, (raw, heavy) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 kinds = np.frombuffer(raw.as_buffer(), np.uint64)
-                weights = np.frombuffer(heavy.as_buffer(), np.float32).astype(np.float64)
-                order = np.lexsort((kinds, -idf[(kinds >> np.uint64(64 - CELLS)).astype(np.int64)]))
-                left = np.cumsum(weights[order][::-1])[::-1]
-                held.append(kinds[order[left >= threshold * _SLACK * left[0]]])
-                sizes.append(len(held[-1]))
-                totals.append(left[0])
-                if i + 1 == len(lengths) or sum(sizes) > _SLICE:
-                    of = slice(begin, i + 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(nodes[of], sizes)), pa.array(np.repeat(roots[of], sizes)),
-                         pa.array(np.repeat(totals, sizes)), pa.array(np.concatenate(held).view(np.int64))],
-                        names=["node", "root", "total", "shingle"])
-                    held, sizes, totals, begin = [], [], [], i + 1
+                weights = np.frombuffer(heavy.as_buffer(), np.float32)
+                whole = weights.sum(dtype=np.float64)
+                part = weights[in_filter(words, kinds.view(np.int64))].sum(dtype=np.float64)
+                if part < threshold * _SLACK * whole:
+                    continue
+                rows.append(i)
+                total.append(whole)
+                common.append(part)
+                bands.append(band_keys(draw.samples(kinds, weights), FINE_BANDS, FINE_ROWS))
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column(0), kept.column(1), pa.array(total, pa.float64()), pa.array(common, pa.float64()),
+                 pa.array(bands, pa.list_(pa.int64()))], names=["node", "root", "total", "common", "bands"])
 
     return run
 
 
-def close_pairs(rest: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
-    """All pairs (``a`` < ``b``) of the texts ``rest`` (``node``, ``root``) with different roots that
-    can be similar: they share a shingle of their prefixes and neither is too long for the other. The
-    texts of a shingle are compared in blocks of ``_PART`` by ``_PART``, each block a key of its own."""
-    posted = written(rest.join(vectors, "node").select("node", "root", "kinds", "weights").mapInArrow(
-        _prefixes(idf, threshold), "node long, root long, total double, shingle long"), "near-prefixes")
-    shared = posted.groupBy("shingle").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), (1 + F.expr(f"count(*) div {_PART}")).alias("parts")
-    ).where("lo <> hi").select("shingle", "parts")
-    placed = written(salted(posted, shared, ["shingle"], F.col("node")).withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.col("parts"))), "near-postings")
-    first = placed.select("shingle", F.col("part").alias("lo"), F.explode(F.expr("sequence(part, parts - 1)")).alias("hi"),
-                          F.struct("node", "root", "total").alias("x"))
-    second = placed.select("shingle", F.explode(F.expr("sequence(0L, part)")).alias("lo"), F.col("part").alias("hi"),
-                           F.struct("node", "root", "total").alias("y"))
-    fits = F.least("x.total", "y.total") >= threshold * _SLACK * F.greatest("x.total", "y.total")
-    return first.join(second, ["shingle", "lo", "hi"]).where(
-        fits & F.expr("x.root <> y.root AND (lo < hi OR x.node < y.node)")).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def finer(rest: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """``node root total common bands`` of those texts of ``rest`` (``node``, ``root``) that can be
+    similar to a text of another root. What two texts share lies in shingles that texts of two roots
+    hold; a text with less than ``threshold`` of its weight in them has no partner. Those shingles
+    are kept as a bit table of fixed size that may let texts through and holds none back."""
+    spark = rest.sparkSession
+    full = written(rest.join(vectors, "node").select("node", "root", "kinds", "weights").repartition(
+        tasks(spark), "node"), "near-open")
+    held = full.select("root", "kinds").mapInArrow(_posted, "root long, shingle long").groupBy("shingle").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    words = spark.sparkContext.broadcast(filter_words(held, "shingle"))  # of fixed size
+    return written(full.repartition(tasks(spark), "node").mapInArrow(
+        _finer(words, threshold), "node long, root long, total double, common double, bands array<long>"), "near-finer")
+
+
+def finer_links(rest: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (``a``, ``b``) between texts of ``rest`` (``node``, ``root``) with different
+    roots that share a finer bucket. Every round compares the members of each open bucket with more
+    centres than before, and what is linked then counts as one; a bucket of few members is compared
+    whole. Ends when no bucket is open, so no pair of a bucket is left undecided."""
+    active = finer(rest, vectors, threshold).select(
+        "node", "root", "total", "common", F.posexplode("bands").alias("band", "value"))
+    found, known, centres = None, None, 1
+    while True:
+        open_buckets = active.groupBy("band", "value").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select(
+            "band", "value", "n")
+        met = written(salted(active, open_buckets, ["band", "value"], F.col("node")).withColumn(
+            "central", F.expr(f"n <= {2 * centres} OR pmod(xxhash64(node, band, {centres}), n) < {centres}")), "near-met")
+        if not met.limit(1).count():
+            return found if found is not None else rest.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
+        centre = met.where("central").select(
+            "band", "value", F.col("node").alias("a"), F.col("root").alias("a_root"),
+            F.col("total").alias("a_total"), F.col("common").alias("a_common"))
+        # at least the threshold of both texts' weights must lie in what either can share
+        fits = F.lit(1 + threshold) * F.least("common", "a_common") >= F.lit(threshold * _SLACK) * (
+            F.col("total") + F.col("a_total"))
+        pairs = salted(met, centre, ["band", "value"], F.col("node")).where(
+            fits & F.expr("root <> a_root AND (NOT central OR a < node)")).select(
+            "a", F.col("node").alias("b"), "a_root", F.col("root").alias("b_root"),
+            F.least("a", "node").alias("lo"), F.greatest("a", "node").alias("hi")).dropDuplicates(["lo", "hi"])
+        pairs = written(pairs if known is None else pairs.join(known, ["lo", "hi"], "left_anti"), "near-pairs")
+        known = pairs.select("lo", "hi") if known is None else known.union(pairs.select("lo", "hi"))
+        fresh = written(verified(pairs.select("a", "b"), vectors, threshold), "near-links")
+        found = fresh if found is None else found.union(fresh)
+        active = met.where("NOT central").drop("n", "central")
+        if fresh.limit(1).count():
+            joined = components(pairs.join(fresh, ["a", "b"]).select(
+                F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+            active = salted(active, joined.select(F.col("node").alias("root"), F.col("root").alias("now")), ["root"],
+                            F.col("node"), "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+        centres *= 4
 
 
 def signatures(docs: DataFrame, idf, text: str, doc_id: str) -> DataFrame:
@@ -432,10 +485,7 @@ def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float =
         if not active.limit(1).count():
             return texts, found
     rest = written(active.select("node", "root").distinct(), "near-rest")
-    pairs = close_pairs(rest, vectors, idf, threshold).join(
-        known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    fresh = written(verified(written(pairs, "near-pairs"), vectors, threshold), "near-links")
-    return texts, found.union(fresh)
+    return texts, found.union(finer_links(rest, vectors, threshold))
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",

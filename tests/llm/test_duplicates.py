@@ -140,15 +140,50 @@ def test_a_bucket_of_many_classes_is_decided_exactly(spark):
     assert got == [c for c in brute_classes(rows) if c[1] > 1]
 
 
-def test_texts_of_one_shingle_meet_in_blocks(spark):
-    kinds = [np.arange(1, 11, dtype=np.uint64) << np.uint64(50) for _ in range(600)]
-    vectors = spark.createDataFrame(
-        [(n, bytearray(k.tobytes()), bytearray(np.ones(10, np.float32).tobytes())) for n, k in enumerate(kinds)],
-        "node bigint, kinds binary, weights binary")
-    idf = spark.sparkContext.broadcast(np.ones(1 << N.CELLS, np.float32))
-    rest = vectors.selectExpr("node", "node div 2 AS root")
-    got = {tuple(r) for r in N.close_pairs(rest, vectors, idf, 0.8).collect()}
-    assert got == {(a, b) for b in range(600) for a in range(b) if a // 2 != b // 2}
+def vectors_of(spark, kinds):
+    return spark.createDataFrame(
+        [(n, bytearray(k.astype(np.uint64).tobytes()), bytearray(np.ones(len(k), np.float32).tobytes()))
+         for n, k in enumerate(kinds)], "node bigint, kinds binary, weights binary")
+
+
+def test_equal_vectors_of_many_roots_end_in_one_class(spark):
+    vectors = vectors_of(spark, [np.arange(1, 11) << 50] * 80)
+    found = N.finer_links(vectors.selectExpr("node", "node div 2 AS root"), vectors, 0.8).collect()
+    assert all(r["a"] // 2 != r["b"] // 2 for r in found)
+    links = [(r["a"], r["b"]) for r in found] + [(2 * i, 2 * i + 1) for i in range(40)]
+    roots = N.components(spark.createDataFrame(links, "a bigint, b bigint")).select("root").distinct().collect()
+    assert [r["root"] for r in roots] == [0]
+
+
+def test_links_of_pages_of_one_template(spark):
+    """Pages of one template, 0.5 to 0.99 alike: pairs of 0.8 and more end in one class."""
+    rng = np.random.default_rng(4)
+    template = np.unique(rng.integers(1, 1 << 63, 200, dtype=np.uint64))
+    kinds = []
+    for n in range(150):
+        own = template.copy()
+        own[rng.choice(len(own), 1 + n % 40, replace=False)] = rng.integers(1, 1 << 63, 1 + n % 40, dtype=np.uint64)
+        kinds.append(np.unique(own))
+    vectors = vectors_of(spark, kinds)
+    links = N.finer_links(vectors.selectExpr("node", "node AS root"), vectors, 0.8)
+    found = links.collect()
+    alike = lambda a, b: N.similarity(*((k, np.ones(len(k))) for k in (kinds[a], kinds[b])))
+    assert found and all(alike(r["a"], r["b"]) >= 0.8 for r in found)
+    roots = {r["node"]: r["root"] for r in N.components(links).collect()}
+    for least, recall in ((0.8, 0.9), (0.85, 0.97), (0.9, 0.99)):
+        close = [(a, b) for b in range(len(kinds)) for a in range(b) if alike(a, b) >= least]
+        assert sum(roots.get(a, -1) == roots.get(b, -2) for a, b in close) >= recall * len(close)
+
+
+def test_texts_without_a_possible_partner_are_decided_early(spark):
+    rng = np.random.default_rng(5)
+    shared = np.unique(rng.integers(1, 1 << 63, 70, dtype=np.uint64))
+    kinds = [np.unique(np.concatenate([shared, rng.integers(1, 1 << 63, 30, dtype=np.uint64)])) for _ in range(40)]
+    vectors = vectors_of(spark, [*kinds, shared, shared[:65]])
+    rest = vectors.selectExpr("node", "node AS root")
+    assert {r["node"] for r in N.finer(rest, vectors, 0.8).collect()} == {40, 41}
+    assert {(r["a"], r["b"]) for r in N.finer_links(rest, vectors, 0.8).collect()} == {(40, 41)}
+    assert N.finer_links(rest.limit(0), vectors, 0.8).count() == 0
 
 
 def test_near_classes_of_awkward_rows(spark):
