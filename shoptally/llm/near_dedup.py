@@ -430,7 +430,7 @@ def finer_links(rest: DataFrame, vectors: DataFrame, threshold: float) -> DataFr
                 F.col("a_root").alias("a"), F.col("b_root").alias("b")))
             active = salted(active, joined.select(F.col("node").alias("root"), F.col("root").alias("now")), ["root"],
                             F.col("node"), "left").withColumn("root", F.coalesce("now", "root")).drop("now")
-        centres *= 4
+        centres *= 8
 
 
 def signatures(docs: DataFrame, idf, text: str, doc_id: str) -> DataFrame:
