@@ -5,7 +5,7 @@ from shoptally.plans.registry import QUERIES, Query
 
 def all_queries() -> dict[str, Query]:
     from shoptally.plans import (  # noqa: F401
-        cleaning, dashboard, ingest, integrity, pos, scalars, stock, streams, upload,
+        cleaning, dashboard, ingest, integrity, pos, scalars, stock, stored, streams, upload,
     )
 
     return QUERIES

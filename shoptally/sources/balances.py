@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoptally.operators.inventory import serial_balance
+from shoptally.sources import versions
 
 BUCKETS = 64
 #: changes of one bucket before it is compacted
@@ -27,29 +28,16 @@ _ENTRY = "kind string, bucket int, path string, stream string, number bigint"
 _STOCK = "product_id string, serial string, stock bigint"
 
 
-def _listed(spark: SparkSession, folder: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
-
-
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    found = sorted(int(n.removeprefix("version=")) for n in _listed(spark, f"{folder}/manifest"))
-    return [v for v in found if "_SUCCESS" in _listed(spark, f"{folder}/manifest/version={v}")]
-
-
 def manifest(spark: SparkSession, folder: str) -> tuple[int, list]:
     """Number and entries of the newest complete version."""
-    versions = _versions(spark, folder)
-    if not versions:
+    version = versions.newest(spark, folder)
+    if version is None:
         raise ValueError(f"no stock table in {folder}")
-    place = f"{folder}/manifest/version={versions[-1]}"
-    return versions[-1], [tuple(r) for r in spark.read.schema(_ENTRY).json(place).collect()]
+    return version, [tuple(r) for r in versions.entries(spark, folder, _ENTRY).collect()]
 
 
-def _commit(spark: SparkSession, folder: str, version: int, entries: list) -> None:
-    spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("errorifexists").json(
-        f"{folder}/manifest/version={version}")
+def _commit(spark: SparkSession, folder: str, entries: list) -> None:
+    versions.commit(spark.createDataFrame(entries, _ENTRY).coalesce(1), folder)
 
 
 def _buckets(spark: SparkSession, folder: str) -> int:
@@ -66,7 +54,7 @@ def _written(stock: DataFrame, folder: str, name: str, count: int) -> list:
     rows = stock.where(F.col("product_id").isNotNull()).select(
         F.col("product_id").cast("string"), F.col("serial").cast("string"), F.col("stock").cast("bigint"))
     rows.withColumn("bucket", _bucket(count)).repartition("bucket").write.partitionBy("bucket").parquet(path)
-    found = [int(n.removeprefix("bucket=")) for n in _listed(spark, path) if n.startswith("bucket=")]
+    found = [int(n.removeprefix("bucket=")) for n in versions.listed(spark, path) if n.startswith("bucket=")]
     return [(name, b, f"{path}/bucket={b}", None, None) for b in sorted(found)]
 
 
@@ -79,7 +67,7 @@ def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
 def create(ledger: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """A table from a whole ledger: its first base."""
     base = _written(serial_balance(ledger), folder, "base", buckets)
-    _commit(ledger.sparkSession, folder, 0, [("buckets", None, None, None, buckets), *base])
+    _commit(ledger.sparkSession, folder, [("buckets", None, None, None, buckets), *base])
 
 
 def held(spark: SparkSession, folder: str, products: DataFrame) -> DataFrame:
@@ -107,20 +95,20 @@ def add(moves: DataFrame, folder: str, stream: str, number: int) -> bool:
     spark = moves.sparkSession
     if applied(spark, folder, stream) >= number:
         return False
-    version, entries = manifest(spark, folder)
+    _, entries = manifest(spark, folder)
     changes = _written(serial_balance(moves), folder, "change", _buckets(spark, folder))
     kept = [e for e in entries if (e[0], e[3]) != ("applied", stream)]
-    _commit(spark, folder, version + 1, [*kept, *changes, ("applied", None, None, stream, number)])
+    _commit(spark, folder, [*kept, *changes, ("applied", None, None, stream, number)])
     return True
 
 
 def compact(spark: SparkSession, folder: str, most: int = CHANGES) -> list[int]:
     """Gives every bucket with more than ``most`` changes a new base; returns those buckets."""
-    version, entries = manifest(spark, folder)
+    _, entries = manifest(spark, folder)
     changes = [e[1] for e in entries if e[0] == "change"]
     full = sorted({b for b in changes if changes.count(b) > most})
     if full:
         mine = [e for e in entries if e[1] in full]
         base = _written(_read(spark, [e[2] for e in mine]), folder, "base", _buckets(spark, folder))
-        _commit(spark, folder, version + 1, [*[e for e in entries if e[1] not in full], *base])
+        _commit(spark, folder, [*[e for e in entries if e[1] not in full], *base])
     return full
