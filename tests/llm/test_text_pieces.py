@@ -122,7 +122,7 @@ def licences_of(spark, *texts):
 
 def test_licences_need_their_sentences_in_order(spark):
     s = licences.SENTENCES
-    mit = [s["mit-grant"], s["mit-warranty"], s["mit-liability"]]
+    mit = [s["mit-grant-notices"], s["mit-warranty"], s["mit-liability"]]
     assert licences_of(
         spark, "Text.\nReleased under the MIT License.", "no stop\nLicensed under CC BY-NC 4.0.\nmore",
         ". ".join(mit) + ".", ". ".join(mit[::-1]) + ".", mit[0] + ". Words between. " + mit[1] + "!\n\n" + mit[2],
@@ -131,6 +131,128 @@ def test_licences_need_their_sentences_in_order(spark):
     ) == [["MIT"], ["CC-BY-NC-4.0"], ["MIT"], [], ["MIT"], ["Apache-2.0"], [], ["GPL-3.0-only"]]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD2 = """Copyright (c) 2020, A. Person
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
+EPL2 = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0"""
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it."
+ZERO = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+PUBLISHED = [
+    ("MIT", MIT), ("Apache-2.0", APACHE), ("BSD-2-Clause", BSD2), ("BSD-3-Clause", BSD3), ("GPL-2.0-or-later", GPL2),
+    ("LGPL-2.1-or-later", LGPL21), ("MPL-2.0", MPL), ("Zlib", ZLIB), ("EPL-2.0", EPL2), ("Unlicense", UNLICENSE),
+    ("0BSD", ZERO)]
+
+
+def test_published_layouts_plain_and_in_comments(spark):
+    comments = [
+        lambda t: t,
+        lambda t: t.replace("\n", "\r\n"),
+        lambda t: "/*\n" + "\n".join((" * " + line).rstrip() for line in t.split("\n")) + "\n */\nint main;\n",
+        lambda t: "\n".join(("# " + line).rstrip() for line in t.split("\n")) + "\n#\nimport os\n",
+        lambda t: "\n".join(("// " + line) for line in t.split("\n")) + "\n\ncode()\n",
+    ]
+    got = iter(licences_of(spark, *[c(text) for c in comments for _, text in PUBLISHED]))
+    for number, _ in enumerate(comments):
+        for name, _ in PUBLISHED:
+            assert next(got) == [name], (number, name)
+
+
+def test_two_licences_in_one_text_and_a_missing_part(spark):
+    assert licences_of(spark, MIT + "\n\n" + ZLIB, MIT.replace("IN NO EVENT", "NEVER"), BSD3 * 2) == [
+        ["MIT", "Zlib"], [], ["BSD-3-Clause"]]
+    assert len({name for name, _ in licences.RULES}) >= 25
+
+
 def test_every_known_sentence_has_an_anchor_and_is_one_sentence():
     import re
 
