@@ -56,6 +56,17 @@ def test_language_of_unseen_texts(spark):
     assert L.predict(odd, model, [F.col("doc_id")], F.col("text")).first()["rejected"]
 
 
+def test_limits_come_from_every_training_text_whole(spark):
+    rng = random.Random(7)
+    texts = [sentence(rng, "aa", 8) for _ in range(1500)]
+    texts[700] = " ".join("".join(rng.choice("abcdevwxyz") for _ in range(6)) for _ in range(4000))  # above 20,000 characters
+    docs = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    model = L.trained(docs, F.lit(True))
+    entropy = sorted(r["entropy"] for r in L.predict(docs, model, [F.col("doc_id")], F.col("text")).collect())
+    assert len(entropy) == 1500
+    assert abs(model.limits[0] - (2 * entropy[-1] - entropy[749])) < 1e-9
+
+
 def test_languages_of_awkward_rows(spark):
     model = L.trained(corpus(spark, 20), F.lit(True))
     got = L.predict(table(spark), model, [F.col("doc_id"), F.struct("score", "_row").alias("carried")], F.col("text")).collect()
