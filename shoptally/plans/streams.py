@@ -3,6 +3,8 @@ returns the final state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,18 @@ def stream_ledger_booked(spark, d):
     """The booked log after three micro-batches: the rows that pass, all rows (refused as a whole),
     and one row with an order id (refused)."""
     folder = shared_folder(spark, "stream")
-    admission.start(_three_batches(spark, d, folder), W.history(spark, d), f"{folder}/log", f"{folder}/refused",
-                    f"{folder}/checkpoint").awaitTermination()
+    history = W.history(spark, d)
+    for arrivals in _three_batches(spark, d, folder):
+        admission.start(arrivals, history, f"{folder}/log", f"{folder}/refused",
+                        f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/log").select(
         "id", "product_id", "serial", "type", "quantity", F.col("number").cast("int").alias("number"))
 
 
-def _three_batches(spark, d, folder: str) -> DataFrame:
-    """The rows that pass, all rows, and one row with an order id, as a stream of three micro-batches."""
+def _three_batches(spark, d, folder: str) -> Iterator[DataFrame]:
+    """The rows that pass, all rows, and one row with an order id, each written to the watched folder
+    once the stream has taken what was there. Yields the folder's stream, to be run to its end with one
+    checkpoint: what is new is one micro-batch, of as many files as its writing tasks."""
     rows = W.incoming(spark, d)
     passing = ledger.judge(rows, W.history(spark, d)).where("accepted").select(*rows.columns)
     none = F.lit(None).cast("bigint")
@@ -95,17 +101,18 @@ def _three_batches(spark, d, folder: str) -> DataFrame:
                spark.createDataFrame([("x", "new", None, "import_po", 1, 99)],
                                      "id string, product_id string, serial string, type string, "
                                      "quantity bigint, order_id bigint")]
-    for number, batch in enumerate(batches):  # one file each: a micro-batch of its own
-        batch.coalesce(1).write.parquet(f"{folder}/in/{number}")
-    return (spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1)
-            .option("recursiveFileLookup", True).parquet(f"{folder}/in"))
+    for number, batch in enumerate(batches):
+        batch.write.parquet(f"{folder}/in/{number}")
+        yield (spark.readStream.schema(batches[0].schema).option("recursiveFileLookup", True)
+               .parquet(f"{folder}/in"))
 
 
 def _booked_with_stock(spark, d) -> str:
     folder = shared_folder(spark, "stream")
     balances.create(W.history(spark, d), f"{folder}/stock", 16)
-    admission.start_with_stock(_three_batches(spark, d, folder), f"{folder}/stock", f"{folder}/log",
-                               f"{folder}/refused", f"{folder}/checkpoint", "till", 1).awaitTermination()
+    for arrivals in _three_batches(spark, d, folder):
+        admission.start_with_stock(arrivals, f"{folder}/stock", f"{folder}/log",
+                                   f"{folder}/refused", f"{folder}/checkpoint", "till", 1).awaitTermination()
     return folder
 
 

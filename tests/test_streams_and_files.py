@@ -163,3 +163,29 @@ def test_positional_names_keep_extra_columns(spark):
     assert clean.rename_positional(df).columns == ["date", "invoice"]
     wide = spark.createDataFrame([tuple("x" * 28)], ", ".join(f"c{i} string" for i in range(28)))
     assert clean.rename_positional(wide).columns[-2:] == ["sub_cat", "c27"]
+
+
+def test_three_batches_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from shoptally.plans import streams
+
+    row = "id string, product_id string, serial string, type string, quantity bigint"
+    rows = [(str(i), f"p{i}", None, "import_po" if i % 2 else "adjust_out", 1) for i in range(40)]
+    monkeypatch.setattr(streams.W, "incoming", lambda s, d: s.createDataFrame(rows, row).repartition(4))
+    monkeypatch.setattr(streams.W, "history", lambda s, d: s.createDataFrame(
+        [("h", f"p{i}", None, "import_po", 1) for i in range(0, 40, 4)], row))
+    monkeypatch.setattr(streams, "shared_folder", lambda s, purpose: str(tmp_path / purpose))
+    got = streams.stream_ledger_booked(spark, "")
+    assert {(r["id"], r["number"]) for r in got.collect()} == {
+        (i, 0) for i, p, _, kind, _ in rows if kind == "import_po" or int(p[1:]) % 4 == 0}
+    folder = tmp_path / "stream"
+    assert len(list((folder / "in" / "1").glob("*.parquet"))) == 4
+    assert sorted(p.name for p in (folder / "refused").glob("stream=*/*")) == ["number=0", "number=1", "number=2"]
+    assert spark.read.parquet(str(folder / "refused")).count() > 0
+
+
+def test_a_stamped_batch_is_judged_once(spark):
+    from __spark_entry__ import SMALLEST
+    from shoptally.plans.stock import ledger_batch_stamped
+
+    plan = ledger_batch_stamped(spark, SMALLEST)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
