@@ -10,7 +10,7 @@ from shoptally.functions.parts import with_parts
 from shoptally.operators import inventory, ledger
 from shoptally.plans import views as V
 from shoptally.plans.registry import query
-from shoptally.session import shared_folder
+from shoptally.session import shared_folder, stored
 from shoptally.sources import ledger_log, warehouse as W
 
 IN_SQL = "('import_po', 'import_do', 'adjust_in', 'return')"
@@ -205,7 +205,9 @@ SELECT id, product_id, serial, type, quantity, CAST({K.FIRST_SEQUENCE_ID} AS BIG
 FROM judged WHERE stock_ok AND serial_ok AND cap_ok""", **JUDGED))
 def ledger_batch_stamped(spark, d):
     past = W.history(spark, d)
-    booked = ledger.bookable(ledger.judge(_accepted(spark, d), past))
+    # read twice by the judgement and twice by the gate: each written once
+    batch = stored(_accepted(spark, d), "batch")
+    booked = ledger.bookable(stored(ledger.judge(batch, past), "judged"))
     return ledger_log.stamp(booked, past.withColumn("batch_id", F.lit(None).cast("bigint")))
 
 
