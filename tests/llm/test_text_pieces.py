@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from messy import TEXTS, empty, table
+from pyspark.sql import functions as F
 
 from shoptally.llm import licences, packing, pieces
 
@@ -102,6 +103,23 @@ def test_few_segmentations_are_all_given():
     assert abs(sum(math.exp(log) for _, log, _ in found) - 1) < 1e-3
 
 
+def test_rare_segmentations_are_drawn_too():
+    held = pieces.lattices(pieces.vocabulary_path())
+    for word in ("ton", "lemon"):
+        every = segmentations(held.vocabulary, "▁" + word)
+        (found,) = pieces.segmented(held, [word], np.array([11], np.uint64), len(every) + 5)
+        assert {tuple(c.tolist()) for c, _, _ in found} == set(every) and len(found) == len(every)
+        assert all(abs(log - math.log(every[tuple(c.tolist())])) < 1e-6 for c, log, _ in found)
+
+
+def test_query_draws_eight_segmentations(spark, tmp_path):
+    table(spark, [(1, "The quick brown fox jumps over a lazy dog."), (2, None)]).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = pieces.op5(spark, str(tmp_path)).groupBy("doc_id").agg(
+        F.count_distinct("ids_crc32").alias("n"), F.every("round_trip").alias("fine")).collect()
+    assert {r["doc_id"]: (r["n"], r["fine"]) for r in got} == {1: (8, True), 2: (1, True)}
+
+
 def test_pieces_of_awkward_rows_decode(spark):
     got = pieces.sample(table(spark), pieces.vocabulary_path(), k=2)
     rows = got.collect()
