@@ -9,6 +9,7 @@ from shoptally import constants as K
 from shoptally.functions.calendar import month_key, week_label
 from shoptally.functions.columns import all_of, any_of, ratio, round_even, sum_across
 from shoptally.operators import kinds
+from shoptally.session import stored
 
 
 def rename_positional(df: DataFrame) -> DataFrame:
@@ -128,13 +129,10 @@ def add_calendar(df: DataFrame, *labels: str) -> DataFrame:
 
 
 def clean_sheet(raw: DataFrame) -> DataFrame:
-    """Raw text sheet to typed, repaired, labelled sales."""
-    return (
-        raw.transform(rename_positional)
-        .transform(categorise)
-        .transform(validate)
-        .transform(add_calendar)
-    )
+    """Raw text sheet to typed, repaired, labelled sales. The typed sheet is written once: the check for
+    gaps, the bounds of the order and the rows themselves each read it."""
+    typed = stored(raw.transform(rename_positional).transform(categorise), "typed")
+    return typed.transform(validate).transform(add_calendar)
 
 
 def scatter_points(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoptally import constants as K
 from shoptally.functions.columns import columns_of
+from shoptally.session import use_compiled_methods
 
 VALUE_KINDS = ("phone", "date", "boolean", "numeric", "category")
 
@@ -113,6 +114,7 @@ _AS_TEXT = ("string", "phone", "category")
 
 def cast_by_kind(df: DataFrame, kind_of: dict[str, str]) -> DataFrame:
     """Typed columns, bad values as NULL; rows that end up all NULL are dropped."""
+    use_compiled_methods(df.sparkSession)
     text = set(columns_of(df, "string"))
     casts = {}
     for name in df.columns:

@@ -422,3 +422,24 @@ def test_later_copies(spark):
     out = copies.mark_later_copies(df, "k", ["n"], "later")
     assert values(out.where("later"), "n") == [(2,), (4,)]
     assert values(copies.mark_all_copies(df, "k", "dup").where("dup"), "n") == [(1,), (2,)]
+
+
+def test_a_sheet_is_typed_once_and_by_compiled_code(spark):
+    from shoptally import constants as K
+    from shoptally.operators import clean
+
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")  # as in a session not built here
+    row = {c: None for c in K.SALES_COLUMNS} | {
+        "date": "2024-02-29", "invoice": "7", "staff": " An ", "ean": "12", "sku": "s", "qty": "2", "revenue": "10"}
+    schema = ", ".join(f"`{c}` string" for c in K.SALES_COLUMNS)
+    try:
+        raw = spark.createDataFrame([tuple(row.values())], schema)
+        got = clean.clean_sheet(raw)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "trim" not in plan.lower() and "rlike" not in plan.lower()
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+        (r,) = got.collect()
+        assert (r["staff"], r["qty"], r["revenue"], r["price"], r["month"]) == ("An", 2, 10.0, 5.0, "2024-02")
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", limit)
