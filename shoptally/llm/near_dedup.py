@@ -65,6 +65,8 @@ IDF_SPAN = 0.1
 _PART = 256
 #: room for rounding in bounds that must not hold back a pair
 _SLACK = 1 - 1e-6
+#: the same for outlines: sums are too large by less than 1 / 128, and the union is at least half of both
+_OUTLINE = 0.98
 _SLICE = 1 << 21
 _BLOCK = 4096
 #: shingles sampled at a time
@@ -280,15 +282,43 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / union) if union else 0.0
 
 
-def _verify(threshold: float):
+def exact(kinds, weights) -> tuple[np.ndarray, np.ndarray]:
+    """A vector from its two buffers."""
+    return np.frombuffer(kinds, np.uint64), np.frombuffer(weights, np.float32)
+
+
+def folded(kinds: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A vector's outline in a third of its bytes: weights summed by 16 bits of the shingle and
+    rounded up to the upper half of a float, by less than 1 / 128. The least of two sums is no less
+    than the sum of the least, so two outlines share no less than their vectors."""
+    cells, of = np.unique(mixed(kinds).astype(np.uint16), return_inverse=True)
+    sums = np.bincount(of, weights, len(cells)).astype(np.float32)
+    return cells, ((sums.view(np.uint32) + np.uint32(0xFFFF)) >> np.uint32(16)).astype(np.uint16)
+
+
+def outline(cells, sums) -> tuple[np.ndarray, np.ndarray]:
+    """An outline from its two buffers, as a vector."""
+    high = np.frombuffer(sums, np.uint16).astype(np.uint32) << np.uint32(16)
+    return np.frombuffer(cells, np.uint16), high.view(np.float32)
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = [folded(*exact(k.as_buffer(), w.as_buffer())) for k, w in zip(
+            batch.column(1), batch.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([c.tobytes() for c, _ in both], pa.binary()),
+             pa.array([s.tobytes() for _, s in both], pa.binary())], names=["node", "kinds", "weights"])
+
+
+def _verify(threshold: float, read):
     """Rows sorted by (``a``, ``part``), the centre (``b`` NULL) before its partners."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = None
         for batch in batches:
             near = []
             for i, b in enumerate(batch.column(2).to_pylist()):
-                vector = (np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64),
-                          np.frombuffer(batch.column(4)[i].as_buffer(), np.float32))
+                vector = read(batch.column(3)[i].as_buffer(), batch.column(4)[i].as_buffer())
                 if b is None:
                     centre = vector[0].copy(), vector[1].copy()  # outlives its batch
                 elif similarity(centre, vector) >= threshold:
@@ -329,9 +359,9 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (``a`` centre, ``b``) whose vectors are similar. A centre's vector goes to one task
-    per ``_PART`` pairs, once, and the vectors of its partners follow it one at a time."""
+def verified(pairs: DataFrame, vectors: DataFrame, threshold: float, read=exact) -> DataFrame:
+    """The pairs (``a`` centre, ``b``) whose vectors, or outlines, are similar. A centre's vector goes to
+    one task per ``_PART`` pairs, once, and the vectors of its partners follow it one at a time."""
     many = pairs.groupBy("a").agg((1 + F.expr(f"count(*) div {_PART}")).alias("parts"))
     centres = vectors.join(many, vectors["node"] == many["a"]).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
@@ -340,7 +370,7 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
         "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     partners = placed.join(vectors, placed["b"] == vectors["node"]).select("a", "part", "b", "kinds", "weights")
     return centres.union(partners).repartition(tasks(pairs.sparkSession), "a", "part").sortWithinPartitions(
-        "a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify(threshold), "a long, b long")
+        "a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify(threshold, read), "a long, b long")
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,13 +424,30 @@ def finer(rest: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
         _finer(words, threshold), "node long, root long, total double, common double, bands array<long>"), "near-finer")
 
 
+_PARTS = f"1 + n div {_PART}"
+
+
+def repeated(centre: DataFrame) -> DataFrame:
+    """Every centre once per ``_PART`` members of its bucket, whose size is ``n``."""
+    return centre.withColumn("part", F.explode(F.expr(f"sequence(0L, {_PARTS} - 1)"))).drop("n")
+
+
+def met_centres(met: DataFrame, centre: DataFrame) -> DataFrame:
+    """Members of buckets with the centres of their bucket. Both sides know the bucket's size, so only
+    a bucket that is too large for one task is dealt out and repeats its centres."""
+    left = met.withColumn("part", F.expr(f"pmod(xxhash64(node), {_PARTS})"))
+    return left.join(repeated(centre), ["band", "value", "part"]).drop("part")
+
+
 def finer_links(rest: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Verified links (``a``, ``b``) between texts of ``rest`` (``node``, ``root``) with different
     roots that share a finer bucket. Every round compares the members of each open bucket with more
     centres than before, and what is linked then counts as one; a bucket of few members is compared
     whole. Ends when no bucket is open, so no pair of a bucket is left undecided."""
-    active = finer(rest, vectors, threshold).select(
-        "node", "root", "total", "common", F.posexplode("bands").alias("band", "value"))
+    open_texts = finer(rest, vectors, threshold)
+    outlines = written(vectors.join(open_texts.select("node"), "node", "left_semi").select(
+        "node", "kinds", "weights").mapInArrow(_outlines, "node long, kinds binary, weights binary"), "near-outlines")
+    active = open_texts.select("node", "root", "total", "common", F.posexplode("bands").alias("band", "value"))
     found, known, centres = None, None, 1
     while True:
         open_buckets = active.groupBy("band", "value").agg(
@@ -411,18 +458,20 @@ def finer_links(rest: DataFrame, vectors: DataFrame, threshold: float) -> DataFr
         if not met.limit(1).count():
             return found if found is not None else rest.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
         centre = met.where("central").select(
-            "band", "value", F.col("node").alias("a"), F.col("root").alias("a_root"),
+            "band", "value", "n", F.col("node").alias("a"), F.col("root").alias("a_root"),
             F.col("total").alias("a_total"), F.col("common").alias("a_common"))
         # at least the threshold of both texts' weights must lie in what either can share
         fits = F.lit(1 + threshold) * F.least("common", "a_common") >= F.lit(threshold * _SLACK) * (
             F.col("total") + F.col("a_total"))
-        pairs = salted(met, centre, ["band", "value"], F.col("node")).where(
+        pairs = met_centres(met, centre).where(
             fits & F.expr("root <> a_root AND (NOT central OR a < node)")).select(
             "a", F.col("node").alias("b"), "a_root", F.col("root").alias("b_root"),
             F.least("a", "node").alias("lo"), F.greatest("a", "node").alias("hi")).dropDuplicates(["lo", "hi"])
         pairs = written(pairs if known is None else pairs.join(known, ["lo", "hi"], "left_anti"), "near-pairs")
         known = pairs.select("lo", "hi") if known is None else known.union(pairs.select("lo", "hi"))
-        fresh = written(verified(pairs.select("a", "b"), vectors, threshold), "near-links")
+        # most pairs here are no links, and their outlines tell
+        likely = written(verified(pairs.select("a", "b"), outlines, threshold * _OUTLINE, outline), "near-likely")
+        fresh = written(verified(likely, vectors, threshold), "near-links")
         found = fresh if found is None else found.union(fresh)
         active = met.where("NOT central").drop("n", "central")
         if fresh.limit(1).count():

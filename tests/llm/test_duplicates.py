@@ -175,6 +175,28 @@ def test_links_of_pages_of_one_template(spark):
         assert sum(roots.get(a, -1) == roots.get(b, -2) for a, b in close) >= recall * len(close)
 
 
+def test_centres_go_only_where_their_bucket_needs_them(spark):
+    rows = [(0, v, 2, 2 * v + i) for v in range(300) for i in range(2)] + [(1, 7, 1000, 5000 + i) for i in range(1000)]
+    met = spark.createDataFrame(rows, "band int, value bigint, n bigint, node bigint")
+    centre = met.where("node % 2 = 0 AND (band = 0 OR node < 5006)").withColumnRenamed("node", "a")
+    out = N.met_centres(met, centre)
+    got = Counter((r["band"], r["a"]) for r in out.collect())
+    assert got == Counter({(0, 2 * v): 2 for v in range(300)} | {(1, 5000 + 2 * i): 1000 for i in range(3)})
+    assert N.repeated(centre).count() == 300 + 3 * 4
+
+
+def test_an_outline_never_tells_less_than_the_vectors():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
+    for size in (1, 5, 300):
+        for _ in range(60):
+            a, b = ((np.unique(k), None) for k in (rng.choice(pool, size), rng.choice(pool, size)))
+            a, b = ((k, (rng.integers(1, 90_000, len(k)) * rng.uniform(1, 1.1, len(k))).astype(np.float32)) for k, _ in (a, b))
+            seen = N.similarity(*(N.outline(*(x.tobytes() for x in N.folded(*v))) for v in (a, b)))
+            assert seen >= N._OUTLINE * N.similarity(a, b)
+            assert sum(x.nbytes for x in N.folded(*a)) <= 4 * len(a[0])
+
+
 def test_texts_without_a_possible_partner_are_decided_early(spark):
     rng = np.random.default_rng(5)
     shared = np.unique(rng.integers(1, 1 << 63, 70, dtype=np.uint64))
