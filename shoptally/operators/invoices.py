@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from shoptally import constants as K
 from shoptally.functions.columns import total
 from shoptally.functions.parts import PART_ROWS, in_order, with_parts
 from shoptally.operators.kinds import to_day
+from shoptally.session import stored
 
 ITEM_FIELDS = ("product_id", "product_name", "quantity", "price", "discount")
 
@@ -26,22 +29,31 @@ def cancelled_at(ledger: DataFrame) -> DataFrame:
     )
 
 
+def _place(c: Column) -> Column:
+    """An id as text of one length, in the order of the ids."""
+    return F.lpad(c.cast("string"), 40, "0")
+
+
+def _columns(lists: DataFrame) -> DataFrame:
+    return lists.select(
+        "order_id", "part", *[F.col(f"items.{f}").alias(f) for f in ITEM_FIELDS],
+        "serials.serial", "payments.method", "payments.amount")
+
+
 def _entries(df: DataFrame, kind: str, fields: dict[str, Column]) -> DataFrame:
-    # ids of different tables in one column: as text of one length, in the order of the ids
-    return df.select("order_id", F.lit(kind).alias("kind"),
-                     F.lpad(F.col("id").cast("string"), 40, "0").alias("id"),
+    # ids of different tables in one column
+    return df.select("order_id", F.lit(kind).alias("kind"), _place(F.col("id")).alias("id"),
                      *[v.alias(k) for k, v in fields.items()])
 
 
-def _lists(item: DataFrame, product: DataFrame, payment: DataFrame, ledger: DataFrame,
-           part_rows: int) -> DataFrame:
-    """Item, payment and serial lists per (order, part): one shuffle for all three."""
-    names = product.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+def _spread_lists(item: DataFrame, names: DataFrame, payment: DataFrame, sold: DataFrame, part_rows: int
+                  ) -> DataFrame:
+    """Lists per (order, part) of orders of any size: their entries are placed by ranges."""
     items = _entries(
         item.join(names, "product_id", "left"), "item", {f: F.col(f) for f in ITEM_FIELDS})
     paid = _entries(payment, "payment", {"method": F.col("method"), "amount": F.col("amount")})
-    sold = _entries(ledger.where(F.col("type") == "sell"), "serial", {"serial": F.col("serial")})
-    rows = items.unionByName(paid, True).unionByName(sold, True)
+    serials = _entries(sold, "serial", {"serial": F.col("serial")})
+    rows = items.unionByName(paid, True).unionByName(serials, True)
     parts = with_parts(rows, ["order_id", "kind"], "id", part_rows)
 
     def gather(kind: str, *fields: str) -> Column:
@@ -52,11 +64,56 @@ def _lists(item: DataFrame, product: DataFrame, payment: DataFrame, ledger: Data
         gather("payment", "method", "amount").alias("payments"),
         gather("serial", "serial").alias("serials"),
     )
-    lists = grouped.select(
-        "order_id", "part", in_order("items"), in_order("payments"), in_order("serials"))
-    return lists.select(
-        "order_id", "part", *[F.col(f"items.{f}").alias(f) for f in ITEM_FIELDS],
-        "serials.serial", "payments.method", "payments.amount")
+    return _columns(grouped.select(
+        "order_id", "part", in_order("items"), in_order("payments"), in_order("serials")))
+
+
+def _whole_lists(item: DataFrame, names: DataFrame, payment: DataFrame, sold: DataFrame, part_rows: int
+                 ) -> DataFrame:
+    """Lists per (order, part) of orders whose entries fit one task: gathered by order in one shuffle
+    under their own short ids, then sorted and cut."""
+    kinds = {"items": (item.join(names, "product_id", "left"), ITEM_FIELDS),
+             "payments": (payment, ("method", "amount")), "serials": (sold, ("serial",))}
+    rows = reduce(lambda a, b: a.unionByName(b, True), [
+        df.select("order_id", F.struct("id", *fields).alias(kind)) for kind, (df, fields) in kinds.items()])
+    whole = rows.groupBy("order_id").agg(*[F.collect_list(k).alias(k) for k in kinds])
+
+    def ordered(kind: str, fields: tuple[str, ...]) -> Column:
+        # entries that share an id, or have none, keep the order in which they came
+        return F.sort_array(F.transform(kind, lambda x, at: F.struct(
+            _place(x["id"]).alias("id"), at.alias("at"), *[x[f].alias(f) for f in fields]))).alias(kind)
+
+    whole = whole.select("order_id", *[ordered(k, fields) for k, (_, fields) in kinds.items()])
+    last = F.floor((F.greatest(F.lit(1), *[F.size(k) for k in kinds]) - 1) / part_rows)
+    parts = whole.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+
+    def cut(kind: str, fields: tuple[str, ...]) -> Column:
+        some = F.slice(F.col(kind), (F.col("part") * part_rows + 1).cast("int"), F.lit(part_rows))
+        plain = F.transform(some, lambda x: F.struct(x["id"].alias("id"), *[x[f].alias(f) for f in fields]))
+        return F.when(F.size(some) > 0, F.sort_array(plain)).alias(kind)
+
+    return _columns(parts.select("order_id", "part", *[cut(k, fields) for k, (_, fields) in kinds.items()]))
+
+
+def _large(*entries: DataFrame) -> DataFrame:
+    """Orders with more entries than one task should hold, as a written table: at most one row per
+    ``PART_ROWS`` entries."""
+    ids = reduce(DataFrame.union, [e.select("order_id") for e in entries])
+    return stored(ids.groupBy("order_id").count().where(F.col("count") > PART_ROWS).select("order_id"), "large")
+
+
+def _lists(item: DataFrame, product: DataFrame, payment: DataFrame, ledger: DataFrame,
+           part_rows: int) -> DataFrame:
+    """Item, payment and serial lists per (order, part). An order without a key meets no order."""
+    names = product.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    frames = [f.where(F.col("order_id").isNotNull()) for f in (
+        item, payment, ledger.where(F.col("type") == "sell").select("order_id", "id", "serial"))]
+    large = _large(*frames)
+    few, many = ([f.join(large, "order_id", how) for f in frames] for how in ("left_anti", "left_semi"))
+    lists = _whole_lists(few[0], names, *few[1:], part_rows)
+    if not large.isEmpty():
+        lists = lists.unionByName(_spread_lists(many[0], names, *many[1:], part_rows))
+    return lists
 
 
 def documents(orders: DataFrame, customer: DataFrame, item: DataFrame, product: DataFrame,

@@ -392,6 +392,30 @@ def test_a_hot_invoice_continues_in_parts(spark):
     assert small[2]["serial"] == [None] and small[3]["product_id"] is None and small[3]["part"] == 0
 
 
+def test_invoices_beyond_one_task_are_placed_by_ranges(spark, monkeypatch):
+    """Orders of few entries cross one shuffle; one of many (and one of none) comes out the same."""
+    rows = [(i, o, f"p{i % 3}", None if i % 4 else f"s{i}") for o, n in ((1, 30), (2, 7), (3, 1)) for i in range(n)]
+    item = spark.createDataFrame(rows, "id bigint, order_id bigint, product_id string, serial string").select(
+        "*", F.lit(1).alias("quantity"), F.lit(Decimal("1.00")).alias("price"), F.lit(0).alias("discount"))
+    product = spark.createDataFrame([("p0", "n"), ("p1", "m")], "id string, name string")
+    orders = spark.createDataFrame([(1, "c"), (2, "c"), (3, "d"), (4, "c"), (None, "c")], "id bigint, customer_id string").select(
+        "*", F.lit("completed").alias("status"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("created_at"))
+    customer = spark.createDataFrame([("c", "n", None)], "id string, name string, email string")
+    payment = spark.createDataFrame([(i, o, "cash", i) for o in (1, 2) for i in range(5)] + [(9, None, "cash", 1)],
+                                    "id bigint, order_id bigint, method string, amount bigint")
+    moves = item.select("id", "order_id", "product_id", "serial", F.lit("sell").alias("type"),
+                        F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("created_at"))
+    frames = (orders, customer, item, product, payment, moves)
+    got = {}
+    for limit in (0, 20, 10_000):
+        monkeypatch.setattr(invoices, "PART_ROWS", limit)
+        docs = invoices.documents(*frames, part_rows=4)
+        got[limit] = sorted(map(str, docs.collect()))
+    assert got[0] == got[20] == got[10_000] and len(got[0]) == 8 + 2 + 1 + 1 + 1
+    whole = docs._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in whole and "Window" not in whole
+
+
 def test_a_hot_product_lists_all_serials(spark):
     rows = [("p", f"s{i}", "import_po", 1) for i in range(500)] + [("q", "t", "import_po", 1)]
     out = inventory.serials(spark.createDataFrame(rows, ROW), part_rows=50).collect()
