@@ -1,14 +1,15 @@
 """Exact distinct counts of whole-number ids per day, week and month from one pass over the facts.
 
-Ids are kept as bitmaps: per day and column, one bitmap of 32,768 bits for every stretch of ids that
-occurs. Bitmaps of one group merge before and after the shuffle, so what is shuffled are stretches, not
-(day, id) pairs, and a hot day or id costs no task more than its own rows. Coarser counts merge the days'
-bitmaps and do not touch the facts again; counts of days cannot be added up to them, as an id may occur
-on many days.
-
-Suits ids dealt out in sequence, such as invoices: ids strewn over the whole range make one bitmap of
-4 KB for each. NULL ids are not counted; a day with no other id counts 0. A NULL day is a group of its
-own. No facts, no rows.
+Ids are kept as bitmaps: per day and column, one word of 64 bits for every 64 consecutive ids of which
+one occurs. Words of one group merge before and after the shuffle, so there are never more of them than
+(day, id) pairs, and up to 64 times fewer where a day's ids lie close together. A hot day or id costs no
+task more than its own rows. Coarser counts merge the days' bitmaps and do not touch the facts again;
+counts of days cannot be added up to them, as an id may occur on many days.
+
+Words are plain numbers, so they are kept in hash maps. Wide bitmaps (4 KB) are not: most of a wide one is
+empty where a day's ids are strewn over all ids, and the zeros, packed in the shuffle, fill a task.
+NULL ids are not counted; a day with no other id counts 0. A NULL day is a group of its own. No facts,
+no rows.
 """
 
 from __future__ import annotations
@@ -25,19 +26,19 @@ def daily_bitmaps(facts: DataFrame, ids: list[str], day: str = "date") -> DataFr
     """(start, what, stretch, bits): the ids of each column in ``ids`` that occur on a day."""
     listed = [F.struct(F.lit(c).alias("what"), F.col(c).cast("bigint").alias("id")) for c in ids]
     each = facts.select(F.col(day).alias("start"), F.inline(F.array(*listed)))
-    return each.groupBy("start", "what", F.bitmap_bucket_number("id").alias("stretch")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    bit = F.expr("shiftleft(1L, cast(id & 63 AS int))")
+    return each.groupBy("start", "what", F.shiftright("id", 6).alias("stretch")).agg(F.bit_or(bit).alias("bits"))
 
 
 def merged(bitmaps: DataFrame, unit: str) -> DataFrame:
     """Bitmaps of weeks or months from those of days."""
     return bitmaps.groupBy(start_of(F.col("start"), unit).alias("start"), "what", "stretch").agg(
-        F.bitmap_or_agg("bits").alias("bits"))
+        F.bit_or("bits").alias("bits"))
 
 
 def counts(bitmaps: DataFrame, ids: list[str]) -> DataFrame:
     """(start, one distinct count per column of ``ids``)."""
-    n = F.bitmap_count("bits")
+    n = F.bit_count("bits")
     return bitmaps.groupBy("start").agg(*[
         F.coalesce(F.sum(F.when(F.col("what") == c, n)), F.lit(0)).alias(c) for c in ids])
 

@@ -179,3 +179,11 @@ def test_bitmaps_count_as_distinct_does(spark):
     plan = uniques.daily_bitmaps(facts, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and plan.count("Exchange") == 1
     assert uniques.by_grain(bitmaps.limit(0), ["a", "b"]).count() == 0
+
+
+def test_strewn_ids_cost_no_wide_bitmaps(spark):
+    facts = spark.range(2000).selectExpr("date'2024-01-01' AS date", "id * 40000 AS a", "id AS b")
+    bitmaps = uniques.daily_bitmaps(facts, ["a", "b"]).checkpoint()
+    assert bitmaps.schema["bits"].dataType.simpleString() == "bigint"
+    assert {r["what"]: r["count"] for r in bitmaps.groupBy("what").count().collect()} == {"a": 2000, "b": 32}
+    assert "SortAggregate" not in uniques.daily_bitmaps(facts, ["a"])._jdf.queryExecution().executedPlan().toString()
