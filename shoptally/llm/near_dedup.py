@@ -44,10 +44,12 @@ from shoptally.llm.common import (
     columns_apart,
     filter_words,
     in_filter,
+    narrow,
     salted,
     slices,
     table,
     tasks,
+    without_tables,
     worker_table,
     written,
 )
@@ -303,6 +305,7 @@ def outline(cells, sums) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    without_tables()
     for batch in batches:
         both = [folded(*exact(k.as_buffer(), w.as_buffer())) for k, w in zip(
             batch.column(1), batch.column(2), strict=True)]
@@ -314,6 +317,7 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(threshold: float, read):
     """Rows sorted by (``a``, ``part``), the centre (``b`` NULL) before its partners."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_tables()
         centre = None
         for batch in batches:
             near = []
@@ -334,8 +338,8 @@ def components(links: DataFrame) -> DataFrame:
     ``b``). Alternates two steps until nothing changes: every node hands its smallest neighbour to
     its larger neighbours, then to its smaller ones. Minima are aggregates and joins are salted, so
     a node with a third of all links is no single task's work."""
-    now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(
-        "u <> v").distinct(), "links")
+    now = written(narrow(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(
+        "u <> v").distinct()), "links")
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(
@@ -343,17 +347,18 @@ def components(links: DataFrame) -> DataFrame:
         # larger neighbours learn the smallest
         wide = salted(both.where("v > u"), least, ["u"], F.col("v")).select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        up = written(wide.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "links")
+        up = written(narrow(wide.union(
+            least.where("m < u").select("u", F.col("m").alias("v"))).distinct()), "links")
         # smaller neighbours learn the smallest
         low = up.groupBy("u").agg(F.min("v").alias("m"))
-        narrow = salted(up, low, ["u"], F.col("v")).where("v <> m").select(
+        close = salted(up, low, ["u"], F.col("v")).where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(narrow.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        now = written(narrow(close.union(
+            low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()), "links")
         # done when every node has one link and no root is a node below another
-        open_ends = new.groupBy("u").count().where("count > 1").limit(1).count() or new.join(
-            new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        now = new
-        if not open_ends:
+        ends = now.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            now.select("v", F.lit(0), F.lit(1))).groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.where("up > 1 OR up = 1 AND down = 1").limit(1).count():
             break
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
@@ -375,6 +380,7 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float, read=exact)
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every shingle of every text with the text's root."""
+    without_tables()
     for batch in batches:
         kinds = [np.frombuffer(raw.as_buffer(), np.int64) for raw in batch.column(1)]
         sizes = [8 * len(k) for k in kinds]
@@ -387,6 +393,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finer(shared, threshold: float):
     """Per text that can have a partner: its weight, how much of it other roots share, finer bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_tables()
         words, draw = shared.value, sampler(FINE_BANDS * FINE_ROWS, 6)
         for batch in batches:
             rows, total, common, bands = [], [], [], []
@@ -453,8 +460,8 @@ def finer_links(rest: DataFrame, vectors: DataFrame, threshold: float) -> DataFr
         open_buckets = active.groupBy("band", "value").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select(
             "band", "value", "n")
-        met = written(salted(active, open_buckets, ["band", "value"], F.col("node")).withColumn(
-            "central", F.expr(f"n <= {2 * centres} OR pmod(xxhash64(node, band, {centres}), n) < {centres}")), "near-met")
+        met = written(narrow(salted(active, open_buckets, ["band", "value"], F.col("node")).withColumn(
+            "central", F.expr(f"n <= {2 * centres} OR pmod(xxhash64(node, band, {centres}), n) < {centres}"))), "near-met")
         if not met.limit(1).count():
             return found if found is not None else rest.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
         centre = met.where("central").select(
@@ -467,11 +474,11 @@ def finer_links(rest: DataFrame, vectors: DataFrame, threshold: float) -> DataFr
             fits & F.expr("root <> a_root AND (NOT central OR a < node)")).select(
             "a", F.col("node").alias("b"), "a_root", F.col("root").alias("b_root"),
             F.least("a", "node").alias("lo"), F.greatest("a", "node").alias("hi")).dropDuplicates(["lo", "hi"])
-        pairs = written(pairs if known is None else pairs.join(known, ["lo", "hi"], "left_anti"), "near-pairs")
+        pairs = written(narrow(pairs if known is None else pairs.join(known, ["lo", "hi"], "left_anti")), "near-pairs")
         known = pairs.select("lo", "hi") if known is None else known.union(pairs.select("lo", "hi"))
         # most pairs here are no links, and their outlines tell
-        likely = written(verified(pairs.select("a", "b"), outlines, threshold * _OUTLINE, outline), "near-likely")
-        fresh = written(verified(likely, vectors, threshold), "near-links")
+        likely = written(narrow(verified(pairs.select("a", "b"), outlines, threshold * _OUTLINE, outline)), "near-likely")
+        fresh = written(narrow(verified(likely, vectors, threshold)), "near-links")
         found = fresh if found is None else found.union(fresh)
         active = met.where("NOT central").drop("n", "central")
         if fresh.limit(1).count():
@@ -495,16 +502,16 @@ def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float =
           rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Nodes standing for different texts, and verified links between them."""
     spark = docs.sparkSession
-    texts = written(signed.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(
-        F.min("node").alias("node")), "near-texts")
+    texts = written(narrow(signed.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(
+        F.min("node").alias("node"))), "near-texts")
     banded = signed.join(texts.select("node"), "node", "left_semi").select(
         "node", "k1", "k2", F.posexplode("bands").alias("band", "value"))
-    banded = written(banded, "near-bands")
+    banded = written(narrow(banded), "near-bands")
     sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(salted(banded, sizes, ["band", "value"], F.col("node")), "near-buckets")
+    members = written(narrow(salted(banded, sizes, ["band", "value"], F.col("node"))), "near-buckets")
     central = members.groupBy("node").agg(F.sum("n").alias("met"), F.first("k1").alias("k1"),
                                           F.first("k2").alias("k2"))
-    central = written(central, "near-central")
+    central = written(narrow(central), "near-central")
     body = columns_apart(docs, [text]).select(F.coalesce(F.col(text), F.lit("")).alias("body")).select(
         F.xxhash64("body").alias("k1"), F.xxhash64(F.lit(1), "body").alias("k2"), "body")
     wanted = spark.sparkContext.broadcast(filter_words(central, "k1"))  # of fixed size
@@ -512,28 +519,28 @@ def links(docs: DataFrame, signed: DataFrame, idf, text: str, threshold: float =
     # different nodes may have one text only if the words differ, so (k1, k2) names one node
     vectors = written(found.join(central.select("node", "k1", "k2"), ["k1", "k2"]).select(
         "node", "kinds", "weights").dropDuplicates(["node"]), "near-vectors")
-    active = written(members.select("band", "value", "node").join(central.select("node", "met"), "node"),
+    active = written(narrow(members.select("band", "value", "node").join(central.select("node", "met"), "node")),
                      "near-active").withColumn("root", F.col("node"))
     found = known = None
     for _ in range(rounds):
         centre = active.groupBy("band", "value").agg(
             F.max(F.struct("met", (-F.col("node")).alias("minus"), "root")).alias("top")).select(
             "band", "value", (-F.col("top.minus")).alias("a"), F.col("top.root").alias("a_root"))
-        met = written(salted(active, centre, ["band", "value"], F.col("node")), "near-met")
+        met = written(narrow(salted(active, centre, ["band", "value"], F.col("node"))), "near-met")
         pairs = met.where("root <> a_root").select("a", F.col("node").alias("b")).distinct()
-        pairs = written(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), "near-pairs")
-        fresh = written(verified(pairs, vectors, threshold), "near-links")
+        pairs = written(narrow(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")), "near-pairs")
+        fresh = written(narrow(verified(pairs, vectors, threshold)), "near-links")
         found = fresh if found is None else found.union(fresh)
         known = pairs if known is None else known.union(pairs)
-        roots = written(components(found), "near-roots")
+        roots = written(narrow(components(found)), "near-roots")
         active = met.where("node <> a").select("band", "value", "node", "met").join(
             roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_buckets = active.groupBy("band", "value").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "value")
-        active = written(salted(active, open_buckets, ["band", "value"], F.col("node")), "near-active")
+        active = written(narrow(salted(active, open_buckets, ["band", "value"], F.col("node"))), "near-active")
         if not active.limit(1).count():
             return texts, found
-    rest = written(active.select("node", "root").distinct(), "near-rest")
+    rest = written(narrow(active.select("node", "root").distinct()), "near-rest")
     return texts, found.union(finer_links(rest, vectors, threshold))
 
 

@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from messy import LONG, TEXTS, empty, table
 from pyspark.sql import functions as F
 
+from shoptally.llm import common
 from shoptally.llm import exact_dedup as X
 from shoptally.llm import near_dedup as N
 
@@ -247,6 +249,31 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 160)}, 300: 300, 301: 300}
 
 
+def test_links_are_written_by_few_tasks(spark, monkeypatch):
+    parts, write = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, name: (parts.append(df.rdd.getNumPartitions()), write(df, name))[1])
+    wide = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wide}
+    try:
+        for name, value in wide.items():
+            spark.conf.set(name, value)
+        links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (52, 51)], "a long, b long")
+        got = {r["node"]: r["root"] for r in N.components(links).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == {i: 0 for i in range(21)} | {50: 50, 51: 50, 52: 50}
+    assert max(parts) <= max(4 * spark.sparkContext.defaultParallelism, 211 // 8)
+
+
+@pytest.mark.parametrize("run", [N._verify(0.8, N.exact), N._finer(SimpleNamespace(value=None), 0.8), N._posted, N._outlines])
+def test_tasks_that_read_no_text_keep_no_words(run):
+    list(N.shingles(["one two three four five six"]))
+    assert "words" in common._TABLES
+    list(run(iter([])))
+    assert not common._TABLES
+
+
 def test_whole_texts_count():
     """Texts that differ at their ends only, beyond any prefix."""
     other = " ".join(LONG.split()[:-20_000] + [f"z{i}" for i in range(20_000)])
