@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,42 @@ def test_pieces_cover_every_token_once(spark, encoder):
     assert packing.pack(empty(spark), packing.vocabulary()).count() == 0
 
 
+def test_chunks_of_a_slice_are_looked_up_once(encoder):
+    texts = ["word Wörter, word. " * 40, "", "Wörter, it's 12% İĸŉ ǅẞ word " * 40, "é##ö ª½ ﬁ·"]
+    asked = []
+    held = type("Counted", (packing.ChunkIds,), {"__getitem__": lambda self, c: asked.append(c) or super(
+        packing.ChunkIds, self).__getitem__(c)})(packing.vocabulary(), limit=1000)
+    for more in [], ["a\x1cword b\x1f c\x85d\u2003e\u200bf"]:  # Arrow cuts at these separators, the tokenizer does not
+        whole, sizes = held.encoded(pa.array([*texts, *more]).slice(1), b"\1\0\0\0")
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in [*texts, *more][1:]]
+        assert [np.frombuffer(i, "<u4").tolist() for i in whole.to_pylist()] == want
+        assert sizes.tolist() == list(map(len, want))
+    asked.clear()
+    held.encoded(pa.array(texts), b"\1\0\0\0")
+    assert sum(c in ("word", "Wörter,") for c in asked) <= 3  # "word" once more as the word of "word."
+
+
+def test_places_read_no_ids(spark):
+    passed = packing.tokens(table(spark), packing.vocabulary())
+    assert all(r["size"] == len(r["ids"]) // 4 for r in passed.collect())
+    read = packing.places(passed)._jdf.queryExecution().executedPlan().toString()
+    assert "part" in read and "ids" not in read.split("ReadSchema")[-1].split(">")[0]
+
+
+def test_cutting_lets_the_table_of_ids_go():
+    from shoptally.llm import common
+
+    packing.encoder(packing.vocabulary())
+    ids = np.arange(10, dtype="<u4")
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7, None]), pa.array([3, 6], pa.int64()), pa.array([ids[:3].tobytes(), ids[3:].tobytes()])], names=["d", "p", "i"])
+    got = pa.Table.from_batches(packing._cut(4)(iter([batch]))).to_pylist()
+    assert not common._TABLES
+    assert [tuple(r.values())[:3] + tuple(r.values())[4:] for r in got] == [
+        (7, 0, 1, 3, 0, 3), (7, 1, 2, 3, 1, 0), (None, 0, 2, 7, 1, 2), (None, 2, 4, 7, 2, 0), (None, 6, 1, 7, 3, 0)]
+    assert got[3]["ids_crc32"] == zlib.crc32(ids[5:9].tobytes())
+
+
 def segmentations(vocabulary, unit):
     points = np.frombuffer(unit.encode("utf-32-le"), np.uint32).astype(np.uint64)
     edges = list(zip(*(e.tolist() for e in vocabulary.edges(points, np.full(len(unit), len(unit)))), strict=True))
