@@ -46,6 +46,44 @@ def test_counts_cover_whole_texts():
     assert sum(b.column(2).to_pylist()[i] for b in out for i in range(b.num_rows)) == 4 * 50_000
 
 
+def test_every_stretch_and_language_is_learned(spark):
+    rng = random.Random(3)
+    rows = [("aa", " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(600)))
+            for _ in range(60)]
+    rows += [(f"l{i}", f"w{chr(0x250 + i)}rd {chr(0x250 + i)} {sentence(rng, 'bb', 5)}") for i in range(300)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = L.fit(docs)
+    assert model.languages == sorted({lang for lang, _ in rows})
+    levels, every = [], {}
+    for name in model.languages:
+        batch = pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([t if own == name else "" for own, t in rows])], names=["l", "t"])
+        out = pa.Table.from_batches(L._count(iter([batch])))
+        order = np.argsort(out.column(1).to_numpy())
+        every[name] = out.column(1).to_numpy()[order]
+        levels.append(L.kneser_ney(every[name], out.column(2).to_numpy()[order]))
+    assert len(every["aa"]) > 100_000
+    for own, places in ((model.shares, (0, 1)), (model.weights, (2, 3))):
+        for o in range(L.ORDER):
+            held = sum(len(model.arrays(source)[0]) for _, source in own[o])
+            assert held == sum(len(lv[o][places[0]]) for lv in levels)
+    whole = L.Model(model.languages, [L._merged([(lv[o][0], lv[o][1]) for lv in levels], 0.0) for o in range(L.ORDER)],
+                    [L._merged([(lv[o][2], lv[o][3]) for lv in levels], 1.0) for o in range(L.ORDER)], "t")
+    some = np.concatenate([every["aa"][::97], every["l7"], np.arange(1, 1 << 12, 7)])
+    assert np.allclose(model.losses(some), whole.losses(some), rtol=1e-6)
+
+
+def test_values_of_many_languages_are_computed_in_parts():
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa"] * 2), pa.array(["abc abd", "bca dab"])], names=["l", "t"])
+    out = pa.Table.from_batches(L._count(iter([batch])))
+    order = np.argsort(out.column(1).to_numpy())
+    levels = L.kneser_ney(out.column(1).to_numpy()[order], out.column(2).to_numpy()[order])
+    model = L.Model(["aa"], [L._merged([x[:2]], 0.0) for x in levels], [L._merged([x[2:]], 1.0) for x in levels], "t")
+    words = ["abc", "", "dab", "123", "zzz", "bcabca"]
+    at_once = model.compute(words)
+    model.room = lambda values: 3
+    assert all(np.allclose(a, b, rtol=1e-6) for a, b in zip(at_once, model.compute(words), strict=True))
+
+
 def test_language_of_unseen_texts(spark):
     docs = corpus(spark)
     held = F.col("doc_id") % 4 == 0
