@@ -28,25 +28,33 @@ from pyspark.sql import functions as F
 
 from shoptally.functions.numbering import numbered
 from shoptally.functions.parts import with_positions
-from shoptally.llm.common import columns_apart, salted, table, written
+from shoptally.llm.common import SALTS, apart, columns_apart, salted, table, written
 
 SHARDS = 16
 #: rounds without a smaller cut after which propagation has settled; by lot half of the rows rest in each
 STILL = 4
+#: links of one row beyond which they are spread over ``SALTS`` tasks
+HOT = 4096
 
 
 def propagate(nodes: DataFrame, links: DataFrame, capacity: float) -> DataFrame:
     """``nodes`` (``node``, ``shard``) after propagation over ``links`` (``a``, ``b``: each
     link in one direction, ``node`` values, no loops) has settled. Both frames should be tables already.
     No shard takes more than about ``capacity`` nodes: lots decide who moves within a quota."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.select(F.col("a").alias("of"), F.col("b").alias("node")).union(
+        links.select(F.col("b").alias("of"), F.col("a").alias("node")))
     sizes = {r[0]: r[1] for r in nodes.groupBy("shard").count().collect()}  # one row per shard
-    now = nodes
+    hot = written(both.groupBy("node").count().where(F.col("count") > HOT).select(
+        "node", F.lit(SALTS).alias("copies")), "shard-hot")  # of HOT links each, so few
+    copies = F.coalesce("copies", F.lit(1)).alias("copies")
+    both = written(both.join(hot, "node", "left").select(
+        "of", "node", F.pmod(F.xxhash64("of"), copies).cast("int").alias("salt")), "shard-both")
+    now = written(nodes.join(hot, "node", "left").select("node", "shard", copies), "shard-now")
     lowest, still = None, 0
     for turn in count():
         votes = (
-            salted(both.select(F.col("a").alias("of"), F.col("b").alias("node")),
-                   now.select("node", "shard"), ["node"], F.col("of"))
+            both.join(apart(now.select("node", "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))),
+                      ["node", "salt"])
             .groupBy(F.col("of").alias("node"), F.col("shard").alias("near"))
             .agg(F.count("*").alias("links"))
             .groupBy("node")
@@ -60,10 +68,10 @@ def propagate(nodes: DataFrame, links: DataFrame, capacity: float) -> DataFrame:
         coin = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2))
         met = F.aggregate(F.map_values("votes"), F.lit(0).cast("long"), lambda total, n: total + n)
         want = written(
-            now.join(votes, "node", "left")
+            now.join(apart(votes), "node", "left")
             .withColumn("hope", F.when(F.col("votes").isNotNull(), wish).otherwise(F.col("shard")))
             .withColumn("wish", F.when(coin == 0, F.col("hope")).otherwise(F.col("shard")))
-            .select("node", "shard", "hope", "wish", F.coalesce(met - here, F.lit(0)).alias("apart")), "shard-wishes")
+            .select("node", "shard", "copies", "hope", "wish", F.coalesce(met - here, F.lit(0)).alias("apart")), "shard-wishes")
         cut, hopes = want.agg(F.sum("apart"), F.count_if(F.expr("hope <> shard"))).first()
         still = 0 if lowest is None or (cut or 0) < lowest else still + 1
         lowest = min(cut or 0, cut or 0 if lowest is None else lowest)
@@ -79,12 +87,12 @@ def propagate(nodes: DataFrame, links: DataFrame, capacity: float) -> DataFrame:
                       F.col("shard") * wide + F.col("wish"))
         lot = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 30)) / (1 << 30)
         now = want.select("node", F.when(lot < part, F.col("wish")).otherwise(
-            F.col("shard")).alias("shard"))
+            F.col("shard")).alias("shard"), "copies")
         for (source, target), fraction in taken.items():
             moved = fraction * flows[source, target]
             sizes[source] = sizes.get(source, 0) - moved
             sizes[target] = sizes.get(target, 0) + moved
-    return now
+    return now.select("node", "shard")
 
 
 def quotas(sizes: dict[int, float], flows: dict[tuple[int, int], int],
@@ -155,7 +163,7 @@ def seated(rows: DataFrame, moved: DataFrame, total: int, shards: int) -> DataFr
     its exact number. ``moved`` (``node``, ``shard``) is what propagation says."""
     starts = [max(0, -((shards - 1 - s * total) // shards)) for s in range(shards + 1)]
     rooms = [min(total, b) - min(total, a) for a, b in zip(starts, starts[1:], strict=False)]
-    held = moved.join(rows.where("hub IS NOT NULL"), "node").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    held = moved.join(apart(rows.where("hub IS NOT NULL")), "node").groupBy("hub", "shard").agg(F.count("*").alias("n"))
     groups = written(held.groupBy("hub").agg(
         F.sum("n").alias("size"), (-F.max(F.struct("n", (-F.col("shard")).alias("s")))["s"]).alias("home")),
         "shard-groups")
@@ -175,9 +183,10 @@ def seated(rows: DataFrame, moved: DataFrame, total: int, shards: int) -> DataFr
     target = ranked.join(away, ["size", "home"]).selectExpr(
         "hub", "size", "home", "get(targets, size(filter(ends, e -> pos >= e))) AS target")
     target = written(target, "shard-targets")
-    linked = rows.where("hub IS NOT NULL").join(
-        groups.join(target.select("hub", "target"), "hub", "left").select(
-            "hub", F.coalesce("target", "home").alias("home")), "hub").select("node", "hub", "home")
+    placed = groups.join(apart(target.select("hub", "target")), "hub", "left").select(
+        "hub", F.coalesce("target", "home").alias("home"))
+    linked = salted(rows.where("hub IS NOT NULL"), placed, ["hub"], F.col("node"), broadcast=False).select(
+        "node", "hub", "home")
     out = linked.where("home >= 0").select("node", "home")
     few = target.where("target < 0").collect()  # fewer than shards
     for row in few:
@@ -221,7 +230,7 @@ def text_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows.groupBy("k1", "k2", "size", "text_crc32")
         .agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
-    linked = salted(rows, hubs, ["k1", "k2", "size", "text_crc32"], F.col("node"))
+    linked = salted(rows, hubs, ["k1", "k2", "size", "text_crc32"], F.col("node"), broadcast=False)
     linked = written(linked.select("node", "hub"), "shard-links")
     links = linked.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return linked, links
@@ -240,13 +249,13 @@ def shards_of_copies(docs: DataFrame, shards: int = SHARDS,
         F.xxhash64("_raw").alias("k1"), F.xxhash64(F.lit(1), "_raw", F.isnull("_raw")).alias("k2"),
     ), "shard-rows")
     linked, links = text_links(rows)
-    start = linked.join(rows.select("node"), "node", "left_semi").select(
+    start = linked.join(apart(rows.select("node")), "node", "left_semi").select(
         "node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
     total = rows.count()
     moved = written(propagate(written(start, "shard-start"), links, total / shards), "shard-moved")
-    grouped = written(rows.join(linked, "node", "left").select("node", "hub"), "shard-grouped")
+    grouped = written(rows.join(apart(linked), "node", "left").select("node", "hub"), "shard-grouped")
     homes = seated(grouped, moved, total, shards)
-    placed = rows.join(homes, "node").join(grouped, "node").select(
+    placed = rows.join(apart(homes), "node").join(apart(grouped), "node").select(
         "node", "doc_id", "size", "text_crc32", "home", F.coalesce("hub", "node").alias("hub"))
     order = [F.col(c) for c in ("home", "hub", "node")]
     return even(placed, order, shards).select(

@@ -168,3 +168,23 @@ def test_search_against_brute_force(spark):
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(10**6 + i), float(-(10**5) * i)]) for i in range(12)]
     assert search(spark, rows) == brute_top(rows, 4)
+
+
+def test_tables_of_rows_are_never_broadcast_in_sharding(spark, monkeypatch):
+    texts = [f"text {i % 40}" for i in range(400)] + [f"alone {i}" for i in range(100)]
+    plans, write = {}, S.written
+    monkeypatch.setattr(S, "written", lambda df, purpose: (
+        plans.update({purpose: df._jdf.queryExecution().executedPlan().toString()}), write(df, purpose))[1])
+    out = S.shards_of_copies(table(spark, list(enumerate(texts))))
+    check_shards(out.collect(), texts)
+    for purpose in ("shard-links", "shard-start", "shard-wishes", "shard-grouped", "shard-groups", "shard-order"):
+        assert "BroadcastHashJoin [node" not in plans[purpose] and "BroadcastHashJoin [k1" not in plans[purpose], purpose
+        assert "SortMergeJoin" in plans[purpose], purpose
+
+
+def test_links_of_a_hot_row_are_spread_and_all_counted(spark, monkeypatch):
+    texts = ["same"] * 300 + [f"pair {i // 2}" for i in range(100)]
+    whole = [tuple(r) for r in S.shards_of_copies(table(spark, list(enumerate(texts)))).collect()]
+    monkeypatch.setattr(S, "HOT", 20)
+    spread = [tuple(r) for r in S.shards_of_copies(table(spark, list(enumerate(texts)))).collect()]
+    assert sorted(whole, key=str) == sorted(spread, key=str)
