@@ -243,7 +243,7 @@ def failures(docs: DataFrame, part: Column, text: str = "text", doc_id: str = "d
         "audit-rows")
     # a text that occurs once has no copy: only repeated ones are joined back
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    joined = salted(rows, firsts.where("n > 1").drop("n"), ["digest"], F.col("row"), "left")
+    joined = salted(rows, firsts.where("n > 1").drop("n"), ["digest"], F.col("row"), "left", broadcast=False)
     fails = {
         "A": F.col("words") < MIN_WORDS,
         "B": 100 * F.col("distinct") < DISTINCT_PERCENT * F.col("words"),
@@ -297,7 +297,7 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "source", text: str =
     marks = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(
         F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"),
         F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    cells = salted(fails, marks, ["doc_id"], F.col("row"), "left").groupBy("part", "failed").agg(
+    cells = salted(fails, marks, ["doc_id"], F.col("row"), "left", broadcast=False).groupBy("part", "failed").agg(
         F.count("*").alias("n"), F.sum(F.coalesce("good", F.lit(0))).alias("good"),
         F.sum(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     return evaluated(cells)

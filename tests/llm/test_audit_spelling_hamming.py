@@ -237,3 +237,11 @@ def test_vectors_that_take_no_part(spark):
     assert got == [(0, 1, 9, 0.5), (0, 2, 100, 1.0), (0, 3, 9, 4.0),
                    (100, 1, 9, 0.5), (100, 2, 0, 1.0), (100, 3, 9, np.sqrt(17.0)), (200, 1, 10, 7.0)]
     assert H.nearest(vectors(spark, rows[:0]), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_audit_broadcasts_neither_labels_nor_texts(spark):
+    docs = spark.createDataFrame([(i, f"some text {i % 50}", "s") for i in range(200)], "doc_id bigint, text string, source string")
+    labels = A.written(spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id bigint, quality int, toxic int"), "labels")
+    plan = A.audit(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and ("doc_id" in line or "digest" in line)]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins), joins
