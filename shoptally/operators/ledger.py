@@ -53,7 +53,8 @@ def judge(batch: DataFrame, ledger: DataFrame, cumulative: str | None = None) ->
 def judge_held(batch: DataFrame, held: DataFrame, cumulative: str | None = None) -> DataFrame:
     """``judge`` against known stock, one row per (product, serial) of the batch's products.
 
-    Rows are judged one by one. With ``cumulative``, a unique column that orders the batch, stock is
+    What is known is gathered per (product, serial) of the batch first, so its rows, with all their
+    columns, are moved once. Rows are judged one by one. With ``cumulative``, a unique column that orders the batch, stock is
     what the rows before it in the batch leave; a hot product's rows are spread over tasks.
     """
     rows = batch.withColumn("serial", F.nullif("serial", F.lit(""))).withColumn(
@@ -63,12 +64,16 @@ def judge_held(batch: DataFrame, held: DataFrame, cumulative: str | None = None)
         F.bool_or(F.col("serial").isNull()).alias("had_loose"))
     by_serial = held.where(F.col("serial").isNotNull()).groupBy(F.col("serial").alias("sn")).agg(
         F.sum("stock").alias("serial_stock"))
-    seen = (
-        rows.join(by_row, (F.col("product_id") == F.col("p")) & F.col("serial").eqNullSafe(
+    known = (
+        rows.select("product_id", "serial").distinct()
+        .join(by_row, (F.col("product_id") == F.col("p")) & F.col("serial").eqNullSafe(
             F.col("s")), "left").drop("p", "s")
         .join(loose, "product_id", "left")
-        .join(by_serial, join_key("serial", *batch.columns) == F.col("sn"), "left").drop("sn")
+        .join(by_serial, join_key("serial", "product_id") == F.col("sn"), "left")
+        .select(F.col("product_id").alias("p"), F.col("serial").alias("s"), "stock", "had_loose", "serial_stock")
     )
+    seen = rows.join(
+        known, F.col("product_id").eqNullSafe(F.col("p")) & F.col("serial").eqNullSafe(F.col("s"))).drop("p", "s")
     is_loose = F.col("serial").isNull()
     zero = F.lit(0)
     moved = F.col("signed")

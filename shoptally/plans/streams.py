@@ -12,7 +12,7 @@ from shoptally.operators import ledger
 from shoptally.plans import views as V
 from shoptally.plans.registry import query
 from shoptally.plans.stock import JUDGED, SIGNED, STRICT
-from shoptally.session import shared_folder
+from shoptally.session import shared_folder, shuffles_removed
 from shoptally.sources import balances
 from shoptally.sources import warehouse as W
 from shoptally.sources.files import new_files
@@ -83,9 +83,10 @@ def stream_ledger_booked(spark, d):
     and one row with an order id (refused)."""
     folder = shared_folder(spark, "stream")
     history = W.history(spark, d)
-    for arrivals in _three_batches(spark, d, folder):
-        admission.start(arrivals, history, f"{folder}/log", f"{folder}/refused",
-                        f"{folder}/checkpoint").awaitTermination()
+    with shuffles_removed(spark):
+        for arrivals in _three_batches(spark, d, folder):
+            admission.start(arrivals, history, f"{folder}/log", f"{folder}/refused",
+                            f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/log").select(
         "id", "product_id", "serial", "type", "quantity", F.col("number").cast("int").alias("number"))
 

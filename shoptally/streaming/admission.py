@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoptally.operators import ledger
-from shoptally.session import use_checkpoints
+from shoptally.session import stored_meanwhile, use_checkpoints
 from shoptally.sources import balances
 from shoptally.sources.ledger_log import exists
 
@@ -33,12 +33,12 @@ def start(arrivals: DataFrame, booked: DataFrame, log: str, refused: str, checkp
         if exists(spark, log):
             mine = (F.col("stream") == own[0]) & (F.col("number") >= number)
             past = past.unionByName(spark.read.parquet(log).where(~mine).select(*ROW))
-        judged = ledger.judge(ledger.validity(batch), past).checkpoint()
         place = f"stream={own[0]}/number={number}"
-        fine = ledger.no_problem(judged)
-        ledger.bookable(judged).where(fine).select(*batch.columns).write.mode("overwrite").parquet(
-            f"{log}/{place}")
-        ledger.conflicts(judged).write.mode("overwrite").parquet(f"{refused}/{place}")
+        with stored_meanwhile(ledger.judge(ledger.validity(batch), past), "judged") as judged:
+            fine = ledger.no_problem(judged)
+            ledger.bookable(judged).where(fine).select(*batch.columns).write.mode("overwrite").parquet(
+                f"{log}/{place}")
+            ledger.conflicts(judged).write.mode("overwrite").parquet(f"{refused}/{place}")
 
     query = (
         arrivals.writeStream.foreachBatch(book).option("checkpointLocation", checkpoint)

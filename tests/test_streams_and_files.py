@@ -1,13 +1,17 @@
 """Streams over several micro-batches, numbering, tabbed sheets, log folders."""
 
 import os
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from shoptally import session
 from shoptally.functions.numbering import numbered
-from shoptally.operators import clean
-from shoptally.session import shared_folder
+from shoptally.operators import clean, ledger
+from shoptally.plans import all_queries
+from shoptally.session import shared_folder, shuffles_removed
 from shoptally.sources import files, ledger_log
 from shoptally.streaming import admission, events, stock, updates
 
@@ -189,3 +193,66 @@ def test_a_stamped_batch_is_judged_once(spark):
 
     plan = ledger_batch_stamped(spark, SMALLEST)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def recorded_folders(monkeypatch) -> dict[str, str]:
+    made, make = {}, session.shared_folder
+
+    def recording(spark, purpose):
+        made[purpose] = make(spark, purpose)
+        return made[purpose]
+
+    for place in ("shoptally.session", "shoptally.plans.streams", "shoptally.plans.cleaning"):
+        monkeypatch.setattr(f"{place}.shared_folder", recording)
+    return made
+
+
+@pytest.mark.parametrize("name, left", [("stream_ledger_booked", ["judged"]),
+                                        ("stock_table_after_stream", ["arrived", "judged"])])
+def test_streams_keep_no_judged_batches(spark, monkeypatch, name, left):
+    made = recorded_folders(monkeypatch)
+    assert all_queries()[name].run(spark, "/root/testdata/sf0.001").count() > 0
+    assert os.path.exists(made["stream"].removeprefix("file:"))
+    assert not [p for p in left if os.path.exists(made[p].removeprefix("file:"))]
+
+
+def test_rows_of_a_batch_are_moved_once_to_be_judged(spark):
+    row = "product_id string, serial string, type string, quantity bigint"
+    batch = spark.createDataFrame([("x", "a", None, "sell", 1)], f"id string, {row}")
+    past = spark.createDataFrame([("a", None, "import_po", 2)], row)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = ledger.judge(batch, past)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert len(moved) > 3 and sum(", id#" in f", {columns}" for columns in moved) == 1
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    def files() -> int:
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    def write() -> None:
+        rows = spark.range(1000).groupBy((F.col("id") % 70).alias("k")).count()
+        rows.write.parquet(shared_folder(spark, "counted"))
+
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = files()
+    with shuffles_removed(spark):
+        write()
+        until = time.time() + 20
+        while files() > before and time.time() < until:
+            time.sleep(0.2)
+        assert files() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+
+
+def test_the_sheet_is_kept_compressed(spark, monkeypatch):
+    made = recorded_folders(monkeypatch)
+    cleaned = all_queries()["sheet_cleaned_from_csv"].run(spark, "/root/testdata/sf0.001")
+    names = [n for n in os.listdir(made["sheet"].removeprefix("file:")) if n.startswith("part-")]
+    assert names and all(n.endswith(".csv.gz") for n in names)
+    assert cleaned.count() > 0
