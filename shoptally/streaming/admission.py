@@ -64,13 +64,13 @@ def start_with_stock(arrivals: DataFrame, stock: str, log: str, refused: str, ch
     def book(batch: DataFrame, number: int) -> None:
         if balances.applied(spark, stock, stream) >= number:
             return
-        rows = batch.checkpoint()
-        held = balances.held(spark, stock, rows)
-        judged = ledger.judge_held(ledger.validity(rows), held).checkpoint()
         place = f"stream={stream}/number={number}"
-        passed = ledger.bookable(judged).where(ledger.no_problem(judged)).select(*batch.columns)
-        passed.write.mode("overwrite").parquet(f"{log}/{place}")
-        ledger.conflicts(judged).write.mode("overwrite").parquet(f"{refused}/{place}")
+        with stored_meanwhile(batch, "arrived") as rows:
+            held = balances.held(spark, stock, rows)
+            with stored_meanwhile(ledger.judge_held(ledger.validity(rows), held), "judged") as judged:
+                passed = ledger.bookable(judged).where(ledger.no_problem(judged)).select(*batch.columns)
+                passed.write.mode("overwrite").parquet(f"{log}/{place}")
+                ledger.conflicts(judged).write.mode("overwrite").parquet(f"{refused}/{place}")
         balances.add(spark.read.schema(batch.schema).parquet(f"{log}/{place}"), stock, stream, number)
         balances.compact(spark, stock, changes)
 
