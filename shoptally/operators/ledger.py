@@ -73,7 +73,7 @@ def judge_held(batch: DataFrame, held: DataFrame, cumulative: str | None = None)
         .select(F.col("product_id").alias("p"), F.col("serial").alias("s"), "stock", "had_loose", "serial_stock")
     )
     seen = rows.join(
-        known, F.col("product_id").eqNullSafe(F.col("p")) & F.col("serial").eqNullSafe(F.col("s"))).drop("p", "s")
+        known, F.col("product_id").eqNullSafe(F.col("p")) & F.col("serial").eqNullSafe(F.col("s")), "left").drop("p", "s")
     is_loose = F.col("serial").isNull()
     zero = F.lit(0)
     moved = F.col("signed")
