@@ -1,5 +1,8 @@
 """The pipeline's stages on the smallest tables, and the contract of the registered queries."""
 
+import random
+import zlib
+
 import corpus_pipeline
 import pytest
 from messy import TEXTS, empty, table
@@ -30,6 +33,19 @@ def test_stages_take_awkward_and_empty_tables(spark):
             assert stage(spark, docs, FOLDER).count() <= len(TEXTS) * 50
 
 
+def test_texts_of_every_learned_language_stay(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(270):
+        own = [chr(0x4E00 + 6 * i + k) for k in range(6)]
+        words = 60 if i < 262 else 40
+        rows += [(f"l{i}", " ".join("".join(rng.choice(own) for _ in range(4)) for _ in range(words))) for _ in range(6)]
+    docs = spark.createDataFrame([(n, t, lang) for n, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.of_known_language(spark, docs, FOLDER)
+    assert {r["lang"] for r in kept.select("lang").distinct().collect()} >= {
+        lang for n, (lang, _) in enumerate(rows) if zlib.crc32(str(n).encode()) % 3 != 1}
+
+
 def test_all_operators_are_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
